@@ -7,7 +7,7 @@ until the total budget is used up. A source whose target is above its size is go
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -37,12 +37,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return w.select("source", "source_size", F.when(F.col("level") <= F.coalesce("common", F.col("level")), F.col("cap")).otherwise(F.col("weight") * F.col("common")).alias("target"))
 
 
-def _slices(n: int) -> Column:
-    """Which of n equal slices of the hash order a document is in."""
-    return F.pmod(F.conv(F.substring("shuffled", 1, 8), 16, 10).cast("long"), F.lit(n))
-
-
-def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", slices: int = 512) -> DataFrame:
+def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", slices: int = 512, keep_source: bool = False) -> DataFrame:
     """Per document: doc_id, size, source_size, target, copies, taken (= copies * size).
 
     ``slices`` divides the order of each source, and then the order of finish times, so that running
@@ -56,7 +51,12 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
     per = d.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
     by_source = targets(per.groupBy("source").agg(F.sum("slice_size").alias("source_size")))
     before = F.sum("slice_size").over(Window.partitionBy("source").orderBy("slice")) - F.col("slice_size")
-    starts = per.withColumn("start", before).join(by_source, per["source"].eqNullSafe(by_source["source"])).select(per["source"], "slice", "start", "source_size", "target")
+    starts = (
+        per.withColumn("start", before)
+        .alias("p")
+        .join(by_source.alias("b"), F.col("p.source").eqNullSafe(F.col("b.source")))
+        .select("p.source", "p.slice", "p.start", "b.source_size", "b.target")
+    )
     d, s = d.alias("d"), F.broadcast(starts).alias("s")  # sources x slices rows, whatever the documents
     run = Window.partitionBy("source", "slice").orderBy("shuffled", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     d = d.join(s, F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d.slice") == F.col("s.slice"))).select("d.doc_id", "d.source", "d.size", "d.shuffled", "d.slice", "s.start", "s.source_size", "s.target")
@@ -83,8 +83,9 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
         .agg(F.count("*").alias("copies"))
     )
     k = kept.alias("k")
+    source_too = ["d.source"] if keep_source else []
     return (
         d.alias("d")
         .join(k, F.col("d.source").eqNullSafe(F.col("k.source")) & (F.col("d.slice") == F.col("k.slice")) & (F.col("d.nth") == F.col("k.nth")), "left")
-        .select("d.doc_id", "d.size", "d.source_size", "d.target", F.coalesce("k.copies", F.lit(0)).alias("copies"), (F.col("d.size") * F.coalesce("k.copies", F.lit(0))).alias("taken"))
+        .select("d.doc_id", *source_too, "d.size", "d.source_size", "d.target", F.coalesce("k.copies", F.lit(0)).alias("copies"), (F.col("d.size") * F.coalesce("k.copies", F.lit(0))).alias("taken"))
     )
