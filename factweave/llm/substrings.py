@@ -14,6 +14,8 @@ Every byte covered by a string of LENGTH bytes that also starts anywhere else is
    where a run begins or ends; so lengths are computed at the sampled run ends only, and streaming
    over the positions gives the matching statistics of all others. Matches of LENGTH bytes or more
    are marked.
+   Anchors of more than HOT_CONTEXTS different contexts are left out there; their windows' hashes
+   are counted by an aggregation instead, which no single task holds.
 4. A document's marks are merged and its bytes cut, with the text joined to the marks by key.
 """
 
@@ -32,6 +34,8 @@ from . import common
 LENGTH, GRAM = 200, 32
 #: Texts are hashed in pieces of about so many bytes, and indexed in groups of about so many.
 PIECE, GROUP_BYTES = 1 << 21, 1 << 21
+#: An anchor of more contexts isn't indexed in one task: its windows are counted by hash.
+HOT_CONTEXTS = 8192
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 _BYTE = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64)
 _AT_BITS = 23
@@ -47,8 +51,9 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def contexts(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a text's bytes: the anchor hash, first byte and byte length of each context."""
+def contexts(data: np.ndarray, ends: np.ndarray | None = None, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the bytes of texts that follow each other (``ends``: where each ends): the anchor hash,
+    first byte and byte length of each context."""
     if len(data) < length:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     h = gram_hashes(data)
@@ -61,117 +66,157 @@ def contexts(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.nda
     if width > n:
         least = np.minimum(least[: len(least) - (width - n)], least[width - n :])
     at = (least & np.uint64((1 << _AT_BITS) - 1)).astype(np.int64)
-    begin = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    windows = np.diff(np.append(begin, len(at)))
-    return h[at[begin]], begin, windows + length - 1
-
-
-def pieces(data: bytes, length: int = LENGTH) -> Iterator[tuple[int, np.ndarray]]:
-    """A text in overlapping pieces, no window in two of them."""
-    whole = np.frombuffer(data, np.uint8)
-    for start in range(0, max(1, len(whole) - length + 1), PIECE):
-        yield start, whole[start : start + PIECE + length - 1]
-
-
-_ROWS = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("anchor", pa.int64()), ("context", pa.int64()), ("at", pa.int32()), ("n", pa.int32())])
+    new = np.concatenate(([True], at[1:] != at[:-1], [True]))
+    if ends is not None:  # a window lies within one text
+        inside = np.ones(len(at), bool)
+        for e in ends[ends < len(data)].tolist():
+            inside[max(0, e - length + 1) : e] = False
+        new[:-1] &= inside
+        new[1:-1] |= inside[:-1] & ~inside[1:]
+        new[:-1] |= np.concatenate(([False], ~inside[:-1])) & inside
+        edges = np.flatnonzero(new)
+        begin, stop = edges[:-1], edges[1:]
+        own = inside[begin]
+        begin, stop = begin[own], stop[own]
+    else:
+        edges = np.flatnonzero(new)
+        begin, stop = edges[:-1], edges[1:]
+    return h[at[begin]], begin, stop - begin + length - 1
+
+
+def pieces(texts: list[bytes], length: int = LENGTH) -> Iterator[tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]]:
+    """Texts laid side by side, about PIECE bytes at a time: bytes, ends, and of each its number and
+    the byte of it that comes first. A longer text comes in overlapping parts, no window in two."""
+    held: list[bytes] = []
+    whose: list[tuple[int, int]] = []
+    size = 0
+
+    def laid():
+        return np.frombuffer(b"".join(held), np.uint8), np.cumsum([len(x) for x in held]), whose
+
+    for i, raw in enumerate(texts):
+        if len(raw) < length:
+            continue
+        for start in range(0, len(raw) - length + 1, PIECE):
+            part = raw[start : start + PIECE + length - 1]
+            if held and size + len(part) > 2 * PIECE:
+                yield laid()
+                held, whose, size = [], [], 0
+            held.append(part)
+            whose.append((i, start))
+            size += len(part)
+    if held:
+        yield laid()
 
 
 def _context_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for k1, k2, text in zip(b["k1"].to_pylist(), b["k2"].to_pylist(), b["text"].to_pylist(), strict=True):
-            raw = text.encode("utf-8", "surrogatepass")
-            for start, data in pieces(raw):
-                anchor, at, n = contexts(data)
-                if not len(at):
-                    continue
-                view = memoryview(raw)
-                digests = b"".join([hashlib.blake2b(view[a : a + m], digest_size=8).digest() for a, m in zip((at + start).tolist(), n.tolist(), strict=True)])
-                yield common.batch(_ROWS, k1=np.full(len(at), k1), k2=np.full(len(at), k2), anchor=anchor.view(np.int64), context=np.frombuffer(digests, np.int64), at=at + start, n=n)
-
-
-def suffix_order(text: np.ndarray) -> np.ndarray:
-    """The suffix array of an int64 text by prefix doubling (all suffixes differ: see index_matches)."""
-    n = len(text)
-    _, rank = np.unique(text, return_inverse=True)
-    rank = rank.astype(np.int64)
-    width = 1
+        k1, k2 = b["k1"].to_numpy(), b["k2"].to_numpy()
+        for data, ends, whose in pieces([t.encode("utf-8", "surrogatepass") for t in b["text"].to_pylist()]):
+            anchor, at, n = contexts(data, ends)
+            view = memoryview(data)
+            digests = b"".join([hashlib.blake2b(view[a : a + m], digest_size=8).digest() for a, m in zip(at.tolist(), n.tolist(), strict=True)])
+            own = np.searchsorted(ends, at, side="right")
+            row, first = (np.array([w[j] for w in whose], np.int64) for j in (0, 1))
+            place = at - (ends - np.diff(ends, prepend=0))[own] + first[own]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(k1[row[own]]), pa.array(k2[row[own]]), pa.array(anchor.view(np.int64)), pa.array(np.frombuffer(digests, np.int64)), pa.array(place.astype(np.int32)), pa.array(n.astype(np.int32))], ["k1", "k2", "anchor", "context", "at", "n"]
+            )
+
+
+_PACKED = 7
+
+
+def packed(text: np.ndarray) -> np.ndarray:
+    """Each position's next seven symbols (0 to 256, and 0 beyond the end) in one integer."""
+    s = np.concatenate((text, np.zeros(_PACKED - 1, np.int64)))
+    key = s[: len(text)].copy()
+    for i in range(1, _PACKED):
+        key = key << 9 | s[i : i + len(text)]
+    return key
+
+
+def suffix_order(key: np.ndarray, depth: int) -> np.ndarray:
+    """The suffix array, by prefix doubling from packed symbols; suffixes that agree in more than
+    ``depth`` symbols may stand in any order."""
+    n, width = len(key), _PACKED
+    order = np.argsort(key)
     while True:
-        second = np.zeros(n, np.int64)
-        second[: n - width] = rank[width:] + 1
-        key = rank * (n + 1) + second
-        order = np.argsort(key, kind="stable")
-        step = np.concatenate(([0], np.cumsum(key[order][1:] != key[order][:-1])))
+        in_order = key[order]
         rank = np.empty(n, np.int64)
-        rank[order] = step
-        if step[-1] == n - 1:
+        rank[order] = step = np.concatenate(([0], np.cumsum(in_order[1:] != in_order[:-1])))
+        if step[-1] == n - 1 or width > depth:
             return order
+        second = np.zeros(n, np.int64)
+        second[: max(0, n - width)] = rank[width:] + 1
+        key = rank * (n + 1) + second
+        order = np.argsort(key)
         width *= 2
 
 
-def _lengths(text: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    """Of each pair of suffixes how long they agree, ``most`` at most."""
+def _lengths(key: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Of each pair of suffixes how long they agree, about ``most`` at most (the text's end counts as 0s)."""
     out = np.zeros(len(a), np.int64)
-    open_ = np.arange(len(a))
-    for i in range(most):
-        p, q = a[open_] + i, b[open_] + i
-        ok = (p < len(text)) & (q < len(text))
-        ok[ok] = text[p[ok]] == text[q[ok]]
-        open_ = open_[ok]
-        if not len(open_):
-            break
-        out[open_] += 1
+    open_, n = np.arange(len(a)), len(key)
+    while len(open_) and out[open_[0]] < most:
+        p, q = a[open_] + out[open_], b[open_] + out[open_]
+        ok = (p < n) & (q < n)
+        p, q = np.minimum(p, n - 1), np.minimum(q, n - 1)
+        differ = key[p] ^ key[q]
+        same = ok & (differ == 0)
+        part = open_[~same & ok]
+        for j in range(1, _PACKED):
+            out[part] += differ[~same & ok] >> 9 * j == 0
+        open_ = open_[same]
+        out[open_] += _PACKED
     return out
 
 
 class RunLengthIndex:
     """heads: the symbol of each run of the Burrows-Wheeler transform; starts: where in suffix order
     it begins; first, last: text positions sampled at its ends; up, down: how far the suffixes there
-    agree with the one before the run's first and after its last, ``most`` at most."""
+    agree with the one before the run's first and after its last, about ``most`` at most."""
 
     def __init__(self, text: np.ndarray, most: int):
-        order = suffix_order(text)
-        bwt = text[order - 1]
+        key = packed(text)
+        order = suffix_order(key, most)
+        bwt = np.where(order > 0, text[order - 1], -1)  # nothing stands before the first position
         self.n = len(text)
         self.starts = np.flatnonzero(np.concatenate(([True], bwt[1:] != bwt[:-1])))
         self.heads = bwt[self.starts]
         ends = np.append(self.starts[1:], self.n) - 1
         self.first, self.last = order[self.starts], order[ends]
         self.up, self.down = np.zeros(len(ends), np.int64), np.zeros(len(ends), np.int64)
-        self.up[1:] = _lengths(text, self.first[1:], order[self.starts[1:] - 1], most)
-        self.down[:-1] = _lengths(text, self.last[:-1], order[ends[:-1] + 1], most)
+        self.up[1:] = _lengths(key, self.first[1:], order[self.starts[1:] - 1], most)
+        self.down[:-1] = _lengths(key, self.last[:-1], order[ends[:-1] + 1], most)
 
     def matching_statistics(self) -> np.ndarray:
         """Of each text position the length (up to ``most``) of the longest match that starts there
         and also starts elsewhere. Inside a run a suffix and its neighbour go on together one
         symbol to the left, so going right the length falls by one until the next sample."""
-        out = np.zeros(self.n, np.int64)
+        out, place = np.zeros(self.n, np.int64), np.arange(self.n)
         for at, length in ((self.first, self.up), (self.last, self.down)):
-            known = np.full(self.n, -1, np.int64)
+            known = np.zeros(self.n, np.int64)
             known[at] = at
             values = np.zeros(self.n, np.int64)
             values[at] = length
             known = np.maximum.accumulate(known)
-            place = np.arange(self.n)
-            stream = np.where(known >= 0, values[np.maximum(known, 0)] - (place - known), 0)
-            out = np.maximum(out, stream)
+            out = np.maximum(out, values[known] - (place - known))
         return out
 
 
 def index_matches(data: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
     """Of each context, where strings of ``length`` bytes start that start in the group elsewhere too.
 
-    A separator of its own ends each context, so that no match goes on into the next one."""
+    Contexts are joined with a separator, symbol 0; what matches beyond a context's own end is cut."""
     sizes = np.fromiter(map(len, data), np.int64, len(data))
-    text = np.zeros(int(sizes.sum()) + len(data), np.int64)
+    text = np.frombuffer(b"\0".join(data) + b"\0", np.uint8).astype(np.int64) + 1
     ends = np.cumsum(sizes + 1) - 1
-    own = np.ones(len(text), bool)
-    own[ends] = False
-    text[own] = np.frombuffer(b"".join(data), np.uint8)
-    text[ends] = 256 + np.arange(len(data))
-    # the statistics fall by one a position, so samples must be known beyond the length itself
-    statistics = RunLengthIndex(text, int(sizes.max()) + 1).matching_statistics()
+    text[ends] = 0
+    # samples fall by one a position: they must be known beyond a whole context
+    statistics = RunLengthIndex(text, 2 * int(sizes.max()) + 2).matching_statistics()
     starts = ends - sizes
-    return [np.flatnonzero(statistics[s : s + n] >= length) for s, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+    return [np.flatnonzero(statistics[s : max(s, s + n - length + 1)] >= length) for s, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
 
 
 _MARKS = "k1 long, k2 long, at int, n int"
@@ -207,6 +252,15 @@ def _index_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield flush(held)
 
 
+def _window_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows k1, k2, at, single, bytes to one row for each window of the bytes, with its digest."""
+    for b in batches:
+        for k1, k2, at, single, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            m = len(raw) - LENGTH + 1
+            digests = [hashlib.blake2b(raw[i : i + LENGTH], digest_size=16).digest() for i in range(m)]
+            yield pa.RecordBatch.from_arrays([pa.array([k1] * m, pa.int64()), pa.array([k2] * m, pa.int64()), pa.array(range(at, at + m), pa.int32()), pa.array([single] * m), pa.array(digests, pa.binary())], ["k1", "k2", "at", "single", "window"])
+
+
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """doc_id and text with a key of both: rows that agree in both are alike."""
     t = common.text_column(text)
@@ -217,29 +271,32 @@ def marks(docs: DataFrame) -> DataFrame:
     """(k1, k2, at, n): byte stretches to remove, of the keyed documents; they may overlap."""
     rows = docs.where(F.octet_length("text") >= LENGTH).select("k1", "k2", "text").mapInArrow(_context_rows, "k1 long, k2 long, anchor long, context long, at int, n int")
     same = rows.groupBy("anchor", "context").agg(F.count("*").alias("times"))
-    met = same.groupBy("anchor").agg(F.count("*").alias("contexts"), F.sum("times").alias("times")).where("times > 1").select("anchor", (F.col("contexts") > 1).alias("mixed"))
-    kinds = common.checkpointed(same.join(met, "anchor").select("anchor", "context", (F.col("times") > 1).alias("repeated"), "mixed").where("repeated or mixed"))
+    met = same.groupBy("anchor").agg(F.count("*").alias("contexts"), F.sum("times").alias("times")).where("times > 1").select("anchor", (F.col("contexts") > 1).alias("mixed"), (F.col("contexts") > HOT_CONTEXTS).alias("hot"))
+    kinds = common.checkpointed(same.join(met, "anchor").select("anchor", "context", (F.col("times") > 1).alias("repeated"), "mixed", "hot").where("repeated or mixed"))
     found = common.checkpointed(rows.join(kinds, ["anchor", "context"]))
     whole = found.where("repeated").select("k1", "k2", "at", "n")
-    single = found.where("mixed and not repeated").select("anchor", "context", F.lit(True).alias("single"), "k1", "k2", "at", "n")
-    sample = found.where("mixed and repeated").groupBy("anchor", "context").agg(F.min(F.struct("k1", "k2", "at", "n")).alias("p")).select("anchor", "context", F.lit(False).alias("single"), "p.*")
-    wanted = single.unionByName(sample).groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "context", "single", "at", "n")).alias("wanted"))
+    single = found.where("mixed and not repeated").select("anchor", "context", F.lit(True).alias("single"), "hot", "k1", "k2", "at", "n")
+    sample = found.where("mixed and repeated").groupBy("anchor", "context", "hot").agg(F.min(F.struct("k1", "k2", "at", "n")).alias("p")).select("anchor", "context", F.lit(False).alias("single"), "hot", "p.*")
+    wanted = single.unionByName(sample).groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "context", "single", "hot", "at", "n")).alias("wanted"))
 
     def cut(batches):
         for b in batches:
-            out = [[] for _ in range(7)]
+            out = [[] for _ in range(8)]
             for k1, k2, text, own in zip(b["k1"].to_pylist(), b["k2"].to_pylist(), b["text"].to_pylist(), b["wanted"].to_pylist(), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
                 for w in own:
-                    for column, x in zip(out, (w["anchor"], w["context"], w["single"], k1, k2, w["at"], raw[w["at"] : w["at"] + w["n"]]), strict=True):
+                    for column, x in zip(out, (w["anchor"], w["context"], w["single"], w["hot"], k1, k2, w["at"], raw[w["at"] : w["at"] + w["n"]]), strict=True):
                         column.append(x)
-            kinds_ = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds_, strict=True)], ["anchor", "context", "single", "k1", "k2", "at", "bytes"])
-
-    brought = docs.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).mapInArrow(cut, "anchor long, context long, single boolean, k1 long, k2 long, at int, bytes binary")
-    brought = brought.select(F.lit(0).alias("group"), "*").repartition("anchor").sortWithinPartitions("group", "anchor", "context")
-    partial = brought.mapInArrow(_index_batches, _MARKS)
-    return whole.unionByName(partial)
+            kinds_ = (pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds_, strict=True)], ["anchor", "context", "single", "hot", "k1", "k2", "at", "bytes"])
+
+    brought = docs.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).mapInArrow(cut, "anchor long, context long, single boolean, hot boolean, k1 long, k2 long, at int, bytes binary")
+    grouped = brought.where("not hot").select(F.lit(0).alias("group"), *[c for c in brought.columns if c != "hot"]).repartition("anchor").sortWithinPartitions("group", "anchor", "context")
+    partial = grouped.mapInArrow(_index_batches, _MARKS)
+    windows = brought.where("hot").dropDuplicates(["anchor", "context"]).select("k1", "k2", "at", "single", "bytes").mapInArrow(_window_batches, "k1 long, k2 long, at int, single boolean, window binary")
+    often = windows.groupBy("window").agg(F.count("*").alias("times")).where("times > 1")
+    counted = windows.where("single").join(often, "window", "left_semi").select("k1", "k2", "at", F.lit(LENGTH).alias("n"))
+    return whole.unionByName(partial).unionByName(counted)
 
 
 def merge_stretches(found: DataFrame) -> DataFrame:
