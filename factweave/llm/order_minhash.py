@@ -86,38 +86,32 @@ def likeness(a: str, b: str) -> Column:
     return F.when(filled == 0, 1.0).otherwise(equal / filled)
 
 
-def with_next(docs: DataFrame, order: str, columns: list[str], buckets: int) -> DataFrame:
-    """Add ``next_<column>`` of the next row in descending ``order`` (after the last, of the first).
+def with_next(docs: DataFrame, order: str, text: str, buckets: int) -> DataFrame:
+    """Add ``fingerprint``, and ``next_text`` and ``next_fingerprint`` of the next row in descending
+    ``order`` (after the last, of the first).
 
     Rows are cut into buckets at approximate quantiles; within a bucket a window leads, and only
-    each bucket's last row takes its next one from the short table of the buckets' first rows. Null
-    ``order`` comes last, and ties are broken by the columns themselves, so any order of the input
-    gives the same rows."""
+    each bucket's last row takes its next one from the table of the buckets' first rows (as many as
+    there are buckets, so it is broadcast). Null ``order`` comes last, ties go by text, so any order
+    of the input gives the same rows."""
     bounds = sorted(set((docs.agg(F.percentile_approx(order, [i / buckets for i in range(1, buckets)], 10 * buckets)).first()[0]) or []))
     bucket = F.when(F.col(order).isNull(), F.lit(len(bounds) + 1)).otherwise(F.lit(len(bounds)) - F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(order))) if bounds else F.lit(0))
-    keys = [F.col(order).desc_nulls_last(), *[F.col(c).asc_nulls_last() for c in columns]]
-    by = Window.partitionBy("__bucket").orderBy(*keys)
-    w = docs.withColumn("__bucket", bucket)
-    w = w.withColumn("__last", F.lead(F.lit(False), 1, True).over(by))
-    for c in columns:
-        w = w.withColumn(f"next_{c}", F.lead(c).over(by))
-    # the order within a bucket as one comparable value: nulls of the order are alone in theirs
-    rank = F.struct((-F.col(order)).alias("o"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns])
-    firsts = docs.withColumn("__bucket", bucket).groupBy("__bucket").agg(F.min(rank).alias("__r"))
-    around = Window.orderBy("__bucket")
-    every = Window.partitionBy()
-    follow = firsts.select("__bucket", F.coalesce(F.lead("__r").over(around), F.min_by("__r", "__bucket").over(every)).alias("__n"))
-    last = w.where("__last").drop(*[f"next_{c}" for c in columns]).join(follow, "__bucket")
-    last = last.select(*docs.columns, *[F.col(f"__n.{c}").cast(docs.schema[c].dataType).alias(f"next_{c}") for c in columns])
-    return w.where("not __last").select(last.columns).union(last)
-
-
-def edited_neighbours(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", buckets: int = 64) -> DataFrame:
+    by = Window.partitionBy("__bucket").orderBy(F.col(order).desc_nulls_last(), text)
+    w = with_fingerprint(docs, text, "fingerprint").withColumn("__bucket", bucket)
+    w = w.withColumn("__last", F.lead(F.lit(False), 1, True).over(by)).withColumn("__text", F.lead(text).over(by)).withColumn("__print", F.lead("fingerprint").over(by))
+    firsts = docs.withColumn("__bucket", bucket).groupBy("__bucket").agg(F.min(F.struct((-F.col(order)).alias("o"), F.col(text).alias("text"))).alias("__first"))
+    follow = firsts.select("__bucket", F.coalesce(F.lead("__first").over(Window.orderBy("__bucket")), F.min_by("__first", "__bucket").over(Window.partitionBy()))["text"].alias("__f_text"))
+    w = w.join(F.broadcast(with_fingerprint(follow, "__f_text", "__f_print")), "__bucket")
+    return w.select(*docs.columns, "fingerprint", F.when(F.col("__last"), F.col("__f_text")).otherwise(F.col("__text")).alias("next_text"), F.when(F.col("__last"), F.col("__f_print")).otherwise(F.col("__print")).alias("next_fingerprint"))
+
+
+def edited_neighbours(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", buckets: int | None = None) -> DataFrame:
     """Per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and
     near_next. The edited text ends, from floor(n_chars / 3) code points before its end, with as many
-    (or all) of the next document's first ones, in descending order of the id."""
-    base = with_fingerprint(docs.select(F.col(doc_id).alias("doc_id"), common.text_column(text).alias("text")), "text", "fingerprint")
-    d = with_next(base, "doc_id", ["text", "fingerprint"], buckets)
+    (or all) of the next document's first ones, in descending order of the id. ``buckets`` of that order are as many as shuffle
+    partitions, from 64 to 4096, unless given."""
+    buckets = buckets or min(4096, max(64, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    d = with_next(docs.select(F.col(doc_id).alias("doc_id"), common.text_column(text).alias("text")), "doc_id", "text", buckets)
     d = d.withColumn("n_chars", F.length("text").cast("long"))
     cut = F.floor(F.col("n_chars") / 3).cast("int")
     d = d.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - cut), F.substring("next_text", F.lit(1), cut)))
