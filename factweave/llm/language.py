@@ -203,7 +203,8 @@ def predict(docs: DataFrame, net: Network | None, text: str = "text") -> DataFra
     """The rows of docs with ``lang_pred`` and ``score``, the pooled probability of that language.
 
     A null text, or one without a letter, is ``und`` with score 0, and so is every text if there was
-    nothing to learn from. Other columns stay; repeated rows are predicted alike."""
+    nothing to learn from. Other columns stay (own ones of
+    these names are replaced); repeated rows are predicted alike."""
     common.arrow_rows(docs.sparkSession, 500)
     held = docs.sparkSession.sparkContext.broadcast(net)
     base = docs.drop("lang_pred", "score")

@@ -146,7 +146,7 @@ def confirmed(sets: list[np.ndarray], first: list[bool] | None, similarity: tupl
     shingles = _postings_of(np.concatenate(sets), np.repeat(np.arange(n), sizes))
     side = None if first is None else np.array(first)
     out = []
-    for x in range(n - 1):
+    for x in range(n):
         if side is not None and not side[x]:
             continue
         open_ = root != root[x]

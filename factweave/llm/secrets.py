@@ -125,13 +125,13 @@ def thresholds(candidates: DataFrame, fdr: float = 0.05) -> DataFrame:
     return b.where(ok).groupBy("encoding", "length").agg((F.min("step") / STEPS).alias("t"))
 
 
-def scan(docs: DataFrame, text: str = "text", fdr: float = 0.05) -> DataFrame:
-    """The rows of docs with ``spans array<struct<start, kind, end>>``: places of secrets in code
+def scan(docs: DataFrame, text: str = "text", fdr: float = 0.05, out: str = "spans") -> DataFrame:
+    """The rows of docs with ``out``, an array<struct<start, kind, end>>: places of secrets in code
     points, end exclusive, kind as a number in KINDS, sorted by start, then kind.
 
     The patterns' matches are always there. A random token is added if its stratum's threshold
     accepts it and no pattern's match overlaps it. Null and empty texts have no spans; other columns
-    stay as they are, repeated rows are scanned alike. No row is shuffled: the histogram of p-values is the only
+    stay as they are (an own column of that name is replaced), repeated rows are scanned alike. No row is shuffled: the histogram of p-values is the only
     thing gathered, and its thresholds (at most encodings x length classes rows) are broadcast."""
     t = common.text_column(text)
     limits = thresholds(docs.select(F.explode(F.transform(_candidates(t), lambda c: c["test"])).alias("test")), fdr)
@@ -150,7 +150,7 @@ def scan(docs: DataFrame, text: str = "text", fdr: float = 0.05) -> DataFrame:
         & ~F.exists("__base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])),
     )
     accepted = F.transform(accepted, lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end")))
-    return d.withColumn("spans", F.array_sort(F.concat("__base", accepted)).cast(place)).drop("__base", "__more", "__limits")
+    return d.withColumn(out, F.array_sort(F.concat("__base", accepted)).cast(place)).drop("__base", "__more", "__limits")
 
 
 def _written(spans: Column) -> Column:
@@ -167,9 +167,9 @@ def digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """The rows of docs, the same columns, with every secret's place in the text overwritten by
     ``mark``; overlapping places become one mark. A null text stays null."""
-    s = scan(docs, text)
+    s = scan(docs, text, out="__spans")
     end = F.aggregate(
-        "spans",
+        "__spans",
         F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts")),
         lambda acc, x: F.when(x["end"] <= acc["at"], acc).otherwise(
             F.struct(
@@ -179,4 +179,4 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataF
         ),
         lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(F.col(text), acc["at"] + 1, F.length(text))),
     )
-    return s.withColumn(text, F.when(F.size("spans") > 0, end).otherwise(F.col(text))).select(docs.columns)
+    return s.withColumn(text, F.when(F.size("__spans") > 0, end).otherwise(F.col(text))).select(docs.columns)

@@ -146,7 +146,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, **columns:
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows of docs with ``score`` (0 to 1) of the whole text; null text counts as empty, and an
-    empty text gets the score of a text without features. Other columns stay."""
+    empty text gets the score of a text without features. Other columns stay (an own column called
+    score is replaced)."""
     common.arrow_rows(docs.sparkSession)
     base = docs.drop("score")
     held = docs.sparkSession.sparkContext.broadcast(model)
