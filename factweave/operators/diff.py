@@ -54,6 +54,14 @@ def status_changes(before: DataFrame, after: DataFrame, key: str, status: str) -
     return unique(before, "before_status").join(unique(after, "after_status"), key).where(~F.col("before_status").eqNullSafe(F.col("after_status")))
 
 
+def diagnostic_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(code, subject, location, change, reasons) of diagnostics with a severity and a message: new,
+    resolved or changed; a key held by several diagnostics on a side is ambiguous."""
+    change = F.col("change")
+    named = F.when(change == "added", "new").when(change == "removed", "resolved").when(change == "modified", "changed").otherwise(change)
+    return keyed_diff(before, after, ["code", "subject", "location"], ["severity", "message"]).withColumn("change", named)
+
+
 def collisions(records: DataFrame, kind: str, key: str, member: str) -> DataFrame:
     """Keys that more than one record of a kind holds, with their sorted members."""
     return records.groupBy(kind, key).agg(F.count("*").alias("records"), F.array_join(F.array_sort(F.collect_set(F.col(member).cast("string"))), ",").alias("members")).where("records > 1")

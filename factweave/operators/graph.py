@@ -20,7 +20,7 @@ def bounded_reach(edges: DataFrame, roots: DataFrame, max_depth: int) -> DataFra
     root is at depth 0. All roots advance together; a node is expanded once for each root."""
     if not 1 <= max_depth <= 8:
         raise ValueError("max_depth is 1 to 8")
-    step = traversable(edges).select("subject", "object").distinct()
+    step = traversable(edges).select("subject", "object").repartition("subject").distinct()  # one shuffle for both the distinct and the joins
     frontier = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"))
     seen = frontier
     for depth in range(1, max_depth + 1):
@@ -32,7 +32,7 @@ def bounded_reach(edges: DataFrame, roots: DataFrame, max_depth: int) -> DataFra
 
 def depth_limits(edges: DataFrame, reach: DataFrame, max_depth: int) -> DataFrame:
     """(root, node, hidden): nodes at the depth limit with targets that the root doesn't reach."""
-    step = traversable(edges).select("subject", "object").distinct()
+    step = traversable(edges).select("subject", "object").repartition("subject").distinct()
     onward = reach.where(F.col("depth") == max_depth).join(step, F.col("node") == F.col("subject")).select("root", "node", F.col("object").alias("target"))
     known = reach.select("root", F.col("node").alias("target"))
     return onward.join(known, ["root", "target"], "left_anti").groupBy("root", "node").agg(F.countDistinct("target").alias("hidden"))
@@ -90,7 +90,7 @@ def visibility(owns: DataFrame, imports: DataFrame, reexports: DataFrame, global
     own = owns.select("module", "item", F.lit("own").alias("origin"))
     imported = imports.alias("i").join(gives.alias("g"), F.col("i.imported") == F.col("g.module")).select("i.module", "g.item", F.lit("imported").alias("origin"))
     everywhere = gives.join(global_modules, "module", "left_semi").select("item").distinct()
-    shared = owns.select("module").distinct().crossJoin(F.broadcast(everywhere)).select("module", "item", F.lit("global").alias("origin"))
+    shared = owns.select("module").distinct().crossJoin(everywhere).select("module", "item", F.lit("global").alias("origin"))
     rank = F.when(F.col("origin") == "own", 0).when(F.col("origin") == "imported", 1).otherwise(2)
     return own.union(imported).union(shared).groupBy("module", "item").agg(F.min_by("origin", rank).alias("origin"))
 

@@ -13,9 +13,15 @@ def correlate(producers: DataFrame, consumers: DataFrame) -> DataFrame:
     In this order: not eligible -> unmatched; no candidate -> unmatched; several declared realms ->
     unmatched; several candidates where one is asked for -> ambiguous; all in the producer's realm ->
     declared_realm_candidate; else target_only_candidate."""
-    p = producers.alias("p").join(consumers.alias("c"), (F.col("p.contract") == F.col("c.contract")) & F.col("p.eligible"), "left")
-    g = p.groupBy("p.producer", "p.realm", "p.eligible", "p.single").agg(
-        F.count("c.consumer").alias("candidates"), F.countDistinct("c.realm").alias("realms"), F.count_if(F.col("c.consumer").isNotNull() & ~F.coalesce(F.col("c.realm") == F.col("p.realm"), F.lit(False))).alias("elsewhere")
+    # consumers are counted before the join: no row for each pair of a producer and a candidate
+    offered = consumers.groupBy("contract").agg(F.count("consumer").alias("candidates"), F.countDistinct("realm").alias("realms"))
+    at_home = consumers.groupBy("contract", "realm").agg(F.count("consumer").alias("here"))
+    g = (
+        producers.select("producer", F.when(F.col("eligible"), F.col("contract")).alias("contract"), "realm", "eligible", "single")
+        .join(offered, "contract", "left")
+        .join(at_home, ["contract", "realm"], "left")
+        .select("producer", "realm", "eligible", "single", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("candidates", "realms", "here")])
+        .withColumn("elsewhere", F.col("candidates") - F.col("here"))
     )
     several = (F.col("realms") > 1) | ((F.col("realms") == 1) & F.col("realm").isNotNull() & (F.col("elsewhere") == F.col("candidates")))
     reason = F.when(~F.col("eligible"), "unsupported_identity").when(F.col("candidates") == 0, "producer_only").when(several, "realm_mismatch").when((F.col("candidates") > 1) & F.col("single"), "multiple_consumers")
@@ -32,3 +38,19 @@ def display_selection(nodes: DataFrame, limit: int) -> DataFrame:
     """The first nodes by rank and name, without those whose parent isn't among them."""
     top = nodes.orderBy("rank", "node").limit(limit)
     return top.alias("a").join(top.select(F.col("node").alias("n")).alias("b"), F.col("a.parent") == F.col("b.n"), "left").where("a.parent is null or b.n is not null").select("a.node", "a.parent", "a.rank")
+
+
+def system_paths(reached: DataFrame, producers: DataFrame, correlated: DataFrame, consumers: DataFrame, effects: DataFrame) -> DataFrame:
+    """(root, contract, realm, state, producers, consumer, effect): the conditional paths from a root
+    through the producers it reaches (root, producer) to a correlated consumer's effects (consumer,
+    effect). Producers alike in root, contract, realm and state share their paths and are counted;
+    unmatched and ambiguous ones have none."""
+    follows = correlated.where(F.col("state").isin("declared_realm_candidate", "target_only_candidate")).select("producer", "state")
+    alike = (
+        reached.select("root", "producer").distinct()
+        .join(producers.select("producer", "contract", "realm"), "producer")
+        .join(follows, "producer")
+        .groupBy("root", "contract", "realm", "state").agg(F.count("*").alias("producers"))
+    )
+    offers = consumers.select("consumer", "contract").join(effects.select("consumer", "effect").distinct(), "consumer")
+    return alike.join(offers, "contract").select("root", "contract", "realm", "state", "producers", "consumer", "effect")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from factweave.functions import text as T
 from factweave.operators import diff, graph, match, metrics, policy, scenes, stitch, validate
+from factweave.sources import snapshots
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -105,9 +106,9 @@ def terminal_facts(spark, sf):
 
 @bound(f"""WITH {EDGES} SELECT DISTINCT c.object AS target, a.subject AS start, a.subject || '>' || b.subject || '>' || c.subject || '>' || c.object AS path
 FROM live c JOIN live b ON b.object = c.subject JOIN live a ON a.object = b.subject
-WHERE c.object LIKE 'part:%' AND CAST(split_part(c.object, ':', 2) AS INT) <= 20 AND a.subject LIKE 'nation:%'""")
+WHERE c.object LIKE 'part:%' AND a.subject LIKE 'nation:%'""")
 def simple_paths(spark, sf):
-    targets = table(spark, sf, "part").where("p_partkey <= 20").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("target"))
+    targets = table(spark, sf, "part").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("target"))
     return graph.simple_paths(edges(spark, sf), targets, 3, "nation:")
 
 
@@ -173,14 +174,14 @@ def export_closure(spark, sf):
 
 
 @bound(f"""WITH RECURSIVE {IMPORTS}, c(a, b) AS (SELECT module, exported FROM reexports UNION SELECT c.a, r.exported FROM c JOIN reexports r ON r.module = c.b),
-owns AS (SELECT DISTINCT c_nationkey AS module, c_mktsegment AS item FROM customer WHERE c_custkey % 5 = 0),
+owns AS (SELECT DISTINCT c_nationkey AS module, c_mktsegment AS item FROM customer WHERE c_acctbal < 0),
 gives AS (SELECT * FROM owns UNION SELECT c.a, o.item FROM c JOIN owns o ON o.module = c.b),
 v AS (SELECT module, item, 0 AS o FROM owns UNION ALL SELECT i.module, g.item, 1 FROM imports i JOIN gives g ON g.module = i.imported
   UNION ALL SELECT m.module, g.item, 2 FROM (SELECT DISTINCT module FROM owns) m, (SELECT DISTINCT item FROM gives WHERE module = 0) g)
 SELECT module, item, CASE min(o) WHEN 0 THEN 'own' WHEN 1 THEN 'imported' ELSE 'global' END AS origin FROM v GROUP BY module, item""")
 def visibility(spark, sf):
     imports = _imports(spark, sf)
-    owns = table(spark, sf, "customer").where("c_custkey % 5 = 0").select(F.col("c_nationkey").alias("module"), F.col("c_mktsegment").alias("item")).distinct()
+    owns = table(spark, sf, "customer").where("c_acctbal < 0").select(F.col("c_nationkey").alias("module"), F.col("c_mktsegment").alias("item")).distinct()
     everywhere = values(spark, [(0,)], "module int")
     return graph.visibility(owns, imports, imports.where("module % 2 = 0").select("module", F.col("imported").alias("exported")), everywhere)
 
@@ -198,11 +199,10 @@ def _traced(spark, sf):
     calls = edges(spark, sf, orders=False).where("predicate = 'PLACES'").select("subject", "predicate", "object", "status")
     lines = table(spark, sf, "lineitem").where("l_linenumber = 1")
     sends = lines.select(F.concat(F.lit("order:"), F.col("l_orderkey").cast("string")).alias("subject"), F.concat(F.lit("supplier:"), F.col("l_suppkey").cast("string")).alias("object"), F.when(F.col("l_returnflag") == "R", "queue").otherwise("event").alias("kind"))
-    roots = customers(spark, sf).where("cast(split(root, ':')[1] as int) <= 200")
-    return graph.trace(calls, sends.distinct(), roots, max_depth=3, max_hops=2)
+    return graph.trace(calls, sends.distinct(), customers(spark, sf), max_depth=3, max_hops=2)
 
 
-_TRACE_SQL = f"""WITH {EDGES}, r AS (SELECT 'customer:' || c_custkey AS root FROM customer WHERE c_custkey <= 200),
+_TRACE_SQL = f"""WITH {EDGES}, r AS (SELECT 'customer:' || c_custkey AS root FROM customer),
 c AS (SELECT DISTINCT r.root, l.object AS node FROM r JOIN live l ON l.subject = r.root),
 s AS (SELECT DISTINCT c.root, 'supplier:' || l_suppkey AS node, CASE WHEN l_returnflag = 'R' THEN 'distributed' ELSE 'asynchronous' END AS cause FROM c JOIN lineitem ON c.node = 'order:' || l_orderkey WHERE l_linenumber = 1),
 a AS (SELECT root, root AS node, 0 AS depth, 0 AS hop, 'synchronous' AS cause FROM r UNION ALL SELECT root, node, 1, 0, 'synchronous' FROM c UNION ALL SELECT root, node, 0, 1, cause FROM s)"""
@@ -218,6 +218,11 @@ def trace_causal_summary(spark, sf):
     return _traced(spark, sf)[0].groupBy("root", "cause").agg(F.countDistinct("node").alias("nodes"), F.max("hop").alias("hops"))
 
 
+@bound(f"{_TRACE_SQL} SELECT root, node AS terminal, cause, min(hop) AS hop FROM a WHERE node LIKE 'supplier:%' GROUP BY ALL")
+def trace_terminals(spark, sf):
+    return _traced(spark, sf)[0].where("node like 'supplier:%'").groupBy("root", F.col("node").alias("terminal"), "cause").agg(F.min("hop").alias("hop"))
+
+
 # --- matching ----------------------------------------------------------------------------------
 
 PATTERNS = [(1, "click.*"), (2, "*.1"), (3, "**"), (4, "purchase.**"), (5, "error.2"), (6, "view.cre*"), (7, "*"), (8, "**.3")]
@@ -390,22 +395,37 @@ def status_changes(spark, sf):
     return diff.status_changes(*_snapshots(spark, sf), "k", "status")
 
 
-_SLOTTED = """a AS (SELECT c_mktsegment AS segment, c_nationkey AS nation, c_name AS name FROM customer WHERE c_custkey % 11 < 3),
-b AS (SELECT c_mktsegment AS segment, CASE WHEN c_custkey % 5 = 0 THEN c_nationkey + 1 ELSE c_nationkey END AS nation, CASE WHEN c_custkey % 4 = 0 THEN c_name || '!' ELSE c_name END AS name FROM customer WHERE c_custkey % 11 BETWEEN 1 AND 3),
+_SLOTTED = """a AS (SELECT c_mktsegment AS segment, c_nationkey + 100 * (c_custkey // 40) AS nation, c_name AS name FROM customer),
+b AS (SELECT c_mktsegment AS segment, c_nationkey + 100 * (c_custkey // 40) + CASE WHEN c_custkey % 5 = 0 THEN 1 ELSE 0 END AS nation, CASE WHEN c_custkey % 4 = 0 THEN c_name || '!' ELSE c_name END AS name FROM customer),
 blocked AS (SELECT segment, nation FROM a GROUP BY 1, 2 HAVING count(*) > 1 UNION SELECT segment, nation FROM b GROUP BY 1, 2 HAVING count(*) > 1),
 fa AS (SELECT * FROM a WHERE (segment, nation) NOT IN (FROM blocked)), fb AS (SELECT * FROM b WHERE (segment, nation) NOT IN (FROM blocked)),
 k AS (SELECT fb.* FROM fa JOIN fb ON fa.name = fb.name), la AS (SELECT * FROM fa WHERE name NOT IN (SELECT name FROM k)), lb AS (SELECT * FROM fb WHERE name NOT IN (SELECT name FROM k)),
 s AS (SELECT lb.* FROM la JOIN lb USING (segment, nation))"""
 
 
+_DIAGNOSTICS = """q AS (SELECT CASE status WHEN 'O' THEN 'AMBIGUOUS_ORDER' WHEN 'P' THEN 'UNRESOLVED_ORDER' ELSE 'UNKNOWN_ORDER' END AS code, 'order:' || k AS subject, 'line:1' AS location, priority AS severity, status AS message, side FROM (SELECT *, 0 AS side FROM a UNION ALL SELECT *, 1 FROM b) WHERE status <> 'F')"""
+
+
+@bound(f"""WITH {SNAPSHOTS}, {_DIAGNOSTICS}, x AS (SELECT * FROM q WHERE side = 0), y AS (SELECT * FROM q WHERE side = 1)
+SELECT code, subject, location, CASE WHEN x.side IS NULL THEN 'new' WHEN y.side IS NULL THEN 'resolved' ELSE 'changed' END AS change, CASE WHEN x.side IS NOT NULL AND y.side IS NOT NULL THEN 'severity' END AS reasons
+FROM x FULL JOIN y USING (code, subject, location) WHERE x.severity IS DISTINCT FROM y.severity""")
+def diagnostic_changes(spark, sf):
+    def diagnostics(df):
+        code = F.when(F.col("status") == "O", "AMBIGUOUS_ORDER").when(F.col("status") == "P", "UNRESOLVED_ORDER").otherwise("UNKNOWN_ORDER")
+        return df.where("status <> 'F'").select(code.alias("code"), F.concat(F.lit("order:"), F.col("k").cast("string")).alias("subject"), F.lit("line:1").alias("location"), F.col("priority").alias("severity"), F.col("status").alias("message"))
+
+    return diff.diagnostic_changes(*map(diagnostics, _snapshots(spark, sf)))
+
+
 @bound(f"""WITH {_SLOTTED} SELECT *, 'same_key' AS outcome FROM k UNION ALL SELECT *, 'same_slot' FROM s
 UNION ALL SELECT *, 'removed' FROM la WHERE (segment, nation) NOT IN (SELECT segment, nation FROM s) UNION ALL SELECT *, 'removed' FROM a WHERE (segment, nation) IN (FROM blocked)
 UNION ALL SELECT *, 'added' FROM lb WHERE (segment, nation) NOT IN (SELECT segment, nation FROM s) UNION ALL SELECT *, 'added' FROM b WHERE (segment, nation) IN (FROM blocked)
 UNION ALL SELECT segment, nation, NULL, 'ambiguous' FROM blocked""")
 def endpoint_matching(spark, sf):
     c = table(spark, sf, "customer")
-    a = c.where("c_custkey % 11 < 3").select(F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation"), F.col("c_name").alias("name"))
-    b = c.where("c_custkey % 11 between 1 and 3").select(F.col("c_mktsegment").alias("segment"), F.when(F.col("c_custkey") % 5 == 0, F.col("c_nationkey") + 1).otherwise(F.col("c_nationkey")).alias("nation"), F.when(F.col("c_custkey") % 4 == 0, F.concat("c_name", F.lit("!"))).otherwise(F.col("c_name")).alias("name"))
+    nation = F.col("c_nationkey") + 100 * F.floor(F.col("c_custkey") / 40)
+    a = c.select(F.col("c_mktsegment").alias("segment"), nation.alias("nation"), F.col("c_name").alias("name"))
+    b = c.select(F.col("c_mktsegment").alias("segment"), (nation + F.when(F.col("c_custkey") % 5 == 0, 1).otherwise(0)).alias("nation"), F.when(F.col("c_custkey") % 4 == 0, F.concat("c_name", F.lit("!"))).otherwise(F.col("c_name")).alias("name"))
     return diff.slot_matching(a, b, ["segment", "nation"], "name")
 
 
@@ -424,11 +444,11 @@ def source_changes(spark, sf):
     return diff.keyed_diff(a, b, ["doc_id"], ["hash"])
 
 
-CHANGED = "changed AS (SELECT 'part:' || p_partkey AS item FROM part WHERE p_partkey % 25 = 0 UNION ALL SELECT 'part:0')"
+CHANGED = "changed AS (SELECT 'part:' || p_partkey AS item FROM part UNION ALL SELECT 'part:none')"
 
 
 def _impact(spark, sf):
-    changed = table(spark, sf, "part").where("p_partkey % 25 = 0").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("target")).union(values(spark, [("part:0",)], "target string"))
+    changed = table(spark, sf, "part").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("target")).union(values(spark, [("part:none",)], "target string"))
     return changed, graph.simple_paths(edges(spark, sf), changed, 2, "customer:")
 
 
@@ -572,6 +592,24 @@ def system_policies(spark, sf):
     return r.select("producer", declared.alias("declared_realm"), F.when(F.col("state") == "ambiguous", "fail").otherwise("pass").alias("unambiguous"))
 
 
+@bound(f"""{_CORRELATED}, h2 AS (SELECT 'region:' || n_regionkey AS root, p.contract, p.realm, r.state, count(*) AS producers FROM r JOIN p USING (producer) JOIN nation ON n_nationkey = p.contract
+WHERE state IN ('declared_realm_candidate', 'target_only_candidate') GROUP BY ALL), f AS (SELECT DISTINCT l_suppkey AS consumer, l_returnflag || l_linestatus AS effect FROM lineitem)
+SELECT root, h2.contract, h2.realm, state, producers, c.consumer, effect FROM h2 JOIN c ON c.contract = h2.contract JOIN f ON f.consumer = c.consumer""")
+def system_paths(spark, sf):
+    p, c = _services(spark, sf)
+    to_customers = edges(spark, sf, orders=False).where("predicate in ('HAS_NATION', 'HAS_CUSTOMER')")
+    reach = graph.bounded_reach(to_customers, regions(spark, sf), 2).where("depth = 2")
+    reached = reach.select("root", F.split("node", ":")[1].cast(dict(p.dtypes)["producer"]).alias("producer"))
+    effects = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("consumer"), F.concat("l_returnflag", "l_linestatus").alias("effect"))
+    return stitch.system_paths(reached, p, stitch.correlate(p, c), c, effects)
+
+
+@bound()
+def inventory_filter(spark, sf):
+    """The tables' own files; SQL lists no files."""
+    return snapshots.inventory(spark, sf, suffixes=(".parquet",)).withColumn("path", F.element_at(F.split("path", "/"), -1))
+
+
 @bound("""WITH n AS (SELECT 'customer:' || c_custkey AS node, 'nation:' || c_nationkey AS parent, 1 AS rank FROM customer UNION ALL SELECT 'nation:' || n_nationkey, NULL, 0 FROM nation WHERE n_nationkey % 3 <> 0),
 t AS (SELECT * FROM n ORDER BY rank, node LIMIT 240) SELECT * FROM t WHERE parent IS NULL OR parent IN (SELECT node FROM t)""")
 def display_topn(spark, sf):

@@ -33,15 +33,14 @@ def availability(snapshots: DataFrame) -> DataFrame:
 
 
 def inventory(spark: SparkSession, path: str, max_bytes: int = 1 << 20, suffixes: tuple[str, ...] = (".ts",), excluded: tuple[str, ...] = ("node_modules", "dist", ".git")) -> DataFrame:
-    """(path, bytes, hash, reason): every file below a folder; reason is null for those that are kept."""
+    """(path, bytes, hash, reason): every file below a folder; reason is null for those that are kept.
+    Only the contents of files within max_bytes are read; others have no hash."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    reason = (
-        F.when(F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, excluded))), "excluded_directory")
-        .when(~F.regexp_like("path", F.lit("(" + "|".join(s.replace(".", r"\.") for s in suffixes) + ")$")), "unsupported_extension")
-        .when(F.col("length") > max_bytes, "too_large")
-        .when(F.contains(F.hex("content"), F.lit("00")) & (F.instr(F.regexp_replace(F.hex("content"), "(..)", "$1 "), "00 ") > 0), "binary")
-    )
-    return f.select("path", F.col("length").alias("bytes"), F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("hash"), reason.alias("reason"))
+    by_name = F.when(F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, excluded))), "excluded_directory").when(~F.regexp_like("path", F.lit("(" + "|".join(s.replace(".", r"\.") for s in suffixes) + ")$")), "unsupported_extension")
+    large = f.where(F.col("length") > max_bytes).select("path", F.col("length").alias("bytes"), F.lit(None).cast("string").alias("hash"), F.coalesce(by_name, F.lit("too_large")).alias("reason"))
+    binary = F.when(F.contains("content", F.unhex(F.lit("00"))), "binary")
+    small = f.where(F.col("length") <= max_bytes).select("path", F.col("length").alias("bytes"), F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("hash"), F.coalesce(by_name, binary).alias("reason"))
+    return small.unionByName(large)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -87,3 +87,20 @@ def test_inventory_and_csv(spark, tmp_path):
     assert got == {"a.ts": None, "b.md": "unsupported_extension", "c.ts": "binary", "d.ts": "excluded_directory"}
     snapshots.write_csv(spark.createDataFrame([("=1",)], "c string"), str(tmp_path / "out"))
     assert b"'=1" in b"".join(p.read_bytes() for p in (tmp_path / "out").glob("part-*"))
+
+
+def test_diagnostics_are_new_resolved_or_changed(spark):
+    schema = "code string, subject string, location string, severity string, message string"
+    a = spark.createDataFrame([("C", "s", "1", "info", "m"), ("C", "s", "2", "info", "m"), ("D", "s", "1", "info", "m")], schema)
+    b = spark.createDataFrame([("C", "s", "1", "error", "m"), ("C", None, "3", "info", "m"), ("D", "s", "1", "info", "m")], schema)
+    got = {(r["subject"], r["location"], r["change"], r["reasons"]) for r in diff.diagnostic_changes(a, b).collect()}
+    assert got == {("s", "1", "changed", "severity"), ("s", "2", "resolved", None), (None, "3", "new", None)}
+
+
+def test_system_paths_follow_only_candidates(spark):
+    p = spark.createDataFrame([(1, "k", "r"), (2, "k", "r"), (3, "k", "z")], "producer int, contract string, realm string").withColumn("eligible", F.lit(True)).withColumn("single", F.lit(False))
+    c = spark.createDataFrame([(7, "k", "r")], "consumer int, contract string, realm string")
+    reached = spark.createDataFrame([("a", 1), ("a", 2), ("a", 2), ("a", 3)], "root string, producer int")
+    effects = spark.createDataFrame([(7, "write"), (7, "write"), (8, "read")], "consumer int, effect string")
+    got = [tuple(r) for r in stitch.system_paths(reached, p, stitch.correlate(p, c), c, effects).collect()]
+    assert got == [("a", "k", "r", "declared_realm_candidate", 2, 7, "write")]
