@@ -144,19 +144,19 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, **columns:
     return Model(place, w * r, float(b))
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The rows of docs with ``score`` (0 to 1) of the whole text; null text counts as empty, and an
-    empty text gets the score of a text without features. Other columns stay (an own column called
-    score is replaced)."""
+def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
+    """The rows of docs with the score (0 to 1) of the whole text in column ``out``; null text counts
+    as empty, and an empty text gets the score of a text without features. Other columns stay (an own
+    column of that name is replaced)."""
     common.arrow_rows(docs.sparkSession)
-    base = docs.drop("score")
+    base = docs.drop(out)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([held.value.score(t or "") for t in b[text].to_pylist()], pa.float64())], [*b.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([held.value.score(t or "") for t in b[text].to_pylist()], pa.float64())], [*b.schema.names, out])
 
-    return base.mapInArrow(run, common.extended(base, "score", T.DoubleType()))
+    return base.mapInArrow(run, common.extended(base, out, T.DoubleType()))
 
 
 def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
