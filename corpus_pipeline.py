@@ -17,9 +17,12 @@ from factweave.llm.common import read
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier scores below its decision; it learns from the training folds."""
+    """Documents that the classifier scores below its decision; it learns from the training folds. A
+    classifier without features (no labels, or none that tell) rejects no document."""
     model = toxicity.fit(docs.where(toxicity.fold_of("doc_id") != 2), read(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where(F.col("score") < toxicity.DECISION).select(docs.columns)
+    if not len(model.weight):
+        return docs
+    return toxicity.score(docs, model, out="__toxicity").where(F.col("__toxicity") < toxicity.DECISION).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,9 +39,9 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    copies = mixing.mix(docs.select("doc_id", "source", "text"), keep_source=True).where("copies > 0").groupBy("doc_id", "source").agg(F.max("copies").alias("copies"))
+    copies = mixing.mix(docs.select("doc_id", "source", "text"), keep_source=True).where("copies > 0").groupBy("doc_id", "source").agg(F.max("copies").alias("__copies"))
     on = docs["doc_id"].eqNullSafe(copies["doc_id"]) & docs["source"].eqNullSafe(copies["source"])
-    return docs.join(copies, on).select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select(docs.columns)
+    return docs.join(copies, on).select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__copy")).select(docs.columns)
 
 
 def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
