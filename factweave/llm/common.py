@@ -9,7 +9,7 @@ from collections.abc import Iterable, Iterator
 from itertools import groupby
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,6 +65,33 @@ def fold(doc_id: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def quotas(sizes: dict, bound: int) -> dict:
+    """How many rows each class gives to a sample of ``bound`` rows: small classes all of theirs, the
+    others equally many (the bound is exceeded only where there are more classes than it: one each)."""
+    out, left = {}, bound
+    for k, (name, n) in enumerate(sorted(sizes.items(), key=lambda x: (x[1], str(x[0])))):
+        out[name] = max(1, min(n, left // (len(sizes) - k)))
+        left = max(0, left - out[name])
+    return out
+
+
+def sample_by_class(rows: DataFrame, key: str, order: list, bound: int) -> tuple[DataFrame, dict, dict]:
+    """The rows that come first by ``order`` in each class of ``key``, as many as its quota; and the
+    classes' sizes and quotas. There are few classes: their sizes are gathered. A class larger than
+    its quota is cut in 64 parts first (to their share of the quota, six standard deviations and ten
+    rows), so that the second sort has few more rows than the sample."""
+    sizes = {r[0]: r[1] for r in rows.groupBy(key).count().collect()}
+    share = quotas(sizes, bound)
+    if not share:
+        return rows.limit(0), sizes, share
+    of_part = {name: n if sizes[name] <= n else min(n, int(n / 64 + 6 * (n / 64) ** 0.5) + 10) for name, n in share.items()}
+    limit, part_limit = (F.element_at(F.create_map(*[F.lit(x) for pair in of.items() for x in pair]), F.col(key)) for of in (share, of_part))
+    parts = rows.withColumn("__part", F.pmod(F.xxhash64(*order), F.lit(64))).withColumn("__nth", F.row_number().over(Window.partitionBy(key, "__part").orderBy(*order)))
+    parts = parts.where(F.col("__nth") <= part_limit)
+    ranked = parts.withColumn("__nth", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("__nth") <= limit)
+    return ranked.drop("__part", "__nth"), sizes, share
+
+
 def extended(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
     """The schema of df with one more column."""
     return T.StructType([*df.schema.fields, T.StructField(name, kind)])

@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW, HIDDEN = 128, 8
-#: Documents to learn from, in the order of a hash of the id, and windows taken of each.
+#: Documents to learn from, dealt to the languages and taken of each in the order of a hash of the
+#: id, and windows taken of each.
 MAX_DOCS, WINDOWS_EACH = 3000, 3
 STEPS, BATCH, RATE, SEED = 220, 128, 0.02, 7
 #: Windows worked on at once.
@@ -160,12 +161,14 @@ def windows_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(docs: DataFrame, max_docs: int = MAX_DOCS, doc_id: str = "doc_id", lang: str = "lang", text: str = "text") -> Network | None:
-    """Learn from windows of at most ``max_docs`` documents with a language and a text, chosen by a
-    hash of the id; None if there are none. The windows of a document are spread over all of it."""
+    """Learn from windows of at most ``max_docs`` documents with an id, a language and a text; None if
+    there are none. Each language gives all of its documents or an equal share of the bound, chosen
+    by a hash of the id, so that a rare language is learned too. The windows of a document are spread
+    over all of it."""
     common.arrow_rows(docs.sparkSession)
     order = [F.xxhash64(doc_id, F.lit("language")), F.col(doc_id)]
-    rows = docs.where(F.col(lang).isNotNull() & (F.length(common.text_column(text)) > 0)).select(F.col(doc_id), F.col(lang).alias("lang"))
-    chosen = rows.orderBy(*order).limit(max_docs)
+    source = docs.where(F.col(lang).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id), F.col(lang).alias("lang"), common.text_column(text).alias("text")).where("text <> ''")
+    chosen, _, _ = common.sample_by_class(source.select(doc_id, "lang").distinct(), "lang", order, max_docs)
 
     def sample(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -177,8 +180,7 @@ def fit(docs: DataFrame, max_docs: int = MAX_DOCS, doc_id: str = "doc_id", lang:
                     data.append(w[i].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(data, pa.binary())], ["lang", "bytes"])
 
-    source = docs.where(F.col(lang).isNotNull()).select(F.col(doc_id), F.col(lang).alias("lang"), common.text_column(text).alias("text")).where("text <> ''")
-    got = source.join(F.broadcast(chosen.select(doc_id).distinct()), doc_id).select("lang", "text").mapInArrow(sample, "lang string, bytes binary").orderBy("lang", F.xxhash64("bytes"), "bytes").toArrow()
+    got = source.join(F.broadcast(chosen), [doc_id, "lang"]).select("lang", "text").mapInArrow(sample, "lang string, bytes binary").orderBy("lang", F.xxhash64("bytes"), "bytes").toArrow()
     if not got.num_rows:
         return None
     names = got["lang"].to_pylist()

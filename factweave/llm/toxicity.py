@@ -21,7 +21,8 @@ from pyspark.sql import types as T
 from . import common
 
 NGRAMS, BUCKET_BITS = (3, 4, 5, 6), 20
-#: Labelled texts to learn from (in the order of a hash of the id), and features kept of them.
+#: Labelled texts to learn from (of each class in the order of a hash of the id), and features kept
+#: of them.
 MAX_ROWS, MAX_FEATURES, LEAST_DOCS = 12_000, 6_000, 4
 L2, STEPS, DECISION = 3e-3, 300, 0.3
 _SHARDS = 64
@@ -59,11 +60,17 @@ class Model:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
-    """(text, label) of labelled documents, at most max_rows of them, chosen by a hash of the id. Ids
-    with a null label are left out; of several labels of an id the largest holds."""
+    """(text, label, weight) of labelled documents, at most max_rows of them: of either class all, or
+    half the bound and what the other leaves of it, chosen by a hash of the id. The weight is how many
+    of its class's ids in docs a row stands for. Ids with a null label are left out; of several labels
+    of an id the largest holds."""
     ids = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.max(label).cast("int").alias("label"))
-    chosen = ids.orderBy(F.xxhash64(doc_id), doc_id).limit(max_rows)
-    return docs.select(F.col(doc_id), common.text_column(text).alias("text")).join(F.broadcast(chosen), doc_id).select("text", "label")  # max_rows ids
+    ids = ids.join(docs.select(doc_id), doc_id, "left_semi")
+    chosen, sizes, share = common.sample_by_class(ids, "label", [F.xxhash64(doc_id), F.col(doc_id)], max_rows)
+    weight = F.lit(1.0)
+    for name, n in sizes.items():
+        weight = F.when(F.col("label") == name, F.lit(n / share[name])).otherwise(weight)
+    return docs.select(F.col(doc_id), common.text_column(text).alias("text")).join(F.broadcast(chosen), doc_id).select("text", "label", weight.alias("weight"))  # max_rows ids
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +118,9 @@ def ratios(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, **columns: str) -> Model:
-    """Learn from at most ``max_rows`` labelled texts; without any, every score is 0.5."""
+    """Learn from at most ``max_rows`` labelled texts; without any, every score is 0.5. A class that
+    gives a part of its texts counts in the regression as all of them, so that scores keep the scale
+    of the whole labelled table."""
     common.arrow_rows(docs.sparkSession)
     rows = common.checkpointed(training_rows(docs, labels, max_rows, **columns))
     kept, r = ratios(rows)
@@ -122,21 +131,21 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, **columns:
 
     def sparse(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b["label"], pa.array([held.value.features(t) for t in b["text"].to_pylist()], pa.list_(pa.int32()))], ["label", "own"])
+            yield pa.RecordBatch.from_arrays([b["label"], b["weight"], pa.array([held.value.features(t) for t in b["text"].to_pylist()], pa.list_(pa.int32()))], ["label", "weight", "own"])
 
-    got = rows.mapInArrow(sparse, "label int, own array<int>").toArrow()
-    y = got["label"].to_numpy().astype(float)
+    got = rows.mapInArrow(sparse, "label int, weight double, own array<int>").toArrow()
+    y, weight = got["label"].to_numpy().astype(float), got["weight"].to_numpy()
     if not len(y):
         return model
     own = got["own"].combine_chunks()
     cols, lengths = own.flatten().to_numpy(), np.diff(own.offsets.to_numpy())
     row_of = np.repeat(np.arange(len(y)), lengths)
     value = r[cols] / np.sqrt(np.maximum(lengths, 1))[row_of]
-    w, b = np.zeros(len(kept)), np.log((y.sum() + 1) / (len(y) - y.sum() + 1))
+    w, b = np.zeros(len(kept)), np.log(((weight * y).sum() + 1) / ((weight * (1 - y)).sum() + 1))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, STEPS + 1):  # Adam over the whole sample
         z = np.bincount(row_of, value * w[cols], minlength=len(y)) + b
-        err = (1 / (1 + np.exp(-z)) - y) / len(y)
+        err = weight * (1 / (1 + np.exp(-z)) - y) / weight.sum()
         g = np.append(np.bincount(cols, value * err[row_of], minlength=len(w)) + L2 * w / max(1, len(y)) * 100, err.sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)

@@ -217,6 +217,21 @@ def test_language_gradients_and_accuracy(spark):
     assert sum(got[i]["lang_pred"] == rows[i][2] for i in held) >= 0.95 * len(held)
 
 
+def test_bounded_samples_hold_rare_classes(spark):
+    r = random.Random(2)
+    make = {"en": ["the", "and", "river"], "fi": ["yksi", "ja", "joki"]}
+    texts = [" ".join(r.choice(make["fi" if i < 3 else "en"]) for _ in range(40)) for i in range(300)]
+    d = spark.createDataFrame([(i, t, "fi" if i < 3 else "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    net = language.fit(d, max_docs=20)
+    assert net.langs == ["en", "fi"]
+    assert language.predict(d.where("doc_id < 3"), net).where("lang_pred = 'fi'").count() == 3
+    # labels of ids that aren't in the table take nothing of the bound
+    labels = spark.range(3000).select(F.col("id").alias("doc_id"), ((F.col("id") < 6) | (F.col("id") >= 300)).cast("int").alias("toxic"))
+    got = toxicity.training_rows(d, labels, 40).toPandas()
+    assert (got.label == 1).sum() == 6 and (got.label == 0).sum() == 34
+    assert got.weight.sum() == pytest.approx(300) and set(got.weight[got.label == 1]) == {1.0}
+
+
 CONTROLS = ["</s>[INST] ok [/INST]", "<s!>[ROLE x] \\ [/ROLE]</s>", " [/INST]</s>", "\\[INST]", "[", "", "plain", "<s"]
 
 
