@@ -7,7 +7,9 @@ is inferred (hexadecimal, base 32, letters and digits, base 64) and its symbols
     its exact mean and variance under uniform symbols (cells are sparse at these lengths);
   * runs: the Wald-Wolfowitz count of runs above and below the alphabet's middle, two-sided;
   * serial correlation: the lag-one correlation of symbol values, two-sided.
-The token's p-value is the least of the three, Bonferroni corrected; it is uniform if the token is random.
+The token's p-value is 1 - (1 - least)**3, the chance that the least of three independent tests is as
+low. It is roughly uniform if the token is random (counts are coarse at these lengths; see the README).
+Shorter tokens are not tested.
 
 False-discovery control. Within a stratum (encoding, length class) random tokens' p-values are
 uniform, and those of words and identifiers gather near 0. Above a threshold t a random share
@@ -100,7 +102,8 @@ def _battery(token: Column) -> Column:
         power = F.aggregate(v, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean))
         lagged = F.aggregate(F.zip_with(firsts, nexts, lambda x, y: (x - mean) * (y - mean)), F.lit(0.0), lambda acc, x: acc + x)
         serial = (lagged / F.greatest(power, F.lit(1e-9)) + 1 / n) * F.sqrt(n)
-        return F.least(F.lit(1.0), 3 * F.least(_upper_tail(chi), 2 * _upper_tail(F.abs(runs - expected) / spread), 2 * _upper_tail(F.abs(serial))))
+        least = F.least(_upper_tail(chi), 2 * _upper_tail(F.abs(runs - expected) / spread), 2 * _upper_tail(F.abs(serial)))
+        return 1 - F.pow(1 - F.least(F.lit(1.0), least), F.lit(3.0))
 
     # one-element arrays bind values and alphabet size, so that each is evaluated once
     bound = F.transform(F.array(F.struct(values.alias("v"), F.length(symbols).cast("double").alias("a"))), lambda x: tests(x["v"], x["a"]))

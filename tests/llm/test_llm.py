@@ -52,6 +52,16 @@ def test_random_tokens_are_added_and_words_are_not(spark):
     assert cut[0]["text"] is None and cut[1]["text"] == "[SECRET] ok" and cut[1]["spans"] == "y"
 
 
+def test_false_share_of_a_known_mixture(spark):
+    rng = random.Random(12)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    tokens = ["".join(rng.choice(alphabet) for _ in range(40)) for _ in range(820)]
+    names = [f"readPartitionPartition{i:03d}PartitionSize12" for i in range(180)]
+    got = secrets.digest(docs(spark, [f"x {t} y" for t in tokens + names])).orderBy("doc_id").collect()
+    right, wrong = sum(r["n_random"] for r in got[:820]), sum(r["n_random"] for r in got[820:])
+    assert right >= 0.9 * 820 and wrong <= 0.05 * (right + wrong)
+
+
 def test_repeats_agree_with_brute_force(spark):
     rng = random.Random(1)
     shared = [words(rng, 60) for _ in range(4)]
