@@ -126,46 +126,47 @@ def test_mix_reaches_targets(spark):
 
 def test_fingerprints_compare_order(spark):
     rng = random.Random(6)
-    texts = [words(rng, 300) for _ in range(12)] + [None, "", "short", "same text here now", "same text here now"]
+    texts = [words(rng, 300) for _ in range(12)] + [None, "", "short", "same text here now", "same text here now", "a" * 5000, "".join(chr(0x4E00 + rng.randrange(2000)) for _ in range(800)), "b" * 100]
     d = docs(spark, texts)
-    got = {r["doc_id"]: r for r in order_minhash.edited_neighbours(d, buckets=4).collect()}
+    got = {r["doc_id"]: r for r in order_minhash.edited_neighbours(d, parts=4).collect()}
     ids = sorted(got, reverse=True)
+    assert len(ids) == len(texts)
     for i, nxt in zip(ids, ids[1:] + ids[:1], strict=True):
         t, n = texts[i] or "", texts[nxt] or ""
         cut = len(t) // 3
         assert got[i]["edited_sha256"] == hashlib.sha256((t[: len(t) - cut] + n[:cut]).encode()).hexdigest()
     assert got[15]["fingerprint"] == got[16]["fingerprint"] and got[16]["near_next"] == 1.0
     assert all(got[i]["near_edited"] > got[i]["near_next"] for i in range(1, 12))
-
-
-def test_order_minhash_selection_is_brute_force(spark):
-    texts = ["a b c a b c a b c d e f", "x y", words(random.Random(9), 60, 8)]
-    d = order_minhash.with_fingerprint(docs(spark, texts).select("doc_id", "text"), "text", "f")
-    got = {r["doc_id"]: r["f"] for r in d.collect()}
-
-    def h(*values):
-        return spark.range(1).select(F.xxhash64(*[F.lit(v) for v in values])).first()[0]
-
-    low, mask = 1 << 39, (1 << 24) - 1
-    for i, t in enumerate(texts):
-        w = t.split()
-        grams = [w[j : j + 3] for j in range(len(w) - 2)] if len(w) >= 3 else [[" ".join(w), None, None]]
-        seen, dealt = Counter(), []
-        for at, g in enumerate(grams):
-            key = h(*g) % low
-            occurrence = seen[key]
-            seen[key] += 1
-            key2 = spark.range(1).select(F.xxhash64(F.lit(key).cast("long"), F.lit(occurrence).cast("int"))).first()[0] % (1 << 39)
-            dealt.append((key2 >> 34, key2, at & mask))
-        out = []
-        for b in range(32):
-            own = sorted(sorted(x for x in dealt if x[0] == b)[:2], key=lambda x: x[2])
-            if own:
-                tuple_hash = spark.range(1).select(F.xxhash64(F.array(*[F.lit(x[1]).cast("long") for x in own]))).first()[0] % (1 << 32)
-                out.append(f"{tuple_hash:08x}")
-            else:
-                out.append("-")
-        assert got[i] == ".".join(out)
+    assert all(got[i]["near_edited"] > 0.2 for i in (17, 18, 19))  # no blanks, two thirds unchanged
+
+
+def test_fingerprint_order_takes_any_id(spark):
+    rows = [(-(2**63), "least"), (2**63 - 1, "most"), (7, "x"), (7, "y"), (7, "y"), *[(None, f"n{i}") for i in range(30)], (None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("fingerprint", F.lit("clash")).repartition(3)
+    for parts in (1, 5, 40):
+        got = order_minhash.edited_neighbours(d, parts=parts).collect()
+        assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in rows)
+        assert sorted((r["doc_id"] is None, r["edited_sha256"]) for r in got) == sorted((r["doc_id"] is None, r["edited_sha256"]) for r in order_minhash.edited_neighbours(d, parts=3).collect())
+
+
+def test_order_minhash_selection_is_brute_force(monkeypatch):
+    monkeypatch.setattr(order_minhash, "BLOCK", 16)
+    rng = random.Random(9)
+    for text in ["a b c a b c a b c d e f", "xy", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", words(rng, 60, 8), "\U0001f389é漢" * 20]:
+        k = min(6, len(text))
+        grams, seen, ids = [text[i : i + k] for i in range(len(text) - k + 1)], Counter(), []
+        h = order_minhash.numbered_kmers(text)
+        for g in grams:
+            ids.append((g, seen[g]))
+            seen[g] += 1
+        # equal hashes are equal numbered k-mers, within a text and across texts
+        assert len(set(h.tolist())) == len(set(ids)) == len(grams)
+        again = order_minhash.numbered_kmers(text + "tail of it")
+        assert (again[: len(h)] == h).all() if len(text) >= 6 else True
+        places = order_minhash.selected(h)
+        for j in range(order_minhash.COORDINATES):
+            value = lambda p, j=j: ((int(h[p]) >> 32) * int(order_minhash._TURNS[j]) & 0xFFFFFFFF) ^ int(order_minhash._FLIPS[j])
+            assert places[j].tolist() == sorted(sorted(range(len(h)), key=lambda p: (value(p), p))[:2])
 
 
 def test_base_counts():
