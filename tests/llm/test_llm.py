@@ -169,23 +169,85 @@ def test_order_minhash_selection_is_brute_force(monkeypatch):
             assert places[j].tolist() == sorted(sorted(range(len(h)), key=lambda p: (value(p), p))[:2])
 
 
+def slow_base_counts(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    windows = Counter(zip(w, w[1:], w[2:]))
+    often = {i + j for i in range(len(w) - 2) if windows[tuple(w[i : i + 3])] > 1 for j in range(3)}
+    lines = text.split("\n")
+    dup = sum(1 for i, x in enumerate(lines) if re.search(r"[^\x20\x09-\x0D]", x) and x in lines[:i])
+    return len(w), sum(map(len, w)), sum(text.count(c) for c in "#*$%&|<>"), dup, len(often)
+
+
 def test_base_counts():
     assert quality.base_counts("a b c a b c\n#x\n#x\n \n ") == (8, 10, 2, 1, 6)
     assert quality.base_counts("") == (0, 0, 0, 0, 0)
-
-
-def test_kneser_ney_sums_to_one_and_rejects_noise(spark):
+    rng = random.Random(11)
+    texts = ["".join(rng.choice(["a", "b", "é", "🎉", " ", " ", "\n", "#", "\x0b", "\u2003", "word "]) for _ in range(rng.randrange(120))) for _ in range(200)]
+    assert [quality.base_counts(t) for t in texts] == [slow_base_counts(t) for t in texts]
+    many = quality.tokenized(texts, True).counts
+    assert [tuple(int(many[c][i]) for c in quality.COUNTS) for i in range(len(texts))] == [slow_base_counts(t) for t in texts]
+
+
+def slow_log_perplexity(texts):
+    """Interpolated modified Kneser-Ney bigrams by dictionaries."""
+    w = [(t or "").split() for t in texts]
+    n = Counter(x for own in w for x in own)
+    known = {x for x, c in n.items() if c >= 2}
+    kinds = max(1, len(n) - len(known))
+    lines = [["<s>", *[x if x in known else "<unk>" for x in own], "<s>"] for own in w]
+    two = Counter(p for own in lines for p in zip(own, own[1:]))
+    symbols = known | {"<unk>", "<s>"}
+
+    def steps(counts):
+        n1, n2, n3, n4 = (sum(c == i for c in counts) for i in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.5
+        d = [i - (i + 1) * y * b / a if a else 0.75 for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+        return [0, *[min(max(x, 0.05), i) for i, x in enumerate(d, 1)]]
+
+    precede = Counter(b for _, b in two)
+    d1, d2 = steps(list(precede.values())), steps(list(two.values()))
+    total = sum(precede.values())
+    left = sum(d1[min(c, 3)] for c in precede.values()) / total
+    single = {x: (max(precede[x] - d1[min(precede[x], 3)], 0) / total if precede[x] else 0) + left / len(symbols) for x in symbols}
+    follow = {}
+    for (a, _), c in two.items():
+        follow.setdefault(a, []).append(c)
+
+    def p(a, b):
+        own = follow.get(a, [])
+        rest = sum(d2[min(c, 3)] for c in own) / sum(own) if own else 1
+        return ((two[a, b] - d2[min(two[a, b], 3)]) / sum(own) if own else 0) + rest * single[b]
+
+    assert all(abs(sum(p(a, b) for b in symbols) - 1) < 1e-9 for a in list(symbols)[:20])
+    return [-sum(np.log(p(a, b) / (kinds if b == "<unk>" else 1)) for a, b in zip(own, own[1:])) / (len(own) - 1) for own in lines]
+
+
+def test_perplexity_is_brute_force_and_bands_reject(spark, monkeypatch):
     rng = random.Random(7)
-    texts = [" ".join(rng.choice(["the", "river", "runs", "down", "hill", "to", "sea", "slowly"]) + rng.choice(["", "s"]) for _ in range(90)) for _ in range(60)]
+    river = ["the", "漢字", "\ue000", "\U0001f389", *[f"river{i}" for i in range(150)]]
+    texts = []
+    for i in range(80):
+        w = ["the"]
+        while len(w) < 60 + i % 40:  # each word has few successors
+            w.append(river[(river.index(w[-1]) * 7 + rng.randrange(5)) % len(river)])
+        texts.append(" ".join(w) + (f" rare{i}" if i % 3 else ""))
+    shuffled = texts[5].split()
+    rng.shuffle(shuffled)
     noise = " ".join("".join(rng.choice("qxzjkv#@0981") for _ in range(6)) for _ in range(80))
-    d = docs(spark, [*texts, noise, *ODD])
-    model = quality.sorted_arrays(quality.kneser_ney(quality.count(d)))["en"]
-    for code in model[4][0][::40]:
-        after = (np.uint32(int(code) >> 6) << np.uint32(6)) | np.arange(64, dtype=np.uint32)
-        assert abs(np.exp(quality.log_probabilities(model, after)).sum() - 1) < 1e-4
-    got = {r["doc_id"]: r for r in quality.judge(d).collect()}
-    assert len(got) == 61 + len(ODD) and not got[60]["kept"] and not got[60]["base_failed"]
-    assert sum(got[i]["kept"] for i in range(60)) >= 58
+    every = [*texts, " ".join(shuffled), noise, *ODD]
+    monkeypatch.setattr(quality, "BLOCK_BYTES", 3000)
+    monkeypatch.setattr(quality, "PART_WORDS", 500)
+    d = docs(spark, every).union(docs(spark, ["autre langue"], "fr").withColumn("doc_id", F.lit(None).cast("long")))
+    got = {r["doc_id"]: r for r in quality.judge(d.repartition(3)).collect()}
+    assert len(got) == len(every) + 1 and got[None]["n_words"] == 2 and got[None]["base_failed"]
+    want = slow_log_perplexity(every)
+    for i, t in enumerate(every):
+        assert got[i]["log_perplexity"] == pytest.approx(want[i], abs=1e-4), i
+        assert tuple(got[i][c] for c in quality.COUNTS) == slow_base_counts(t or "")
+    assert not got[81]["kept"] and not got[81]["base_failed"] and not got[80]["kept"] and not got[80]["base_failed"]
+    assert sum(got[i]["kept"] for i in range(80)) >= 70
+    twice = quality.judge(d.union(d)).collect()
+    assert len(twice) == 2 * len(got) and len({(r["doc_id"], r["log_perplexity"]) for r in twice}) == len(got)
 
 
 def test_toxicity_learns_held_out(spark):
