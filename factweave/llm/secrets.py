@@ -7,19 +7,24 @@ is inferred (hexadecimal, base 32, letters and digits, base 64) and its symbols
     its exact mean and variance under uniform symbols (cells are sparse at these lengths);
   * runs: the Wald-Wolfowitz count of runs above and below the alphabet's middle, two-sided;
   * serial correlation: the lag-one correlation of symbol values, two-sided.
-The token's p-value is 1 - (1 - least)**3, the chance that the least of three independent tests is as
-low. It is roughly uniform if the token is random (counts are coarse at these lengths; see the README).
-Shorter tokens are not tested.
-
-False-discovery control. Within a stratum (encoding, length class) random tokens' p-values are
-uniform, and those of words and identifiers gather near 0. Above a threshold t a random share
-estimated from the upper half, pi = 2 * #(p > 1/2) / m, leaves at most 1 - pi * (1 - t) * m / #(p >= t)
-of the accepted tokens false. Each stratum takes the least t that holds this below ``fdr``; all counts
-are of all tokens of the table, as a histogram of fixed size.
+The three are combined as if independent, p = 1 - (1 - least)**3. Shorter tokens are not tested.
+
+False-discovery control. What p random tokens have is not taken from theory (counts are coarse at these
+lengths and the tests depend on each other): for each stratum (encoding, length class) random tokens
+are drawn once, with a fixed seed, and give the share S(t) of random tokens with p >= t. Words and
+identifiers gather near 0. With N(t) tokens of the whole table at p >= t, about N(h) / S(h) of the
+stratum's tokens are random if all others lie below h. R is the least of that at h = 1/10, less a
+standard error, of that at each h from there to 6/10, and two standard errors, and of the stratum's size.
+Then about 1 - R * S(t) / N(t) of the tokens accepted at t are false, and each stratum takes the least t
+that holds this below ``fdr``. A stratum of under some 45 random tokens can't hold it and adds none.
 """
 
 from __future__ import annotations
 
+import json
+from functools import cache
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,9 +45,14 @@ ENCODINGS = {
     "base32": (r"^[A-Z2-7]+=*$", "abcdefghijklmnopqrstuvwxyz234567", True),
     "alnum_one_case": (r"^(?:[0-9a-z]+|[0-9A-Z]+)$", "abcdefghijklmnopqrstuvwxyz0123456789", True),
     "alnum": (r"^[0-9A-Za-z]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", False),
-    "base64": (r"", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_", False),
+    # - and _ of the address-safe form stand for + and /
+    "base64": (r"", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", False),
 }
 STEPS = 200
+#: Length classes are of eight lengths, from that of the shortest candidate to one that is open above.
+SHORTEST, PER_CLASS, LAST_CLASS = 20, 8, 16
+#: Random tokens drawn for each length of each encoding, and the seed.
+DRAWS, SEED = 500, 20240611
 
 
 def _found(text: Column, pattern: str, kind: int, keep) -> Column:
@@ -83,7 +93,7 @@ def _battery(token: Column) -> Column:
         encoding = F.when(F.regexp_like(token, F.lit(pattern)), F.lit(name)).otherwise(encoding)
     symbols = F.element_at(F.create_map(*[F.lit(x) for k, v in ENCODINGS.items() for x in (k, v[1])]), encoding)
     either = encoding.isin([k for k, v in ENCODINGS.items() if v[2]])
-    plain = F.when(either, F.lower(bare)).otherwise(bare)
+    plain = F.when(either, F.lower(bare)).otherwise(F.translate(bare, "-_", "+/"))
     values = F.transform(F.regexp_extract_all(plain, F.lit("."), F.lit(0)), lambda c: F.instr(symbols, c).cast("double"))
 
     def tests(v: Column, a: Column) -> Column:
@@ -107,7 +117,7 @@ def _battery(token: Column) -> Column:
 
     # one-element arrays bind values and alphabet size, so that each is evaluated once
     bound = F.transform(F.array(F.struct(values.alias("v"), F.length(symbols).cast("double").alias("a"))), lambda x: tests(x["v"], x["a"]))
-    return F.struct(encoding.alias("encoding"), F.least(F.floor(F.length(bare) / 8), F.lit(16)).cast("int").alias("length"), F.element_at(bound, 1).alias("p"))
+    return F.struct(encoding.alias("encoding"), F.least(F.floor(F.length(bare) / PER_CLASS), F.lit(LAST_CLASS)).cast("int").alias("length"), F.element_at(bound, 1).alias("p"))
 
 
 def _candidates(text: Column) -> Column:
@@ -115,16 +125,65 @@ def _candidates(text: Column) -> Column:
     return F.transform(found, lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"), _battery(c["token"]).alias("test")))
 
 
+@cache
+def null_law() -> str:
+    """Of each stratum the shares S of drawn random tokens with p of at least 0, 1, 2, ... STEPS-ths,
+    as JSON. The formulas are those of the battery."""
+    rng = np.random.default_rng(SEED)
+
+    def tail(z):
+        z = np.clip(z, -8, 8)
+        return 1 / (1 + np.exp(1.5976 * z + 0.07056 * z**3))
+
+    out = []
+    for encoding, (_, symbols, _) in ENCODINGS.items():
+        a = len(symbols)
+        digit, letter = (np.array([f(c) for c in symbols]) for f in (str.isdigit, str.isalpha))
+        upper, special = np.array([c.isupper() for c in symbols]), np.array([not c.isalnum() for c in symbols])
+        for length in range(SHORTEST // PER_CLASS, LAST_CLASS + 1):
+            found = []
+            for n in range(max(SHORTEST, length * PER_CLASS), (length + 1) * PER_CLASS):
+                v = rng.integers(0, a, (DRAWS, n))
+                ok = digit[v].any(1) & letter[v].any(1)  # what makes a candidate of this encoding
+                if encoding == "alnum":
+                    ok &= upper[v].any(1) & (letter & ~upper)[v].any(1)
+                if encoding == "base64":
+                    ok &= special[v].any(1)
+                v = v[ok]
+                rows = len(v)
+                counts = np.bincount((np.arange(rows)[:, None] * a + v).ravel(), minlength=rows * a).reshape(rows, a)
+                chi = ((counts**2).sum(1) * a / n - n - (a - 1)) / np.sqrt(2 * (a - 1) * (n - 1) / n)
+                x = v + 1.0
+                high = x > (a + 1) / 2
+                above = high.sum(1).astype(float)
+                runs = 1 + (high[:, 1:] != high[:, :-1]).sum(1)
+                expected = 1 + 2 * above * (n - above) / n
+                spread = np.sqrt(np.maximum((expected - 1) * (expected - 2) / (n - 1), 1e-9))
+                d = x - x.mean(1, keepdims=True)
+                serial = ((d[:, 1:] * d[:, :-1]).sum(1) / np.maximum((d * d).sum(1), 1e-9) + 1 / n) * np.sqrt(n)
+                least = np.minimum(1.0, np.minimum(tail(chi), np.minimum(2 * tail(np.abs(runs - expected) / spread), 2 * tail(np.abs(serial)))))
+                found.append(1 - (1 - least) ** 3)
+            p = np.minimum(np.floor(np.concatenate(found) * STEPS), STEPS - 1).astype(int)
+            at_least = np.bincount(p, minlength=STEPS)[::-1].cumsum()[::-1] / len(p)
+            out.append({"encoding": encoding, "length": length, "share": at_least.round(6).tolist()})
+    return json.dumps(out)
+
+
 def thresholds(candidates: DataFrame, fdr: float = 0.05) -> DataFrame:
     """(encoding, length, t) of the strata in which some threshold holds the false-discovery rate.
 
     ``candidates`` has a column ``test``. The histogram has at most encodings x length classes x
     STEPS rows, whatever the table."""
     binned = candidates.select("test.encoding", "test.length", F.least(F.floor(F.col("test.p") * STEPS), F.lit(STEPS - 1)).cast("int").alias("step")).groupBy("encoding", "length", "step").agg(F.count("*").alias("n"))
+    law = candidates.sparkSession.range(1).select(F.explode(F.from_json(F.lit(null_law()), "array<struct<encoding:string,length:int,share:array<double>>>")).alias("s"))
+    law = law.select("s.encoding", "s.length", F.posexplode("s.share").alias("step", "share"))
     stratum = Window.partitionBy("encoding", "length")
-    b = binned.withColumn("pi_m", 2 * F.sum(F.when(F.col("step") >= STEPS // 2, F.col("n")).otherwise(0)).over(stratum))
-    b = b.withColumn("above", F.sum("n").over(stratum.orderBy(F.col("step").desc())))
-    ok = 1 - F.col("pi_m") * (1 - F.col("step") / STEPS) / F.col("above") <= fdr
+    b = law.join(F.broadcast(binned), ["encoding", "length", "step"], "left").withColumn("above", F.sum(F.coalesce("n", F.lit(0))).over(stratum.orderBy(F.col("step").desc())))
+    share, step = F.col("share"), F.col("step")
+    guess, error = F.col("above") / share, F.sqrt(F.col("above") * (1 - share)) / share
+    bound = F.when(step == 0, F.col("above")).when(step == STEPS // 10, guess - error).when((step > STEPS // 10) & (step <= STEPS * 6 // 10) & (share > 0), guess + 2 * error)
+    b = b.withColumn("random", F.min(bound).over(stratum))
+    ok = (F.col("above") > 0) & (1 - F.col("random") * F.col("share") / F.col("above") <= fdr)
     return b.where(ok).groupBy("encoding", "length").agg((F.min("step") / STEPS).alias("t"))
 
 
@@ -162,6 +221,9 @@ def _written(spans: Column) -> Column:
 
 
 def digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per document doc_id, the counts of each pattern's secrets and of random tokens, base_sha256 and
+    spans. Null text counts as empty and has none; null ids are ordinary values, repeated rows (and
+    equal spans of rows) stay as they are, other columns are ignored, an empty table gives no rows."""
     s = scan(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
     count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == KINDS.index(kind))).cast("long").alias(f"n_{kind}")
     return s.select("doc_id", *map(count, BASE), F.sha2(_written(F.filter("spans", lambda x: x["kind"] < len(BASE))), 256).alias("base_sha256"), _written(F.col("spans")).alias("spans"), count("random"))
