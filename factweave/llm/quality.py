@@ -39,6 +39,8 @@ BLOCK_BYTES, PART_WORDS = 8_000_000, 1 << 20
 #: A language's band: its median log-perplexity and so many scaled median absolute deviations.
 LOWER, UPPER = 3.0, 3.0
 LEAST_WORDS = 50
+#: Sums of log probabilities go from part to document in steps of one such part of a nat.
+_NAT = 4096
 _BREAKS, _SYMBOLS = b"\x20\x09\x0a\x0b\x0c\x0d", b"#*$%&|<>"
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _rng = np.random.default_rng(97)
@@ -198,17 +200,33 @@ def _by_lang(langs: list[str]) -> tuple[list[str], np.ndarray]:
 _WORD_PARTS = 256
 
 
+#: Distinct words of a language that a task gathers before it hands them on.
+_HELD_WORDS = 1 << 21
+
+
 def _count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+    def rows(name: str) -> pa.RecordBatch:
+        words, n = held.pop(name)
+        # the parts are ranges of the sorted hashes
+        cuts = np.searchsorted(words >> np.uint64(56), np.arange(_WORD_PARTS + 1, dtype=np.uint64))
+        own = [(p, a, z) for p, (a, z) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if z > a]
+        return pa.RecordBatch.from_arrays([pa.array([name] * len(own)), pa.array([x[0] for x in own], pa.int32()), pa.array([packed(words[a:z], n[a:z].astype(np.uint32)) for _, a, z in own], pa.binary())], ["lang", "part", "packed"])
+
     for _, langs, texts in _blocks(batches):
         block = tokenized(texts, False)
         names, of = _by_lang(langs)
         whose = of[block.owner]
         for k, name in enumerate(names):
             words, n = np.unique(block.hashes[whose == k], return_counts=True)
-            # the parts are ranges of the sorted hashes
-            cuts = np.searchsorted(words >> np.uint64(56), np.arange(_WORD_PARTS + 1, dtype=np.uint64))
-            own = [(p, a, z) for p, (a, z) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if z > a]
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(own)), pa.array([x[0] for x in own], pa.int32()), pa.array([packed(words[a:z], n[a:z].astype(np.uint32)) for _, a, z in own], pa.binary())], ["lang", "part", "packed"])
+            if name in held:
+                words, n = merged(np.concatenate((held[name][0], words)), np.concatenate((held[name][1], n)))
+            held[name] = words, n
+            if len(words) > _HELD_WORDS:
+                yield rows(name)
+    for name in list(held):
+        yield rows(name)
 
 
 def _sum_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -434,7 +452,7 @@ def _scored(rows: Iterator, models: dict[str, Model]) -> Iterator[tuple[int, boo
         for r, (c, doc, times) in zip(own, found, strict=True):
             sums = np.bincount(doc, p[np.searchsorted(code, c)] * times)
             have = np.flatnonzero(sums)
-            yield r[0], False, packed(have.astype(np.uint16), sums[have].astype(np.float32))
+            yield r[0], False, packed(have.astype(np.uint16), np.round(-sums[have] * _NAT).astype(np.uint64))
 
 
 _SCORED = pa.schema([*_ROSTER, ("log_perplexity", pa.float64())])
@@ -449,8 +467,8 @@ def _finished(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(first.num_rows)
         for r in rows:
             if not r[1]:
-                doc, x = unpacked(r[2], np.uint16, np.float32)
-                sums[doc] += x
+                doc, x = unpacked(r[2], np.uint16, np.uint64)
+                sums[doc] -= x / _NAT
         # blocks alike in every row have one number: all are there as often, and so are their sums
         sums /= len(rosters)
         mean = -sums / (first["n_words"].to_numpy() + 1)
