@@ -3,15 +3,17 @@
 1. A document is the set of hashes of its word shingles; documents of one set are one class.
 2. A class has a signature of COORDINATES minima. Each (coordinate, value) is a posting token.
    Two sets of similarity s agree in Binomial(COORDINATES, s) coordinates; MATCHES is so low that a
-   pair of similarity 0.8 falls below it once in two million times.
+   pair of similarity 0.8 falls below it with a probability of 3e-6.
 3. Prefix: tokens are ordered by how many classes hold them, rarest first. Two classes that agree in
    MATCHES coordinates share one of the first COORDINATES - MATCHES + 1, so only these are posted.
    Tokens of one class meet nobody; a class all of whose first tokens are such is skipped whole.
-4. Classes under a common posted token form families (connected components of a star from each
-   token to its least class: as many edges as postings, never all pairs of a token).
-5. Within a family, cut into blocks of bounded size, collisions are counted coordinate by coordinate
-   through an inverted index; pairs with MATCHES collisions or more that aren't connected yet are
-   confirmed on their full sets. What leaves a task is a spanning forest of confirmed links.
+4. Pivots: each class is compared, on whole sets, with the one list head with which it shares most
+   posted tokens. That joins most of a large group by as many comparisons as it has classes.
+5. Skip: a posting list all of whose classes are connected by now is done. The components that meet
+   in the others form families, cut into blocks of bounded size. Within two blocks the posting lists of
+   each class's prefix are merged; whoever is met there and isn't connected yet has its other lists
+   probed, as long as MATCHES collisions can still be reached, and is confirmed on whole sets. What
+   leaves a task is a spanning forest of confirmed links.
 6. Components of the confirmed links are the groups.
 """
 
@@ -29,8 +31,10 @@ from . import common
 
 WORDS, SIMILARITY = 5, (80, 100)
 COORDINATES, MATCHES = 96, 58
-#: Shingles in a block of a family, about; a task holds two blocks.
-BLOCK_SHINGLES = 1_000_000
+#: Shingles in a block of a family, about (a set counts as SET_WEIGHT more); a task holds two blocks.
+BLOCK_SHINGLES, SET_WEIGHT = 1_000_000, 100
+#: Comparisons with one pivot in a task, about.
+PIVOT_SETS = 256
 
 _SEEDS = np.random.default_rng(20240501).integers(1, 2**63, COORDINATES, dtype=np.uint64) | np.uint64(1)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -67,18 +71,22 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return (least * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32)).astype(np.uint32)
 
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("node", pa.binary()), ("n_shingles", pa.int64()), ("signature", pa.list_(pa.int32()))])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("node", pa.binary()), ("n_shingles", pa.int64()), ("signature", pa.list_(pa.int32()))])
 
 
-def _signed(docs: DataFrame, words: int) -> DataFrame:
+def _node(hashes: np.ndarray) -> bytes:
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
+
+
+def _signed(rows: DataFrame, words: int) -> DataFrame:
     def run(batches):
         for b in batches:
             sets = [shingle_hashes(t, words) for t in b["text"].to_pylist()]
-            ids = [i for i, s in zip(b["doc_id"].to_pylist(), sets, strict=True) if len(s)]
+            b = b.filter(pa.array([len(s) > 0 for s in sets], pa.bool_()))
             sets = [s for s in sets if len(s)]
-            yield common.batch(_SIGNED, doc_id=ids, node=[hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], n_shingles=[len(s) for s in sets], signature=[signature(s).view(np.int32) for s in sets])
+            yield common.batch(_SIGNED, doc_id=b["doc_id"], key=b["key"], node=[_node(s) for s in sets], n_shingles=[len(s) for s in sets], signature=[signature(s).view(np.int32) for s in sets])
 
-    return docs.mapInArrow(run, "doc_id long, node binary, n_shingles long, signature array<int>")
+    return rows.mapInArrow(run, "doc_id long, key long, node binary, n_shingles long, signature array<int>")
 
 
 def _postings(classes: DataFrame) -> DataFrame:
@@ -92,80 +100,118 @@ def _postings(classes: DataFrame) -> DataFrame:
     return per_class.select("node", F.explode(prefix).alias("t")).select("node", "t.token")
 
 
+def similar(a: np.ndarray, b: np.ndarray, similarity: tuple[int, int]) -> bool:
+    """Whether two sorted sets have at least that Jaccard similarity; their sizes alone may rule it out."""
+    part, whole = similarity
+    if len(a) > len(b):
+        a, b = b, a
+    if whole * len(a) < part * len(b):
+        return False
+    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return whole * both >= part * (len(a) + len(b) - both)
+
+
+def _pivot_links(batches: Iterable[pa.RecordBatch], similarity: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """Rows hub, salt, member, node, own, sorted so that a hub comes before its members: confirmed links."""
+    key = own = None
+    for b in batches:
+        a, z = [], []
+        for hub, salt, member, node, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            found = np.frombuffer(data, np.uint64)
+            if not member:
+                key, own = (hub, salt), found
+            elif key == (hub, salt) and similar(own, found, similarity):
+                a.append(node)
+                z.append(hub)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(z, pa.binary())], ["a", "b"])
+
+
+def _pivots(postings: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """(a, b): links of classes to the list head (a token's least class) they share most tokens with.
+    A head of many classes goes to several tasks."""
+    heads = postings.groupBy("token").agg(F.min("node").alias("hub"))
+    shared = postings.join(heads, "token").where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("n"))
+    best = common.checkpointed(shared.groupBy("node").agg(F.max(F.struct("n", "hub")).alias("best")).select("node", "best.hub"))
+    sizes = best.groupBy("hub").agg(F.ceil(F.count("*") / PIVOT_SETS).cast("int").alias("salts"))
+    member = best.join(sizes, "hub").select("hub", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), F.lit(True).alias("member"), "node")
+    hub = sizes.select("hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("member"), F.col("hub").alias("node"))
+    both = member.unionByName(hub).join(sets, "node").select("hub", "salt", "member", "node", "own")
+    return both.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "member").mapInArrow(lambda it: _pivot_links(it, similarity), "a binary, b binary")
+
+
 def _links(batches: Iterable[pa.RecordBatch], similarity: tuple[int, int]) -> Iterator[pa.RecordBatch]:
-    """Confirmed links (a, b) of each (family, i, j) group: rows family, i, j, block, node, set."""
+    """Confirmed links (a, b) between components, of each (family, i, j) group: rows family, i, j,
+    block, node, component, set."""
     for (_, i, j), rows in common.groups_in_order(batches, ["family", "i", "j"]):
-        nodes, first = [], []
-        sets = []
-        for _, _, _, block, node, own in rows:
-            nodes.append(node)
-            first.append(block == i)
-            sets.append(np.frombuffer(own, np.uint64))
-        a, b = [], []
-        for x, y in confirmed(sets, None if i == j else first, similarity):
-            a.append(nodes[x])
-            b.append(nodes[y])
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
-
-
-def _postings_of(keys: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """An inverted index: the owners ordered by key, and for each entry its key's stretch."""
-    order = np.argsort(keys, kind="stable")
-    new = np.concatenate(([True], keys[order][1:] != keys[order][:-1]))
-    begin = np.flatnonzero(new)
-    of = np.empty(len(keys), np.int64)
-    of[order] = np.cumsum(new) - 1
-    return owner[order], np.append(begin, len(keys)), of
-
-
-def _together(index, entries: slice, n: int) -> np.ndarray:
-    """How many of the entries each of the n owners shares."""
-    owners, begin, of = index
-    runs = of[entries]
-    lengths = begin[runs + 1] - begin[runs]
-    at = np.repeat(begin[runs] - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) + np.arange(lengths.sum())
-    return np.bincount(owners[at], minlength=n)
-
-
-def confirmed(sets: list[np.ndarray], first: list[bool] | None, similarity: tuple[int, int] = SIMILARITY) -> list[tuple[int, int]]:
-    """A spanning forest of the links among the sets (first: only between those of it and the others).
-
-    Collisions are counted for one set against all others at once; those with MATCHES or more, not
-    connected to it yet, are confirmed by the count of common shingles."""
+        sets = [np.frombuffer(r[6], np.uint64) for r in rows]
+        found = confirmed(sets, None if i == j else [r[3] == i for r in rows], [r[5] for r in rows], similarity)
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([rows[x][5] for x, _ in found], pa.binary()), pa.array([rows[y][5] for _, y in found], pa.binary())], ["a", "b"])
+
+
+def _prefix_lists(signatures: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Posting lists of the sets' prefixes in this order of rarity: the holders by list, where each list
+    begins (one more: the end), and of each set its lists (COORDINATES - MATCHES + 1 of them)."""
+    n = len(signatures)
+    tokens = signatures.astype(np.uint64) | (np.arange(COORDINATES, dtype=np.uint64) << np.uint64(32))[None, :]
+    _, of, often = np.unique(tokens, return_inverse=True, return_counts=True)
+    of = of.reshape(n, COORDINATES)
+    rank = np.empty(len(often), np.int64)
+    rank[np.argsort(often, kind="stable")] = np.arange(len(often))
+    own = np.sort(rank[of], axis=1)[:, : COORDINATES - MATCHES + 1]
+    order = np.argsort(own.ravel(), kind="stable")
+    begin = np.searchsorted(own.ravel()[order], np.arange(len(often) + 1))
+    return order // own.shape[1], begin, own
+
+
+def _collide(own: np.ndarray, others: np.ndarray, step: int = 24) -> np.ndarray:
+    """Which of the other signatures agree in MATCHES coordinates or more; one that can't reach them any
+    more is skipped."""
+    left, count = np.arange(len(others)), np.zeros(len(others), np.int64)
+    for at in range(0, COORDINATES, step):
+        count += (others[left, at : at + step] == own[None, at : at + step]).sum(1)
+        ok = count + max(0, COORDINATES - at - step) >= MATCHES
+        left, count = left[ok], count[ok]
+    return left[np.argsort(-count, kind="stable")]
+
+
+def confirmed(sets: list[np.ndarray], first: list[bool] | None, component: list, similarity: tuple[int, int] = SIMILARITY) -> list[tuple[int, int]]:
+    """A spanning forest of the links between the sets' components (first: only between sets of it
+    and the others). Sets of the most frequent component need no search of their own: each pair of
+    two components has one that isn't of it."""
     n = len(sets)
-    if n < 2:
+    place: dict = {}
+    label = np.array([place.setdefault(c, len(place)) for c in component], np.int64)
+    if len(place) < 2:
         return []
+    parent = list(range(len(place)))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
     part, whole = similarity
-    root = np.arange(n)  # the component of each, kept flat
     sizes = np.array([len(s) for s in sets], np.int64)
-    signatures = np.array([signature(s) for s in sets]).astype(np.uint64)
-    marks = (signatures | (np.arange(COORDINATES, dtype=np.uint64) << np.uint64(32))[None, :]).ravel()
-    collisions = _postings_of(marks, np.repeat(np.arange(n), COORDINATES))
-    ends = np.concatenate(([0], np.cumsum(sizes)))
-    shingles = _postings_of(np.concatenate(sets), np.repeat(np.arange(n), sizes))
+    signatures = np.array([signature(s) for s in sets])
+    holders, begin, own = _prefix_lists(signatures)
     side = None if first is None else np.array(first)
+    large = label == np.bincount(label).argmax()
     out = []
-    for x in range(n):
-        if side is not None and not side[x]:
-            continue
-        open_ = root != root[x]
+    for x in np.flatnonzero(~large).tolist():
+        met = np.unique(np.concatenate([holders[begin[t] : begin[t + 1]] for t in own[x].tolist()]))
+        met = met[(label[met] != label[x]) & (large[met] | (met > x))]
+        met = met[whole * np.minimum(sizes[met], sizes[x]) >= part * np.maximum(sizes[met], sizes[x])]
         if side is not None:
-            open_ &= ~side
-        else:
-            open_[: x + 1] = False
-        # sizes alone rule out what can't reach the similarity
-        open_ &= (whole * np.minimum(sizes, sizes[x]) >= part * np.maximum(sizes, sizes[x]))
-        if not open_.any():
+            met = met[side[met] != side[x]]
+        if not len(met):
             continue
-        open_ &= _together(collisions, slice(x * COORDINATES, (x + 1) * COORDINATES), n) >= MATCHES
-        if not open_.any():
-            continue
-        common_ = _together(shingles, slice(ends[x], ends[x + 1]), n)
-        for y in np.flatnonzero(open_ & (whole * common_ >= part * (sizes + sizes[x] - common_))).tolist():
-            if root[y] != root[x]:
+        for y in met[_collide(signatures[x], signatures[met])].tolist():
+            a, b = root(label[x]), root(label[y])
+            if a != b and similar(sets[x], sets[y], similarity):
                 out.append((x, y))
-                root[root == root[y]] = root[x]
+                parent[a] = b
     return out
 
 
@@ -176,45 +222,50 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: tuple[int,
     Similarity is Jaccard of whole sets, ``similarity`` its least value as a fraction. Null and
     blank texts have the empty set and are alone. Repeated rows, and rows of one id with different
     texts, are documents of their own; null ids are no representatives (a group of null ids only has
-    a null component_id), and a row is kept if its id is that of its group. Other columns are ignored.
+    a null component_id), and a row is kept if its id is that of its group. Other columns are ignored;
+    an empty table gives no rows.
     """
+    grouped = with_groups(docs, words, similarity, doc_id, text)
+    return grouped.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def with_groups(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per document: doc_id, key (a hash of its text), n_shingles, group (null for the empty set) and
+    component_id, as near_duplicates says."""
     common.arrow_rows(docs.sparkSession)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), common.text_column(text).alias("text"))
+    t = common.text_column(text)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), t.alias("text"), F.xxhash64(t).alias("key"))
     # signatures once for each class; equal sets meet here, whatever their number
-    signed = _signed(rows, words)
-    membership = common.checkpointed(signed)
-    classes = membership.groupBy("node").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
+    membership = common.checkpointed(_signed(rows, words))
+    pick = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("pick")
+    classes = membership.groupBy("node").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), pick)
     postings = common.checkpointed(_postings(classes))
-    star = postings.join(postings.groupBy("token").agg(F.min("node").alias("hub")), "token").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    families = common.components(star).select("node", F.col("component").alias("family"))
-    sized = families.join(classes.select("node", "n_shingles", "least"), "node")
-    blocks = sized.groupBy("family").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    # hash of the node deals a family to its blocks; each pair of blocks is a group of its own
-    member = sized.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    one = membership.groupBy("node").agg(F.min(F.struct("doc_id")).alias("pick")).select("node", "pick.doc_id")
-    member = common.checkpointed(member.select("family", "blocks", "block", "node"))
-    holders = member.join(one, "node").select("doc_id", "node", "family", "blocks", "block")
-    texts = rows.join(holders, rows["doc_id"].eqNullSafe(holders["doc_id"])).select("node", "family", "blocks", "block", "text")
+    wanted = postings.select("node").distinct().join(classes, "node").select("node", F.col("pick.doc_id").alias("w_id"), F.col("pick.key").alias("w_key"))
+    texts = rows.join(wanted, (rows["key"] == wanted["w_key"]) & rows["doc_id"].eqNullSafe(wanted["w_id"])).select("node", "text")
 
-    def sets(batches):
+    def whole_sets(batches):
         for b in batches:
-            found = [shingle_hashes(t, words) for t in b["text"].to_pylist()]
-            right = [i for i, (s, node) in enumerate(zip(found, b["node"].to_pylist(), strict=True)) if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == node]
-            b = b.take(pa.array(right, pa.int64()))
-            yield pa.RecordBatch.from_arrays([b["family"], b["blocks"], b["block"], b["node"], pa.array([found[i].tobytes() for i in right], pa.binary())], ["family", "blocks", "block", "node", "own"])
-
-    owned = texts.mapInArrow(sets, "family binary, blocks int, block int, node binary, own binary")
-    pairs = owned.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "own")
-    grouped = pairs.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "node")
-    links = grouped.mapInArrow(lambda it: _links(it, similarity), "a binary, b binary")
-    groups = common.components(links)
-    least = groups.join(classes.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("component_id"))
-    of_class = classes.select("node", F.col("least")).join(groups, "node", "left").join(least, "component", "left").select("node", F.coalesce("component_id", "least").alias("component_id"))
-    return _with_groups(rows, membership, of_class)
-
-
-def _with_groups(rows: DataFrame, membership: DataFrame, of_class: DataFrame) -> DataFrame:
-    own = membership.select("doc_id", "n_shingles", "node").join(of_class, "node").select("doc_id", "n_shingles", "component_id")
-    blank = rows.where(~F.regexp_like("text", F.lit(common.WORD))).select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    both = own.unionByName(blank)
-    return both.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+            found = [shingle_hashes(x, words) for x in b["text"].to_pylist()]
+            right = [i for i, (s, node) in enumerate(zip(found, b["node"].to_pylist(), strict=True)) if len(s) and _node(s) == node]
+            yield pa.RecordBatch.from_arrays([b["node"].take(pa.array(right, pa.int64())), pa.array([found[i].tobytes() for i in right], pa.binary())], ["node", "own"])
+
+    sets = common.checkpointed(texts.mapInArrow(whole_sets, "node binary, own binary").dropDuplicates(["node"]))
+    groups = common.components(_pivots(postings, sets, similarity))
+    nodes = common.checkpointed(classes.select("node", "least", "n_shingles").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    listed = postings.join(nodes.select("node", "component"), "node")
+    mixed = listed.groupBy("token").agg(F.min("component").alias("hub"), F.max("component").alias("last")).where("hub <> last").select("token", "hub")
+    listed = common.checkpointed(listed.join(mixed, "token").select("node", "component", "hub").distinct())
+    families = common.components(listed.select(F.col("component").alias("a"), F.col("hub").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("family"))
+    sized = listed.select("node", "component").distinct().join(families, "component").join(nodes.select("node", "n_shingles"), "node")
+    blocks = sized.groupBy("family").agg(F.ceil(F.sum(F.col("n_shingles") + SET_WEIGHT) / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    # hash of the node deals a family to its blocks; each pair of blocks is a group of its own
+    member = sized.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    owned = member.join(sets, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = owned.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "own")
+    links = pairs.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "node").mapInArrow(lambda it: _links(it, similarity), "a binary, b binary")
+    joined = common.components(links).select(F.col("node").alias("component"), F.col("component").alias("joined"))
+    of_class = nodes.join(joined, "component", "left").select("node", "least", F.coalesce("joined", "component").alias("group"))
+    least = of_class.groupBy("group").agg(F.min("least").alias("component_id"))
+    own = membership.select("doc_id", "key", "n_shingles", "node").join(of_class.join(least, "group").select("node", "group", "component_id"), "node")
+    blank = rows.where(~F.regexp_like("text", F.lit(common.WORD))).select("doc_id", "key", F.lit(0).cast("long").alias("n_shingles"), F.lit(None).cast("binary").alias("group"), F.col("doc_id").alias("component_id"))
+    return own.select("doc_id", "key", "n_shingles", "group", "component_id").unionByName(blank)

@@ -137,13 +137,46 @@ def test_near_duplicates_agree_with_brute_force(spark):
             both = len(sets[a] & sets[b])
             if sets[a] and sets[b] and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both) and find(a) != find(b):
                 parent[max(find(a), find(b))] = min(find(a), find(b))
-    for block in (minhash.BLOCK_SHINGLES, 500):
-        kept, minhash.BLOCK_SHINGLES = minhash.BLOCK_SHINGLES, block
+    for block, pivots in ((minhash.BLOCK_SHINGLES, minhash.PIVOT_SETS), (900, 2)):
+        kept, (minhash.BLOCK_SHINGLES, minhash.PIVOT_SETS) = (minhash.BLOCK_SHINGLES, minhash.PIVOT_SETS), (block, pivots)
         got = {r["doc_id"]: r for r in minhash.near_duplicates(docs(spark, texts), words=4).collect()}
-        minhash.BLOCK_SHINGLES = kept
+        minhash.BLOCK_SHINGLES, minhash.PIVOT_SETS = kept
         assert [(got[i]["n_shingles"], got[i]["component_id"]) for i in range(len(texts))] == [(len(sets[i]), find(i)) for i in range(len(texts))]
 
 
+def test_links_between_components_are_brute_force():
+    rng = random.Random(21)
+    base = [[rng.randrange(2**60) for _ in range(60)] for _ in range(3)]
+    sets, component = [], []
+    for i in range(120):
+        own = list(rng.choice(base))
+        for _ in range(rng.randrange(14)):
+            own[rng.randrange(60)] = rng.randrange(2**60)
+        sets.append(np.array(sorted(set(own)), np.uint64))
+        component.append(rng.choice(["large", "large", f"c{i % 40}"]))
+    sides = [rng.random() < 0.5 for _ in sets]
+    for first in (None, sides):
+        def joined(pairs):
+            of = {c: c for c in component}
+            for x, y in pairs:
+                a, b = of[component[x]], of[component[y]]
+                of = {c: (a if r == b else r) for c, r in of.items()}
+            return {frozenset(c for c in of if of[c] == r) for r in of.values()}
+
+        every = [(x, y) for x in range(120) for y in range(x) if (first is None or first[x] != first[y]) and 5 * len(set(sets[x].tolist()) & set(sets[y].tolist())) >= 4 * len(set(sets[x].tolist()) | set(sets[y].tolist()))]
+        got = minhash.confirmed(sets, first, component)
+        assert joined(got) == joined(every) and len(got) <= len(set(component)) - 1
+
+
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    t = [" ".join(f"{c}{i}" for i in range(40)) for c in "abc"]
+    rows = [(None, t[0]), (None, t[0]), (None, t[0] + " more"), (5, t[1]), (5, t[2]), (5, t[1]), (9, t[0]), (-(2**63), t[2] + " x"), (3, None), (None, " ")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit("clash"))
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(d, words=4).collect()), key=str)
+    want = [(None, 37, 9)] * 2 + [(None, 38, 9), (5, 37, 5), (5, 37, -(2**63)), (5, 37, 5), (9, 37, 9), (-(2**63), 38, -(2**63)), (3, 0, 3), (None, 0, None)]
+    assert got == sorted(want, key=str)
+
+
 def test_mix_reaches_targets(spark):
     rng = random.Random(4)
     texts = [words(rng, rng.randrange(1, 30)) for _ in range(600)] + ODD
