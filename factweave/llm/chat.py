@@ -7,8 +7,10 @@ Template, one unit per turn, turns follow each other with nothing between:
     <s>[OUT] body [/OUT]</s>          role assistant
     <s>[ROLE name] body [/ROLE]</s>   any other role (its name always escaped)
 
-A ``!`` after ``<s`` (``<s!>``) says that the body is escaped: every backslash is doubled, and a
-backslash follows the first character of every control string, so none is left inside.
+Each ``!`` after ``<s`` (``<s!>``) says that the body is escaped once: every backslash is doubled, and a
+backslash follows the first character of every control string, so none is left inside. A turn is
+escaped once more until the parser reads back what was written; whole conversations are read back too,
+from their units joined to one stream, in which the parser itself finds where turns end.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from . import common
 CONTROL = ("<s>", "<s!>", "</s>", "[INST]", "[/INST]", "[OUT]", "[/OUT]", "[ROLE ", "[/ROLE]")
 _CONTROL = re.compile("|".join(map(re.escape, CONTROL)))
 _MARKS = {"user": ("[INST]", "[/INST]"), "assistant": ("[OUT]", "[/OUT]")}
-_HEAD = re.compile(r"<s(!?)>(?:(\[INST\])|(\[OUT\])|\[ROLE ((?:[^\\\]]|\\.)*)\]) ", re.DOTALL)
+_HEAD = re.compile(r"<s(!*)>(?:(\[INST\])|(\[OUT\])|\[ROLE ((?:[^\\\]]|\\.)*)\]) ", re.DOTALL)
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 
 
@@ -40,37 +42,57 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(lambda m: m[1], text)
 
 
-def render(role: str, text: str, escaped: bool) -> str:
+def render(role: str, text: str, escapes: int) -> str:
     opening, closing = _MARKS.get(role) or (f"[ROLE {role.replace(chr(92), chr(92) * 2).replace(']', chr(92) + ']')}]", "[/ROLE]")
-    return f"<s{'!' * escaped}>{opening} {escape(text) if escaped else text} {closing}</s>"
+    for _ in range(escapes):
+        text = escape(text)
+    return f"<s{'!' * escapes}>{opening} {text} {closing}</s>"
+
+
+class Parser:
+    """Deterministic and incremental: holds what was fed since the last complete turn."""
+
+    def __init__(self):
+        self.rest = ""
+
+    def feed(self, formatted: str) -> list[tuple[str, str, int, int]] | None:
+        """(role, text, start and end of the body in what was held) of each turn that is complete now;
+        None if what is held can't be one. The first closing mark ends a body."""
+        held, turns, at = self.rest + formatted, [], 0
+        while at < len(held):
+            if not (head := _HEAD.match(held, at)):
+                return None
+            role, close = ("user", " [/INST]</s>") if head[2] else ("assistant", " [/OUT]</s>") if head[3] else (_ESCAPED.sub(lambda m: m[1], head[4]), " [/ROLE]</s>")
+            if (end := held.find(close, head.end())) < 0:
+                break
+            body = held[head.end() : end]
+            if _CONTROL.search(body):
+                return None
+            for _ in head[1]:
+                body = unescape(body)
+            turns.append((role, body, head.end(), end))
+            at = end + len(close)
+        self.rest = held[at:]
+        return turns
 
 
 def parse(formatted: str) -> list[tuple[str, str, int, int]] | None:
-    """(role, text, start and end of the body in the formatted text) of each turn; None if the text
-    isn't a sequence of turns. The first closing mark ends a body."""
-    turns, at = [], 0
-    while at < len(formatted):
-        if not (head := _HEAD.match(formatted, at)):
-            return None
-        role, close = ("user", " [/INST]</s>") if head[2] else ("assistant", " [/OUT]</s>") if head[3] else (_ESCAPED.sub(lambda m: m[1], head[4]), " [/ROLE]</s>")
-        if (end := formatted.find(close, head.end())) < 0:
-            return None
-        body = formatted[head.end() : end]
-        if _CONTROL.search(body):
-            return None
-        turns.append((role, unescape(body) if head[1] else body, head.end(), end))
-        at = end + len(close)
-    return turns
+    """The turns of a whole text; None if it isn't a sequence of turns."""
+    parser = Parser()
+    turns = parser.feed(formatted)
+    return None if turns is None or parser.rest else turns
 
 
 def format_turn(role: str, text: str) -> tuple[str, tuple[str, str, int, int]]:
-    """The rendered turn and what the parser reads back, identical to the source."""
-    for escaped in (False, True):
-        out = render(role, text, escaped)
+    """The rendered turn and what the parser reads back, identical to the source. An escaped body has
+    no control string, so this ends."""
+    escapes = 0
+    while True:
+        out = render(role, text, escapes)
         back = parse(out)
         if back is not None and len(back) == 1 and back[0][:2] == (role, text):
             return out, back[0]
-    raise ValueError(f"a turn of role {role!r} doesn't survive the round trip")
+        escapes += 1
 
 
 _TURN = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string()), ("formatted", pa.string()), ("body_start", pa.int32()), ("body_end", pa.int32())])
@@ -97,41 +119,56 @@ def format_turns(conversations: DataFrame) -> DataFrame:
     return rows.mapInArrow(_format_batches, "conv_id long, turn long, role string, text string, formatted string, body_start int, body_end int")
 
 
-_DIGEST = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
+_DIGEST = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("identical", pa.bool_())])
 
 
-def _digest_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Streams over turns sorted by conversation; holds one digest, not the conversation."""
-    out: list[tuple] = []
-    key, state = None, None
+class _Reader:
+    """Reads a conversation back from its stream; holds digests and at most one turn."""
+
+    def __init__(self):
+        self.parser, self.n, self.loss_chars, self.chars, self.ok = Parser(), 0, 0, 0, True
+        self.turns, self.loss, self.source = hashlib.sha256(), hashlib.sha256(), hashlib.sha256()
+
+    def feed(self, role: str, text: str, formatted: str) -> None:
+        self.source.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
+        self.chars += len(formatted)
+        turns = self.parser.feed(formatted)
+        self.ok &= turns is not None
+        for role_, text_, _, _ in turns or ():
+            self.n += 1
+            self.turns.update(f"{role_}\n{text_}\n".encode("utf-8", "surrogatepass"))
+            if role_ == "assistant":
+                self.loss_chars += len(text_)
+                self.loss.update(text_.encode("utf-8", "surrogatepass"))
 
-    def ended():
-        n, turns, loss_chars, loss, chars = state
-        out.append((key, n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars))
+    def row(self, key) -> tuple:
+        same = self.ok and not self.parser.rest and self.source.digest() == self.turns.digest()
+        return key, self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars, same
 
+
+def _digest_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    out: list[tuple] = []
+    key, reader = None, None
     for b in batches:
-        for conv, formatted in zip(b["conv_id"].to_pylist(), b["formatted"].to_pylist(), strict=True):
-            if state is None or conv != key:
-                if state is not None:
-                    ended()
-                key, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-            for role, text, _, _ in parse(formatted):
-                state[0] += 1
-                state[1].update(f"{role}\n{text}\n".encode())
-                if role == "assistant":
-                    state[2] += len(text)
-                    state[3].update(text.encode())
-            state[4] += len(formatted)
+        for conv, role, text, formatted in zip(*(b[c].to_pylist() for c in ("conv_id", "role", "text", "formatted")), strict=True):
+            if reader is None or conv != key:
+                if reader is not None:
+                    out.append(reader.row(key))
+                key, reader = conv, _Reader()
+            reader.feed(role, text, formatted)
         if len(out) >= 1000:
             yield common.batch(_DIGEST, **dict(zip(_DIGEST.names, zip(*out, strict=True), strict=True)))
             out = []
-    if state is not None:
-        ended()
+    if reader is not None:
+        out.append(reader.row(key))
     if out:
         yield common.batch(_DIGEST, **dict(zip(_DIGEST.names, zip(*out, strict=True), strict=True)))
 
 
 def digest(turns: DataFrame) -> DataFrame:
-    """One row per conversation, read back from the formatted units alone."""
-    ordered = turns.select("conv_id", "turn", "role", "text", "formatted").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "formatted")
-    return ordered.mapInArrow(_digest_batches, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    """One row per conversation, read back from its formatted units as one stream; ``identical`` says
+    that this gave exactly the turns of the source (format_turns makes it true). A null conv_id is a
+    conversation, turns that agree in everything stay, other columns are ignored, and an empty table
+    gives no rows."""
+    ordered = turns.select("conv_id", "turn", "role", "text", "formatted").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text", "formatted")
+    return ordered.mapInArrow(_digest_batches, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, identical boolean")

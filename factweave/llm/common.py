@@ -23,18 +23,29 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder of ``spark.checkpoint.dir``; only where that is unset
-    (tests on one machine) a temporary folder is used."""
+    """Cut the lineage in the shared folder of ``spark.checkpoint.dir``; only on one machine (a local
+    master) a temporary folder is used where that is unset."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; on a local master without one, a temporary folder."""
+    conf = spark.sparkContext.getConf()
+    if folder := conf.get("spark.checkpoint.dir"):
+        return folder.rstrip("/")
+    if not conf.get("spark.master", "").startswith("local[") and conf.get("spark.master") != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="spark-")
+
+
 def arrow_rows(spark: SparkSession, rows: int = 1000) -> None:
-    """Few rows to an Arrow batch: texts may be long, and a batch is held in memory whole."""
+    """Few rows and bytes to an Arrow batch: texts may be long, and a batch is held in memory whole."""
     ship_code(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
 
 
 def ship_code(spark: SparkSession) -> None:

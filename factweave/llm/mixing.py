@@ -37,16 +37,25 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return w.select("source", "source_size", F.when(F.col("level") <= F.coalesce("common", F.col("level")), F.col("cap")).otherwise(F.col("weight") * F.col("common")).alias("target"))
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", slices: int = 512, keep_source: bool = False) -> DataFrame:
-    """Per document: doc_id, size, source_size, target, copies, taken (= copies * size).
+#: Documents for each slice of the orders, about, and slices at least.
+SLICE_ROWS, LEAST_SLICES = 10_000, 64
 
-    ``slices`` divides the order of each source, and then the order of finish times, so that running
-    sums are taken within slices and joined to the slices' totals: no source, however large, passes
-    through one task. Documents of equal hash are ordered by id; repeated rows are documents of their
+
+def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", slices: int | None = None, keep_source: bool = False) -> DataFrame:
+    """Per document: doc_id, size, source_size, target, copies, taken (= copies * size); with
+    ``keep_source`` also source and key, a hash of the text.
+
+    ``slices`` (if not given, in proportion to the documents) divides the order of each source, and
+    then the order of finish times, so that running sums are taken within slices and joined to the
+    slices' totals: no source, however large, passes through one task. Documents of equal hash are ordered by id; repeated rows are documents of their
     own. Size 0 (null or blank text) is never taken. Null ids and a null source are ordinary values.
-    The document that would exceed the budget, and all after it, are left out.
+    The document that would exceed the budget, and all after it, are left out. Other columns are
+    ignored; an empty table gives no rows.
     """
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.regexp_count(common.text_column(text), F.lit(common.WORD)).cast("long").alias("size"), F.md5(F.concat_ws(":", F.lit("mix"), F.col(doc_id).cast("string"))).alias("shuffled"))
+    t = common.text_column(text)
+    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.regexp_count(t, F.lit(common.WORD)).cast("long").alias("size"), F.md5(F.concat_ws(":", F.lit("mix"), F.col(doc_id).cast("string"))).alias("shuffled"), F.xxhash64(t).alias("key"))
+    d = common.checkpointed(d)  # texts are read once
+    slices = slices or max(LEAST_SLICES, d.count() // SLICE_ROWS)
     d = d.withColumn("slice", F.floor(F.conv(F.substring("shuffled", 1, 8), 16, 10).cast("long") * slices / F.lit(2**32)).cast("int"))
     per = d.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
     by_source = targets(per.groupBy("source").agg(F.sum("slice_size").alias("source_size")))
@@ -57,9 +66,9 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
         .join(by_source.alias("b"), F.col("p.source").eqNullSafe(F.col("b.source")))
         .select("p.source", "p.slice", "p.start", "b.source_size", "b.target")
     )
-    d, s = d.alias("d"), F.broadcast(starts).alias("s")  # sources x slices rows, whatever the documents
+    d, s = d.alias("d"), starts.alias("s")  # broadcast only if Spark finds it small
     run = Window.partitionBy("source", "slice").orderBy("shuffled", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = d.join(s, F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d.slice") == F.col("s.slice"))).select("d.doc_id", "d.source", "d.size", "d.shuffled", "d.slice", "s.start", "s.source_size", "s.target")
+    d = d.join(s, F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d.slice") == F.col("s.slice"))).select("d.doc_id", "d.source", "d.key", "d.size", "d.shuffled", "d.slice", "s.start", "s.source_size", "s.target")
     d = d.withColumn("ends", F.col("start") + F.sum("size").over(run))
     d = d.withColumn("nth", F.row_number().over(Window.partitionBy("source", "slice").orderBy("shuffled", F.col("doc_id").asc_nulls_last(), "size")))
     # a pass of its source later, the same document finishes one source_size later
@@ -67,15 +76,15 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
         d.where("size > 0 and target > 0")
         .withColumn("again", F.explode(F.sequence(F.lit(0), F.ceil(F.col("target") / F.col("source_size")).cast("int"))))
         .withColumn("finish", (F.col("ends") + F.col("again") * F.col("source_size")) / F.col("target"))
-        .where((F.col("again") < MOST_REPEATS) & (F.col("finish") <= 2))
-        .withColumn("step", F.floor(F.col("finish") * slices).cast("int"))
+        .where(F.col("again") < MOST_REPEATS)
+        .withColumn("step", F.floor(F.col("finish") * slices).cast("long"))
         .select("source", "slice", "nth", "shuffled", "doc_id", "size", "again", "finish", "step")
     )
     steps = served.groupBy("step").agg(F.sum("size").alias("step_size")).withColumn("sent", F.sum("step_size").over(Window.orderBy("step")) - F.col("step_size"))
     budget = by_source.agg(F.sum("source_size").alias("budget"))
     turn = Window.partitionBy("step").orderBy("finish", "shuffled", F.col("source").asc_nulls_last(), F.col("doc_id").asc_nulls_last(), "again", "nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     kept = (
-        served.join(F.broadcast(steps), "step")
+        served.join(steps, "step")
         .crossJoin(F.broadcast(budget))  # one row
         .withColumn("upto", F.col("sent") + F.sum("size").over(turn))
         .where("upto <= budget")
@@ -83,7 +92,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
         .agg(F.count("*").alias("copies"))
     )
     k = kept.alias("k")
-    source_too = ["d.source"] if keep_source else []
+    source_too = ["d.source", "d.key"] if keep_source else []
     return (
         d.alias("d")
         .join(k, F.col("d.source").eqNullSafe(F.col("k.source")) & (F.col("d.slice") == F.col("k.slice")) & (F.col("d.nth") == F.col("k.nth")), "left")

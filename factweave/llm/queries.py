@@ -107,7 +107,7 @@ m AS (
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-       CAST(sum(marks + length(text) + CASE WHEN controls > 0 THEN 1 + controls + length(text) - length(replace(text, '\', '')) ELSE 0 END) AS BIGINT) AS formatted_chars
+       CAST(sum(marks + length(text) + CASE WHEN controls > 0 THEN 1 + controls + length(text) - length(replace(text, '\', '')) ELSE 0 END) AS BIGINT) AS formatted_chars, true AS identical
 FROM m GROUP BY conv_id
 """
 

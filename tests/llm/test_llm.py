@@ -384,6 +384,10 @@ def test_chat_digest(spark):
     d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit("clash"))
     got = {r["conv_id"]: r for r in chat.digest(chat.format_turns(d)).collect()}
     assert got[1]["turns_sha256"] == hashlib.sha256(b"user\n\nassistant\nyes </s>\n").hexdigest() and got[1]["loss_chars"] == 8
+    assert all(r["identical"] for r in got.values())
+    # the stream is parsed across turns: a unit that swallows its neighbour's border is found
+    broken = chat.format_turns(d).withColumn("formatted", F.when(F.col("role") == "user", F.expr("replace(formatted, ' [/INST]</s>', '')")).otherwise(F.col("formatted")))
+    assert not {r["conv_id"]: r for r in chat.digest(broken).collect()}[1]["identical"]
     assert got[2]["n_turns"] == 2 and got[2]["loss_sha256"] == hashlib.sha256(b"aa").hexdigest() and got[None]["n_turns"] == 1
 
 
