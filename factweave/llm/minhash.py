@@ -237,11 +237,14 @@ def with_groups(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int]
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), t.alias("text"), F.xxhash64(t).alias("key"))
     # signatures once for each class; equal sets meet here, whatever their number
     membership = common.checkpointed(_signed(rows, words))
-    pick = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("pick")
-    classes = membership.groupBy("node").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), pick)
+    classes = membership.groupBy("node").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
     postings = common.checkpointed(_postings(classes))
-    wanted = postings.select("node").distinct().join(classes, "node").select("node", F.col("pick.doc_id").alias("w_id"), F.col("pick.key").alias("w_key"))
-    texts = rows.join(wanted, (rows["key"] == wanted["w_key"]) & rows["doc_id"].eqNullSafe(wanted["w_id"])).select("node", "text")
+    # one row stands for a class; only those that are in the table several times need to be made one
+    alike = membership.groupBy("node", "doc_id", "key").agg(F.count("*").alias("times"))
+    picks = alike.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "times")).alias("pick"))
+    wanted = postings.select("node").distinct().join(picks, "node").select("node", F.col("pick.doc_id").alias("w_id"), F.col("pick.key").alias("w_key"), "pick.times")
+    texts = rows.join(wanted, (rows["key"] == wanted["w_key"]) & rows["doc_id"].eqNullSafe(wanted["w_id"]))
+    texts = texts.where("times = 1").select("node", "text").union(texts.where("times > 1").dropDuplicates(["node"]).select("node", "text"))
 
     def whole_sets(batches):
         for b in batches:
@@ -249,7 +252,7 @@ def with_groups(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int]
             right = [i for i, (s, node) in enumerate(zip(found, b["node"].to_pylist(), strict=True)) if len(s) and _node(s) == node]
             yield pa.RecordBatch.from_arrays([b["node"].take(pa.array(right, pa.int64())), pa.array([found[i].tobytes() for i in right], pa.binary())], ["node", "own"])
 
-    sets = common.checkpointed(texts.mapInArrow(whole_sets, "node binary, own binary").dropDuplicates(["node"]))
+    sets = common.checkpointed(texts.mapInArrow(whole_sets, "node binary, own binary"))
     groups = common.components(_pivots(postings, sets, similarity))
     nodes = common.checkpointed(classes.select("node", "least", "n_shingles").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")))
     listed = postings.join(nodes.select("node", "component"), "node")
