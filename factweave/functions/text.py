@@ -6,34 +6,80 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: White space as scripts know it, wider than that of \s.
+SPACE = r"[\s\u000B\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
+#: Longest address, and most query keys, that are looked at.
+MAX_TARGET, MAX_KEYS = 2048, 100
+
+
+def trim(text: Column) -> Column:
+    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$", "")
+
+
 def normalize_route(path: Column) -> Column:
     return F.concat(F.lit("/"), F.array_join(F.filter(F.split(path, "/"), lambda s: s != ""), "/"))
 
 
 def route_to_openapi(path: Column, prefix: str = "") -> Column:
-    return F.concat(F.lit(prefix), F.regexp_replace(normalize_route(path), r":([A-Za-z0-9_]+)", r"{$1}"))
+    """Parameters (a colon and a name, which has no digit first) in braces, below the prefix."""
+    return normalize_route(F.concat(F.lit(prefix + "/"), F.regexp_replace(path, r":([A-Za-z_][A-Za-z0-9_]*)", r"{$1}")))
+
+
+def repository_path(path: Column) -> Column:
+    """A relative path without empty, ``.`` and ``..`` segments, ``.`` for the root itself; null if it is
+    absolute or leaves the root."""
+    kept = F.aggregate(
+        F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"),
+        F.array().cast("array<string>"),
+        lambda acc, s: F.when(s.isin("", "."), acc).when((s == "..") & (F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1) != ".."), F.slice(acc, F.lit(1), F.size(acc) - 1)).otherwise(F.concat(acc, F.array(s))),
+    )
+    out = F.array_join(kept, "/")
+    return F.when(F.regexp_like(path, F.lit(r"^(?:[/\\]|[A-Za-z]:)")) | F.regexp_like(out, F.lit(r"^\.\.(?:/|$)")), F.lit(None)).when(out == "", ".").otherwise(out)
 
 
 def url_target(url: Column) -> Column:
-    """Without fragment, user information and query; null if it is longer than 2048 characters."""
-    bare = F.regexp_replace(F.regexp_extract(url, r"^[^#?]*", 0), r"^([A-Za-z][A-Za-z0-9+.-]*://)[^/@]*@", "$1")
-    return F.when(F.length(url) <= 2048, bare)
+    """Without fragment, query and user information (up to the last @ before the path); null, which is
+    a dynamic target, if nothing is left or the address has over MAX_TARGET code points."""
+    path = F.regexp_extract(url, r"^[^#?]*", 0)
+    bare = F.when(F.contains(path, F.lit("://")), F.regexp_replace(path, r"(?s)^((?>.*?://))[^/]*@", "$1")).otherwise(F.regexp_replace(path, r"^(//)[^/]*@", "$1"))
+    return F.when((F.length(url) <= MAX_TARGET) & (bare != ""), bare)
 
 
 def url_query_keys(url: Column) -> Column:
-    """Sorted distinct key names of the query, without values; keys with braces are dropped."""
+    """Sorted distinct names among the query's first MAX_KEYS keys, without values; keys with braces
+    are dropped first."""
     query = F.regexp_extract(url, r"^[^#?]*\?([^#]*)", 1)
     keys = F.transform(F.split(query, "&"), lambda s: F.regexp_extract(s, r"^[^=]*", 0))
-    return F.array_join(F.slice(F.array_sort(F.array_distinct(F.filter(keys, lambda k: (k != "") & ~F.regexp_like(k, F.lit(r"[{}]"))))), 1, 100), ",")
+    first = F.slice(F.filter(keys, lambda k: (k != "") & ~F.regexp_like(k, F.lit(r"[{}]"))), 1, MAX_KEYS)
+    return F.when(F.length(url) <= MAX_TARGET, F.array_join(F.array_sort(F.array_distinct(first)), ",")).otherwise(F.lit(""))
+
+
+def is_absolute(url: Column) -> Column:
+    return F.regexp_like(url, F.lit(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//"))
+
+
+def joined_target(base: Column, base_kind: Column, request: Column, request_kind: Column) -> Column:
+    """struct<value, kind> of a request under a base address; a null value is dynamic, a null kind of
+    the base says that there is none. An absolute request wins; a dynamic part makes the whole dynamic;
+    the less exact kind (symbolic, then template, then exact) holds."""
+    either = lambda k: (base_kind == k) | (request_kind == k)
+    value = F.concat(F.regexp_replace(base, "/+$", ""), F.lit("/"), F.regexp_replace(request, "^/+", ""))
+    alone = F.coalesce(is_absolute(request), F.lit(False)) | base_kind.isNull()
+    fits = base.isNotNull() & request.isNotNull() & (F.length(value) <= MAX_TARGET)
+    kind = F.when(alone, request_kind).when(~fits, "dynamic").when(either("symbolic"), "symbolic").when(either("template"), "template").otherwise("exact")
+    return F.struct(F.when(alone, request).when(fits, value).alias("value"), kind.alias("kind"))
 
 
+#: Fixed names of what is secret, and the quotes around values.
+SECRET_NAMES = r"(?:api[_-]?key|secret|password|passwd|token|authorization)"
+_QUOTED = r"""(["'`])[^\r\n]*?\2"""
 #: Fixed rules, in this order: what is matched, what it becomes.
 REDACTIONS = (
-    (r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----", "[REDACTED KEY]"),
-    (r"([A-Za-z][A-Za-z0-9+.-]*://)[^\s/@:]+:[^\s/@]+@", "$1[REDACTED]@"),
-    (r"(?i)(bearer\s+)[A-Za-z0-9._~+/=-]+", "$1[REDACTED]"),
-    (r"""(?i)((?:password|passwd|secret|token|api_?key)\s*[:=]\s*)"[^"]*\"""", '$1"[REDACTED]"'),
-    (r"""(?i)((?:password|passwd|secret|token|api_?key)\s*[:=]\s*)[A-Za-z0-9+/_.=-]+""", "$1[REDACTED]"),
+    (r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----", "[REDACTED PRIVATE KEY]"),
+    (rf"(?i)(\b[a-z][a-z0-9+.-]*://(?:(?!{SPACE})[^/:@])+:)(?:(?!{SPACE})[^@/])+(@)", "$1[REDACTED]$2"),
+    (rf"(?i)\bBearer{SPACE}+[A-Za-z0-9._~+/=-]+", "Bearer [REDACTED]"),
+    (rf"(?i)(\b{SECRET_NAMES}\b{SPACE}*[=!]==?{SPACE}*){_QUOTED}", "$1$2[REDACTED]$2"),
+    (rf"(?i)(\b{SECRET_NAMES}\b{SPACE}*[:=]{SPACE}*){_QUOTED}", "$1$2[REDACTED]$2"),
 )
 
 
@@ -44,13 +90,45 @@ def redact(text: Column) -> Column:
 
 
 def snippet(text: Column, limit: int) -> Column:
-    """Trimmed and cut to limit code points, the last an ellipsis if any are lost."""
-    t = F.trim(text)
+    """Trimmed, redacted, then cut to limit code points, the last an ellipsis if any are lost."""
+    t = redact(trim(text))
     return F.when(F.length(t) > limit, F.concat(F.substring(t, 1, limit - 1), F.lit("…"))).otherwise(t)
 
 
 def signature(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"[ \t\r\n]+", " "))
+    return trim(F.regexp_replace(text, f"{SPACE}+", " "))
+
+
+def line_and_column(text: Column, offset: Column) -> Column:
+    """struct<line, column>, both from 1, of a place before which the text has ``offset`` code points;
+    null outside the text."""
+    before = F.substring(text, F.lit(1), offset)
+    breaks = r"\r\n|[\r\n\u2028\u2029]"
+    own = F.struct((F.regexp_count(before, F.lit(breaks)) + 1).alias("line"), (F.length(F.regexp_extract(before, rf"(?s)^(?:.*(?:{breaks}))?(.*)$", 1)) + 1).alias("column"))
+    return F.when((offset >= 0) & (offset <= F.length(text)), own)
+
+
+def trace_file_name(verb: Column, path: Column, endpoint: Column) -> Column:
+    """verb-route-suffix.md: the route's letters and digits, 96 at most, and ten characters of the id."""
+    label = F.substring(F.regexp_replace(F.regexp_replace(path, r"[^A-Za-z0-9]+", "-"), r"^-+|-+$", ""), 1, 96)
+    return F.concat(F.lower(verb), F.lit("-"), F.when(label == "", "route").otherwise(label), F.lit("-"), F.substring(F.element_at(F.split(endpoint, ":"), -1), 1, 10), F.lit(".md"))
+
+
+def target_label(kind: Column, name: Column, detail: Column, technology: Column) -> Column:
+    """What a target is called: an address with its verb, an event, a queue with its job, or a message."""
+    or_ = lambda c, text: F.coalesce(c, F.lit(text))
+    return (
+        F.when(kind == "outbound_http", F.concat_ws(" ", technology, or_(name, "dynamic target")))
+        .when(kind == "in_process_event", F.concat(F.when(detail == "symbol", "symbol ").otherwise(""), or_(name, "dynamic event")))
+        .when(kind == "job_queue", F.concat(technology, F.lit(" queue "), or_(name, "dynamic queue"), F.lit("; job "), or_(detail, "any/dynamic job")))
+        .when(kind == "microservice_message", F.concat(or_(name, "dynamic pattern"), F.lit("; client "), or_(detail, "dynamic client"), F.lit("; transport "), or_(technology, "unknown transport")))
+    )
+
+
+def target_dynamism(kind: Column, name: Column, detail: Column, technology: Column) -> Column:
+    """static, dynamic or unknown, from the parts that identify a target of its kind."""
+    needs = F.when(kind == "outbound_http", name.isNull() | (technology == "UNKNOWN")).when(kind == "in_process_event", name.isNull()).otherwise(name.isNull() | detail.isNull())
+    return F.when(needs, "dynamic").when((kind == "microservice_message") & technology.isNull(), "unknown").otherwise("static")
 
 
 def csv_cell(text: Column) -> Column:
@@ -60,15 +138,28 @@ def csv_cell(text: Column) -> Column:
 
 
 def json_string(value: Column) -> Column:
-    return F.concat(F.lit('"'), F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    """A string as JSON writes it; control characters as \\uXXXX unless they have a short form."""
+    out = F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    short = {8: "b", 9: "t", 10: "n", 12: "f", 13: "r"}
+    full = out
+    for code in range(32):
+        full = F.replace(full, F.lit(chr(code)), F.lit("\\" + (short.get(code) or f"u{code:04x}")))
+    quoted = F.when(F.regexp_like(value, F.lit(r"[\u0000-\u001F]")), full).otherwise(out)
+    return F.concat(F.lit('"'), quoted, F.lit('"'))
+
+
+def json_value(value: Column) -> Column:
+    """A string, number, boolean or null."""
+    plain = F.typeof(value).isin("boolean", "tinyint", "smallint", "int", "bigint", "void")
+    return F.coalesce(F.when(plain, value.cast("string")).otherwise(json_string(value.cast("string"))), F.lit("null"))
 
 
 def semantic_key(kind: str, *parts: Column) -> Column:
     """A kind and its parts as a JSON array: the identity of a record across snapshots."""
-    return F.concat(F.lit(f'["{kind}",'), F.concat_ws(",", *[F.coalesce(json_string(p.cast("string")), F.lit("null")) for p in parts]), F.lit("]"))
+    return F.concat(F.lit(f'["{kind}",'), F.concat_ws(",", *map(json_value, parts)), F.lit("]"))
 
 
 def stable_id(kind: str, *parts: Column) -> Column:
     """The kind and 32 hexadecimal digits of a digest of the parts."""
-    json = F.concat(F.lit("["), F.concat_ws(",", *[F.coalesce(json_string(p.cast("string")), F.lit("null")) for p in parts]), F.lit("]"))
+    json = F.concat(F.lit("["), F.concat_ws(",", *map(json_value, parts)), F.lit("]"))
     return F.concat(F.lit(f"{kind}:"), F.substring(F.sha2(json, 256), 1, 32))

@@ -65,3 +65,51 @@ def diagnostic_changes(before: DataFrame, after: DataFrame) -> DataFrame:
 def collisions(records: DataFrame, kind: str, key: str, member: str) -> DataFrame:
     """Keys that more than one record of a kind holds, with their sorted members."""
     return records.groupBy(kind, key).agg(F.count("*").alias("records"), F.array_join(F.array_sort(F.collect_set(F.col(member).cast("string"))), ",").alias("members")).where("records > 1")
+
+
+def projection(records: DataFrame, kind: str, key: list[str], certain: Column) -> DataFrame:
+    """The records with ``key`` (their semantic key) and ``identity``: unresolved if they aren't
+    certain, ambiguous if several certain ones have the key, else resolved."""
+    from factweave.functions.text import semantic_key
+
+    p = records.withColumn("certain", certain).withColumn("key", semantic_key(kind, *map(F.col, key)))
+    n = p.where("certain").groupBy("key").agg(F.count("*").alias("n"))
+    return p.join(n, "key", "left").withColumn("identity", F.when(~F.col("certain"), "unresolved").when(F.col("n") > 1, "ambiguous").otherwise("resolved")).drop("certain", "n")
+
+
+def family_changes(before: DataFrame, after: DataFrame, family: str, values: dict[str, str]) -> DataFrame:
+    """(family, key, change, reasons) of records with a column ``key``; values: column to the reason that its
+    difference gives. Interactions and handlers are compared so: what isn't in their key is a reason."""
+    a, b = (df.select("key", *[F.col(c).alias(r) for c, r in values.items()]) for df in (before, after))
+    d = keyed_diff(a, b, ["key"], list(values.values()))
+    reasons = F.when(F.col("change").isin("added", "removed"), F.concat(F.lit(f"{family}_"), F.col("change"))).otherwise(F.col("reasons"))
+    return d.select(F.lit(family).alias("family"), "key", "change", reasons.alias("reasons"))
+
+
+def merged_ambiguities(rows: DataFrame) -> DataFrame:
+    """(kind, record_kind, key, side, before, after): ambiguities of one identity made one: sides before
+    and after become both, candidates are united. rows: kind, record_kind, key, side, candidate, of."""
+    side = lambda s: F.bool_or(F.col("side").isin(s, "both"))
+    members = lambda s: F.array_join(F.array_sort(F.collect_set(F.when(F.col("of") == s, F.col("candidate").cast("string")))), ",").alias(s)
+    return rows.groupBy("kind", "record_kind", "key").agg(F.when(side("before") & side("after"), "both").when(side("before"), "before").otherwise("after").alias("side"), members("before"), members("after"))
+
+
+def ambiguities(before: DataFrame, after: DataFrame, record_kind: str) -> DataFrame:
+    """The candidates of keys that several records of a side hold, of both sides, as rows for
+    merged_ambiguities. Records: key, id."""
+    def of(df: DataFrame, side: str) -> DataFrame:
+        return df.groupBy("key").agg(F.count("*").alias(side))
+
+    n = of(before, "b").join(of(after, "a"), "key", "full").na.fill(0).where("a > 1 or b > 1")
+    n = n.select("key", F.when((F.col("a") > 1) & (F.col("b") > 1), "both").when(F.col("b") > 1, "before").otherwise("after").alias("side"))
+    rows = [df.join(n, "key").select(F.lit("semantic_key").alias("kind"), F.lit(record_kind).alias("record_kind"), "key", "side", F.col("id").alias("candidate"), F.lit(s).alias("of")) for df, s in ((before, "before"), (after, "after"))]
+    return rows[0].unionByName(rows[1])
+
+
+def whole_diff(families: dict[str, tuple[DataFrame, DataFrame, dict[str, str]]]) -> DataFrame:
+    """All families' changes in one table: (family, key, change, reasons)."""
+    return reduce(DataFrame.unionByName, [family_changes(a, b, name, values) for name, (a, b, values) in families.items()])
+
+
+def diff_summary(changes: DataFrame) -> DataFrame:
+    return changes.groupBy("family").agg(*[F.count_if(F.col("change") == c).alias(c) for c in ("added", "removed", "modified", "ambiguous")])

@@ -25,7 +25,8 @@ def bounded_reach(edges: DataFrame, roots: DataFrame, max_depth: int) -> DataFra
     seen = frontier
     for depth in range(1, max_depth + 1):
         new = frontier.join(step, frontier["node"] == step["subject"]).select("root", F.col("object").alias("node")).distinct()
-        frontier = new.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth))
+        # written once: the next round and the result read it, and plan nothing again
+        frontier = cut(new.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         seen = seen.unionByName(frontier)
     return seen
 
@@ -144,3 +145,32 @@ def trace(edges: DataFrame, dispatch: DataFrame, roots: DataFrame, max_depth: in
         generation = cut(ranked.where(F.col("had") + F.col("rank") <= max_states).select(*key, "path", (F.col("had") + F.col("rank")).alias("ord")))
         seen = cut(seen.unionByName(generation))
     return seen, cuts.groupBy("root", "node", "stop").agg(F.sum("n").alias("n"))
+
+
+def handler_traces(edges: DataFrame, dispatch: DataFrame, handlers: DataFrame, **limits: int) -> tuple[DataFrame, DataFrame]:
+    """The causal trace from the methods of handlers (handler, method), as of roots: (states with the
+    column handler, truncations). Handlers that share a method share its trace."""
+    states, cuts = trace(edges, dispatch, handlers.select(F.col("method").alias("root")).distinct(), **limits)
+    of = handlers.select("handler", F.col("method").alias("root"))
+    return states.join(of, "root"), cuts.join(of, "root")
+
+
+def resolved_constants(names: DataFrame, max_hops: int = 8) -> DataFrame:
+    """(name, value, reason): names (name, value, alias) that hold a value or stand for another name.
+    Aliases are followed max_hops times at most; reason says why a name has no value: cycle, hop_limit,
+    undeclared or ambiguous (a name that is declared twice)."""
+    n = names.groupBy("name").agg(F.count("*").alias("n"), F.first("value").alias("value"), F.first("alias").alias("alias"))
+    one = cut(n.select("name", F.when(F.col("n") == 1, F.col("value")).alias("value"), F.when(F.col("n") == 1, F.col("alias")).alias("alias"), (F.col("n") > 1).alias("several")))
+    target = one.select(F.col("name").alias("alias"), F.col("value").alias("t_value"), F.col("alias").alias("t_alias"), F.col("several").alias("t_several"))
+    open_ = one.select("name", "value", "alias", F.array("name").alias("seen"), F.when(F.col("several"), "ambiguous").alias("reason"))
+    done = open_.where("value is not null or reason is not null or alias is null")
+    open_ = open_.where("value is null and reason is null and alias is not null")
+    for _ in range(max_hops):
+        j = open_.join(target, "alias", "left")
+        reason = F.when(F.array_contains("seen", F.col("alias")), "cycle").when(F.col("t_several").isNull(), "undeclared").when(F.col("t_several"), "ambiguous")
+        j = cut(j.select("name", F.col("t_value").alias("value"), F.col("t_alias").alias("alias"), F.concat("seen", F.array("alias")).alias("seen"), reason.alias("reason")))
+        done = done.unionByName(j.where("value is not null or reason is not null or alias is null"))
+        open_ = j.where("value is null and reason is null and alias is not null")
+    left = open_.withColumn("reason", F.when(F.array_contains("seen", F.col("alias")), "cycle").otherwise("hop_limit"))
+    reason = F.coalesce("reason", F.when(F.col("value").isNull(), "undeclared"))
+    return done.unionByName(left).select("name", F.when(reason.isNull(), F.col("value")).alias("value"), reason.alias("reason"))

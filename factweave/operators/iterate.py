@@ -10,11 +10,14 @@ from pyspark.sql import DataFrame
 
 def cut(df: DataFrame) -> DataFrame:
     """The rows of df, written to the shared folder of spark.checkpoint.dir and read back (to a
-    temporary folder only if that is unset). What is read has no plan but its scan, so an iteration
+    temporary folder only if that is unset, on one machine). What is read has no plan but its scan, so an iteration
     plans each round afresh and survives lost executors."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+        folder, master = sc.getConf().get("spark.checkpoint.dir"), sc.getConf().get("spark.master", "")
+        if not folder and master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     path = f"{sc._jsc.sc().getCheckpointDir().get()}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

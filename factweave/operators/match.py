@@ -36,11 +36,23 @@ def exact_match(producers: DataFrame, handlers: DataFrame, key: str = "target_ke
 
 
 def wildcard_match(producers: DataFrame, patterns: DataFrame, delimiter: str = ".") -> DataFrame:
-    """(producer, handler): events whose name a handler's pattern matches. Patterns are grouped by
-    text first; the few distinct ones are broadcast to the distinct names, then both sides fan out."""
+    """(producer, handler): events whose name a handler's pattern matches. Distinct patterns meet
+    distinct names, then both sides fan out.
+
+    A pattern that begins with a plain segment meets only the names that begin with it, and one without
+    ``**`` only those of as many segments: both are join keys, so no table has to be broadcast."""
+    d = _quoted(delimiter)
     compiled = patterns.where(valid_pattern(F.col("pattern"), delimiter)).select("pattern").distinct().withColumn("regex", pattern_to_regex(F.col("pattern"), delimiter))
-    names = producers.select("name").distinct()
-    hits = names.join(F.broadcast(compiled), F.regexp_like(F.concat("name", F.lit(delimiter)), F.col("regex"))).select("name", "pattern")
+    parts = F.split("pattern", d)
+    compiled = compiled.withColumn("p_first", F.when(~F.get(parts, F.lit(0)).isin("*", "**"), F.get(parts, F.lit(0)))).withColumn("p_size", F.when(~F.array_contains(parts, "**"), F.size(parts)))
+    names = producers.select("name").distinct().withColumn("first", F.get(F.split("name", d), F.lit(0))).withColumn("segments", F.size(F.split("name", d)))
+    fits = F.regexp_like(F.concat("name", F.lit(delimiter)), F.col("regex"))
+    arms = [
+        names.join(compiled.where("p_first is not null"), (F.col("first") == F.col("p_first")) & fits),
+        names.join(compiled.where("p_first is null and p_size is not null"), (F.col("segments") == F.col("p_size")) & fits),
+        names.join(compiled.where("p_first is null and p_size is null"), fits),  # of ** first: any name may match
+    ]
+    hits = arms[0].unionByName(arms[1]).unionByName(arms[2]).select("name", "pattern")
     return producers.join(hits, "name").join(patterns, "pattern").select("producer", "handler", "name", "pattern")
 
 
@@ -127,3 +139,65 @@ def slot_match(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     b = right.groupBy(*keys).agg(F.count("*").alias("rights"))
     both = a.join(b, keys, "full").na.fill(0, ["lefts", "rights"])
     return both.withColumn("state", F.when(F.col("rights") == 0, "unmatched_left").when(F.col("lefts") == 0, "unmatched_right").when((F.col("lefts") == 1) & (F.col("rights") == 1), "resolved").otherwise("ambiguous"))
+
+
+def same_application(a: Column, b: Column) -> Column:
+    """Applications agree if either is unknown or both are the same."""
+    return a.isNull() | b.isNull() | (a == b)
+
+
+def event_match(producers: DataFrame, handlers: DataFrame) -> DataFrame:
+    """(producer, handler): the same event in applications that agree."""
+    p, h = producers.alias("p"), handlers.alias("h")
+    return p.join(h, (F.col("p.event") == F.col("h.event")) & same_application(F.col("p.application"), F.col("h.application"))).select("p.producer", "h.handler")
+
+
+def selected_branches(producers: DataFrame, dispatches: DataFrame) -> DataFrame:
+    """(producer, handler, restricted, branches): producers (producer, handler, job, exact) against
+    dispatches (handler, branch, selector, jobs), one row a branch.
+
+    Only an exact job restricts, and only a handler with a dispatch; its branches are then those whose
+    selector matches (an unknown one doesn't), sorted and maybe none. Without a restriction, null."""
+    p = producers.alias("p").join(dispatches.alias("d"), "handler", "left")
+    takes = branch_state(F.col("d.selector"), F.col("d.jobs"), F.col("p.job")) == "matches"
+    found = p.groupBy("producer", "handler", "job", "exact").agg(F.count("d.branch").alias("n"), F.array_join(F.array_sort(F.collect_set(F.when(takes, F.col("d.branch")))), ",").alias("branches"))
+    restricted = F.col("exact") & F.col("job").isNotNull() & (F.col("n") > 0)
+    return found.select("producer", "handler", restricted.alias("restricted"), F.when(restricted, F.col("branches")).alias("branches"))
+
+
+def endpoint_authorization(metadata: DataFrame, enforcements: DataFrame, guards: DataFrame) -> DataFrame:
+    """One row a requirement: metadata (metadata, endpoint, name, evidence) enforced at its own endpoint
+    (enforcement, metadata, endpoint, state, guard, evidence), the guard's name if it is known, and the
+    sorted union of both's evidence."""
+    m, e = metadata.alias("m"), enforcements.alias("e")
+    joined = m.join(e, (F.col("m.metadata") == F.col("e.metadata")) & (F.col("m.endpoint") == F.col("e.endpoint"))).join(guards.alias("g"), F.col("e.guard") == F.col("g.guard"), "left")
+    evidence = F.array_join(F.array_sort(F.array_union("m.evidence", "e.evidence")), ",")
+    return joined.select("m.endpoint", "m.metadata", "e.enforcement", "m.name", "e.state", F.col("g.name").alias("guard_name"), evidence.alias("evidence"))
+
+
+def provenance(influences: DataFrame, origins: DataFrame, columns: DataFrame) -> DataFrame:
+    """(endpoint, origin, column, entity, evidence): request parts that reach table columns. influences
+    (origin, column, evidence) joined to their origins (origin, endpoint) and columns (column, entity),
+    evidence united."""
+    star = influences.join(origins, "origin").join(columns, "column")
+    return star.groupBy("endpoint", "origin", "column", "entity").agg(F.array_join(F.array_sort(F.collect_set(F.col("evidence").cast("string"))), ",").alias("evidence"))
+
+
+def at_locations(wanted: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(path, line, column, evidence): the sorted ids of the evidence that begins at each wanted place,
+    empty where there is none."""
+    place = ["path", "line", "column"]
+    found = evidence.groupBy(*place).agg(F.array_join(F.array_sort(F.collect_set(F.col("id").cast("string"))), ",").alias("evidence"))
+    return wanted.select(*place).distinct().join(found, place, "left").na.fill("", ["evidence"])
+
+
+def select_endpoints(selectors: DataFrame, endpoints: DataFrame) -> DataFrame:
+    """(verb, path, state, candidates): resolved, not_found or ambiguous, with the candidates' sorted ids."""
+    found = endpoints.groupBy("verb", "path").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set(F.col("id").cast("string"))), ",").alias("candidates"))
+    s = selectors.select("verb", "path").distinct().join(found, ["verb", "path"], "left")
+    return s.select("verb", "path", F.when(F.col("n").isNull(), "not_found").when(F.col("n") > 1, "ambiguous").otherwise("resolved").alias("state"), F.coalesce("candidates", F.lit("")).alias("candidates"))
+
+
+def catalogue_view(endpoints: DataFrame, wanted: Column) -> DataFrame:
+    """The endpoints that are wanted, each with the number of all (which the filter doesn't change)."""
+    return endpoints.crossJoin(F.broadcast(endpoints.agg(F.count("*").alias("total")))).where(wanted)  # one row

@@ -38,3 +38,27 @@ def ownership(subjects: DataFrame, owners: DataFrame) -> DataFrame:
     s = subjects.join(o, "subject", "left").na.fill(0, ["n_owners"])
     state = F.when(~F.coalesce("certain", F.lit(True)), "ownership_unknown").when(F.col("n_owners") == 0, "not_declared").when(F.col("n_owners") == 1, "unique").otherwise("multiple")
     return s.select("subject", state.alias("state"), "n_owners")
+
+
+def reachability(counts: DataFrame) -> DataFrame:
+    """(node, roots, label): nodes that no supported root reaches are named."""
+    return counts.withColumn("label", F.when(F.col("roots") == 0, "not_reached_from_supported_roots").otherwise("reached"))
+
+
+#: Fixed order of certainty, the surest first.
+CERTAINTY = ("resolved", "conditional_candidate", "ambiguous", "unknown")
+
+
+def least_certain(rows: DataFrame, key: str, certainty: str, lists: list[str]) -> DataFrame:
+    """One row a key: the least sure of its certainties, and the sorted unions of its lists."""
+    order = F.array(*map(F.lit, CERTAINTY))
+    united = [F.array_join(F.array_sort(F.collect_set(F.col(c).cast("string"))), ",").alias(c) for c in lists]
+    return rows.groupBy(key).agg(F.element_at(order, F.max(F.array_position(order, F.col(certainty))).cast("int")).alias(certainty), *united)
+
+
+def architecture(nodes: DataFrame, edges: DataFrame, reach: DataFrame) -> DataFrame:
+    """One row for each kind of node: how many, how many resolved edges leave and enter them, the
+    largest fan-in, and how many no root reaches."""
+    d = nodes.join(degrees(edges), "node", "left").na.fill(0, ["fan_out", "fan_in"])
+    d = reachability(reach_counts(d, reach))
+    return d.groupBy("kind").agg(F.count("*").alias("nodes"), F.sum("fan_out").alias("fan_out"), F.sum("fan_in").alias("fan_in"), F.max("fan_in").alias("most_fan_in"), F.count_if(F.col("roots") == 0).alias("not_reached"))

@@ -2,25 +2,31 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
 def greedy_scene(edges: DataFrame, max_nodes: int, max_edges: int) -> DataFrame:
     """(root, edge_id, position): each root's edges by rank and id; an edge is taken if its new ends
     fit the node budget, skipped otherwise, until the edge budget is reached. What is taken depends
-    on what was, so a root's edges are walked in order, one root a group."""
+    on what was, so a root's edges are walked in order; they stream by, and only the scene's nodes
+    are held."""
 
-    def walk(own: pd.DataFrame) -> pd.DataFrame:
-        nodes, taken = set(), []
-        for e in own.sort_values(["rank", "edge_id"]).itertuples():
-            new = {e.subject, e.object} - nodes
-            if len(nodes) + len(new) > max_nodes:
-                continue
-            nodes |= new
-            taken.append((e.root, e.edge_id))
-            if len(taken) == max_edges:
-                break
-        return pd.DataFrame([(r, i, k + 1) for k, (r, i) in enumerate(taken)], columns=["root", "edge_id", "position"])
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root, nodes, taken = None, set(), 0
+        for b in batches:
+            out = []
+            for own, edge_id, subject, object_ in zip(*(b[c].to_pylist() for c in ("root", "edge_id", "subject", "object")), strict=True):
+                if own != root:
+                    root, nodes, taken = own, set(), 0
+                new = {subject, object_} - nodes
+                if taken < max_edges and len(nodes) + len(new) <= max_nodes:
+                    nodes |= new
+                    taken += 1
+                    out.append((own, edge_id, taken))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["root", "edge_id", "position"])
 
-    return edges.select("root", "edge_id", "subject", "object", "rank").groupBy("root").applyInPandas(walk, "root string, edge_id string, position long")
+    ordered = edges.select("root", "edge_id", "subject", "object", "rank").repartition("root").sortWithinPartitions("root", "rank", "edge_id")
+    return ordered.select("root", "edge_id", "subject", "object").mapInArrow(walk, "root string, edge_id string, position long")

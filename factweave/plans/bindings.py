@@ -674,38 +674,56 @@ def route_normalize(spark, sf):
     return table(spark, sf, "pages").select("page_id", T.normalize_route(F.regexp_replace("url", "^[a-z]+://[^/]*", "")).alias("route"))
 
 
-@bound(f"SELECT page_id, '/api' || regexp_replace('/' || array_to_string(list_filter(string_split({_PATH} || '/:id', '/'), lambda s: s <> ''), '/'), ':([A-Za-z0-9_]+)', '{{\\1}}', 'g') AS route FROM pages")
+@bound(f"SELECT page_id, '/api' || regexp_replace('/' || array_to_string(list_filter(string_split({_PATH} || '/:id/:1', '/'), lambda s: s <> ''), '/'), ':([A-Za-z_][A-Za-z0-9_]*)', '{{\\1}}', 'g') AS route FROM pages")
 def route_to_openapi(spark, sf):
-    return table(spark, sf, "pages").select("page_id", T.route_to_openapi(F.concat(F.regexp_replace("url", "^[a-z]+://[^/]*", ""), F.lit("/:id")), "/api").alias("route"))
+    return table(spark, sf, "pages").select("page_id", T.route_to_openapi(F.concat(F.regexp_replace("url", "^[a-z]+://[^/]*", ""), F.lit("/:id/:1")), "/api").alias("route"))
 
 
-_URL = "replace(url, '://', '://me:pw@') || '?b=2&a=1&a=3&{x}=1#top'"
+_URL = """CASE page_id % 7 WHEN 0 THEN replace(url, '://', '://u@x:p@') WHEN 1 THEN '//u:p@h/y' || page_id WHEN 2 THEN '?a=' || page_id WHEN 3 THEN replace(url, '://', '://me:pw@') || '/a://b@c'
+WHEN 4 THEN url || '/x@y' WHEN 5 THEN url || repeat('/long', 500) ELSE url END || '?b=2&a=1&a=3&{x}=1&=5#top'"""
 
 
-@bound(f"SELECT page_id, regexp_replace(regexp_extract({_URL}, '^[^#?]*'), '^([A-Za-z][A-Za-z0-9+.-]*://)[^/@]*@', '\\1') AS target FROM pages")
+@bound(f"""WITH p AS (SELECT page_id, {_URL} AS u FROM pages), h AS (SELECT page_id, u, regexp_extract(u, '^[^#?]*') AS h FROM p),
+c AS (SELECT page_id, u, h, CASE WHEN position('://' IN h) > 0 THEN position('://' IN h) + 2 WHEN h LIKE '//%' THEN 2 ELSE NULL END AS begins FROM h),
+r AS (SELECT page_id, u, h, begins, regexp_extract(substr(h, begins + 1), '^[^/]*') AS authority FROM c)
+SELECT page_id, CASE WHEN length(u) > 2048 OR h = '' THEN NULL WHEN begins IS NULL OR position('@' IN authority) = 0 THEN h
+ELSE substr(h, 1, begins) || regexp_extract(authority, '[^@]*$') || substr(h, begins + 1 + length(authority)) END AS target FROM r""")
 def url_sanitize(spark, sf):
     return table(spark, sf, "pages").select("page_id", T.url_target(F.expr(_URL)).alias("target"))
 
 
-@bound(f"SELECT page_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(regexp_extract({_URL}, '^[^#?]*\\?([^#]*)', 1), '&'), lambda s: regexp_extract(s, '^[^=]*')), lambda k: k <> '' AND NOT regexp_matches(k, '[{{}}]')))), ',') AS keys FROM pages")
+@bound(f"""SELECT page_id, CASE WHEN length(u) > 2048 THEN '' ELSE array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(regexp_extract(u, '^[^#?]*\\?([^#]*)', 1), '&'), lambda s: regexp_extract(s, '^[^=]*')), lambda k: k <> '' AND NOT regexp_matches(k, '[{{}}]')))), ',') END AS keys FROM (SELECT page_id, {_URL} AS u FROM pages)""")
 def url_query_keys(spark, sf):
     return table(spark, sf, "pages").select("page_id", T.url_query_keys(F.expr(_URL)).alias("keys"))
 
 
-def _redact_sql(column: str) -> str:
-    for pattern, into in T.REDACTIONS:
-        column = f"regexp_replace({column}, '{pattern}', '{into.replace('$1', chr(92) + '1')}', 'g')"
+_SECRETS = """text || CASE doc_id % 10 WHEN 0 THEN ' secret = ''abc''' WHEN 1 THEN ' token: `abc`' WHEN 2 THEN ' authorization: "abc"' WHEN 3 THEN ' password == "abc"' WHEN 4 THEN ' Api-Key !== "x" ' WHEN 5 THEN ' https://u:p@h/y '
+WHEN 6 THEN ' bearer  ab.c-d ' WHEN 7 THEN ' -----BEGIN RSA PRIVATE KEY-----x-----END RSA PRIVATE KEY-----' WHEN 8 THEN ' passwd="a" token = "b"' ELSE ' mytoken = "kept" tokens: "kept"' END"""
+
+
+def _redacted_sql(column: str) -> str:
+    """By hand: this dialect has no references back to a quote, so each quote has its own rule."""
+    names = "(api_key|api-key|apikey|secret|password|passwd|token|authorization)"
+    column = f"regexp_replace({column}, '-----BEGIN [A-Z ]*PRIVATE KEY-----[\\s\\S]*?-----END [A-Z ]*PRIVATE KEY-----', '[REDACTED PRIVATE KEY]', 'g')"
+    column = f"regexp_replace({column}, '(\\b[a-z][a-z0-9+.-]*://[^\\s/:@]+:)[^\\s@/]+@', '\\1[REDACTED]@', 'gi')"
+    column = f"regexp_replace({column}, '\\bbearer\\s+[a-z0-9._~+/=-]+', 'Bearer [REDACTED]', 'gi')"
+    for operator in ("(===|==|!==|!=)", "[:=]"):
+        for quote in ('"', "''", "`"):
+            column = f"regexp_replace({column}, '(\\b{names}\\b\\s*{operator}\\s*){quote}[^\\r\\n]*?{quote}', '\\1{quote}[REDACTED]{quote}', 'gi')"
     return column
 
 
-@bound(f"SELECT doc_id, sha256({_redact_sql('text')}) AS hash FROM documents")
+@bound(f"SELECT doc_id, sha256({_redacted_sql('(' + _SECRETS + ')')}) AS hash FROM documents")
 def redact_secrets(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.sha2(T.redact(F.col("text")), 256).alias("hash"))
+    return table(spark, sf, "documents").select("doc_id", F.sha2(T.redact(F.expr(_SECRETS)), 256).alias("hash"))
+
+
+_TAIL = "chr(10) || chr(9) || right(text, 60) || CASE doc_id % 3 WHEN 0 THEN ' token: \"abc\"' WHEN 1 THEN ' secret = ''x'' ' ELSE chr(10) END"
 
 
-@bound("SELECT doc_id, CASE WHEN length(trim(text)) > 80 THEN substr(trim(text), 1, 79) || '…' ELSE trim(text) END AS snippet FROM documents")
+@bound(f"SELECT doc_id, CASE WHEN length(t) > 80 THEN substr(t, 1, 79) || '…' ELSE t END AS snippet FROM (SELECT doc_id, {_redacted_sql('trim(' + _TAIL + ', chr(9) || chr(10) || chr(13) || chr(32))')} AS t FROM documents)")
 def bounded_snippet(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", T.snippet(F.col("text"), 80).alias("snippet"))
+    return table(spark, sf, "documents").select("doc_id", T.snippet(F.expr(_TAIL), 80).alias("snippet"))
 
 
 @bound("SELECT doc_id, sha256(trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g'))) AS hash FROM documents")
@@ -713,7 +731,7 @@ def signature_normalize(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.sha2(T.signature(F.col("text")), 256).alias("hash"))
 
 
-@bound("""SELECT n_nationkey, 'nation:' || substr(sha256('["' || n_name || '","' || n_regionkey || '"]'), 1, 32) AS id FROM nation""")
+@bound("""SELECT n_nationkey, 'nation:' || substr(sha256('["' || n_name || '",' || n_regionkey || ']'), 1, 32) AS id FROM nation""")
 def stable_ids(spark, sf):
     return table(spark, sf, "nation").select("n_nationkey", T.stable_id("nation", F.col("n_name"), F.col("n_regionkey")).alias("id"))
 

@@ -67,7 +67,26 @@ def test_text_functions(spark):
     assert one(T.normalize_route(F.lit("//a//:id/"))) == "/a/:id"
     assert one(T.route_to_openapi(F.lit("a/:id"), "/api")) == "/api/a/{id}"
     assert one(T.url_target(F.lit("https://u:p@h/x?a=1#f"))) == "https://h/x"
-    assert one(T.redact(F.lit('token = "abc" password: xyz'))) == 'token = "[REDACTED]" password: [REDACTED]'
+    assert one(T.route_to_openapi(F.lit("a/:1/:b"), "/api")) == "/api/a/:1/{b}"
+    for url, want in [("https://u@x:p@h/y", "https://h/y"), ("//u:p@h/y", "//h/y"), ("?a=1", None), ("http://a/b://u@c", "http://a/b://u@c"), ("a/x@y", "a/x@y")]:
+        assert one(T.url_target(F.lit(url))) == want
+    for text, want in [
+        ('token = "abc" password: xyz', 'token = "[REDACTED]" password: xyz'),
+        ("secret = 'abc'", "secret = '[REDACTED]'"),
+        ("token: `abc`", "token: `[REDACTED]`"),
+        ('authorization: "abc"', 'authorization: "[REDACTED]"'),
+        ('password == "abc"', 'password == "[REDACTED]"'),
+        ("https://u:p@h", "https://u:[REDACTED]@h"),
+        ("bearer a.b", "Bearer [REDACTED]"),
+        ("-----BEGIN PRIVATE KEY-----\nx\n-----END PRIVATE KEY-----", "[REDACTED PRIVATE KEY]"),
+    ]:
+        assert one(T.redact(F.lit(text))) == want
+    assert one(T.snippet(F.lit("\t secret = 'abcdefghij' \n"), 14)) == "secret = '[RE…" and one(T.snippet(F.lit("ab"), 1)) == "…"
+    assert one(T.json_string(F.lit('a"\\\n\x1f'))) == '"a\\"\\\\\\n\\u001f"'
+    assert one(T.semantic_key("k", F.lit(1), F.lit("x"), F.lit(True), F.lit(None))) == '["k",1,"x",true,null]'
+    for path, want in [("a/./b//c/../d", "a/b/d"), ("..", None), ("a/../..", None), ("/a", None), ("C:\\a", None), ("a/..", "."), ("a\\b", "a/b")]:
+        assert one(T.repository_path(F.lit(path))) == want
+    assert tuple(one(T.line_and_column(F.lit("ab\r\nc\nd"), F.lit(7)))) == (3, 2) and one(T.line_and_column(F.lit("a"), F.lit(2))) is None
     assert one(T.csv_cell(F.lit('=a,"b"'))) == '"\'=a,""b"""'
 
 
