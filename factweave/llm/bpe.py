@@ -249,7 +249,10 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded
 
 
 def digest(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document doc_id, n_tokens, ids_sha256 and decoded_sha256: encode and decode in one pass."""
+    """Per document doc_id, n_tokens, ids_sha256 and decoded_sha256: encode and decode in one pass.
+
+    Null text counts as empty, null ids are ordinary values, repeated rows are encoded alike, other
+    columns are ignored, and an empty table gives no rows."""
     common.arrow_rows(docs.sparkSession, 2000)
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 

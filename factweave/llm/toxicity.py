@@ -63,14 +63,16 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS,
     """(text, label, weight) of labelled documents, at most max_rows of them: of either class all, or
     half the bound and what the other leaves of it, chosen by a hash of the id. The weight is how many
     of its class's ids in docs a row stands for. Ids with a null label are left out; of several labels
-    of an id the largest holds."""
+    of an id the largest holds, and of its several texts the one with the least hash, so that no
+    repeated id exceeds the bound."""
     ids = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.max(label).cast("int").alias("label"))
     ids = ids.join(docs.select(doc_id), doc_id, "left_semi")
     chosen, sizes, share = common.sample_by_class(ids, "label", [F.xxhash64(doc_id), F.col(doc_id)], max_rows)
     weight = F.lit(1.0)
     for name, n in sizes.items():
         weight = F.when(F.col("label") == name, F.lit(n / share[name])).otherwise(weight)
-    return docs.select(F.col(doc_id), common.text_column(text).alias("text")).join(F.broadcast(chosen), doc_id).select("text", "label", weight.alias("weight"))  # max_rows ids
+    texts = docs.select(F.col(doc_id), common.text_column(text).alias("text")).join(F.broadcast(chosen.select(doc_id)), doc_id).groupBy(doc_id).agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # max_rows ids
+    return texts.join(F.broadcast(chosen), doc_id).select("text", "label", weight.alias("weight"))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +171,11 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
 
 
 def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document doc_id, held_out, score, predicted; learns only where crc32(doc_id) mod 4 is not 2."""
+    """Per document doc_id, held_out, score, predicted; learns only where crc32(doc_id) mod 4 is not 2.
+
+    Null text counts as empty (the score of a text without features), a null id as the empty text in
+    the fold; repeated rows are scored alike, other columns are ignored, and an empty table gives no
+    rows. Without labels every score is 0.5."""
     held_out = F.col("fold") == 2
     model = fit(docs.where(fold_of(doc_id) != 2), labels, doc_id=doc_id, text=text)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), fold_of(doc_id).alias("fold"))

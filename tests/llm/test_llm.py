@@ -329,6 +329,67 @@ def test_toxicity_learns_held_out(spark):
     assert len(odd) == len(ODD) and {r["score"] for r in odd} == {0.5}
 
 
+def test_toxicity_is_brute_force(spark):
+    rng = random.Random(18)
+    texts = [" ".join(rng.choice(["idiot", "scum", "tree", "Fluß", "漢字", "sea", "to"]) for _ in range(rng.randrange(1, 12))) for _ in range(80)]
+    label = [int("idiot" in t or rng.random() < 0.1) for t in texts]
+
+    def grams(t):
+        return set(order for order in toxicity.ngrams(t).tolist())
+
+    # every character n-gram of 3 to 6 has its bucket, and nothing else
+    padded = f" {texts[0].lower()} "
+    distinct = {padded[i : i + n] for n in (3, 4, 5, 6) for i in range(len(padded) - n + 1)}
+    assert len(grams(texts[0])) <= len(distinct) and len(toxicity.ngrams(texts[0])) == sum(max(0, len(padded) - n + 1) for n in (3, 4, 5, 6))
+    rows = spark.createDataFrame(list(zip(texts, label, [1.0] * 80)), "text string, label int, weight double")
+    kept, r = toxicity.ratios(rows)
+    counts = [Counter(g for t, y in zip(texts, label) if y == k for g in grams(t)) for k in (0, 1)]
+    n = [label.count(0), label.count(1)]
+    for g, value in zip(kept.tolist(), r.tolist()):
+        a, b = counts[1][g], counts[0][g]
+        assert value == pytest.approx(np.log((a + 0.5) / (n[1] + 1)) - np.log((b + 0.5) / (n[0] + 1)))
+    sure = {g for g in counts[0].keys() | counts[1].keys() if counts[0][g] + counts[1][g] >= 4 and abs(np.log((counts[1][g] + 0.5) / (n[1] + 1)) - np.log((counts[0][g] + 0.5) / (n[0] + 1))) > 3 * (1 / (counts[1][g] + 0.5) + 1 / (counts[0][g] + 0.5)) ** 0.5}
+    assert set(kept.tolist()) == sure
+    table = spark.createDataFrame(list(enumerate(label)), "doc_id long, toxic int")
+    d = docs(spark, texts)
+    model = toxicity.fit(d, table)
+    place = {g: i for i, g in enumerate(kept.tolist())}
+    for row in toxicity.score(d.select("doc_id", "text"), model).collect():
+        own = [place[g] for g in grams(row["text"]) if g in place]
+        z = model.intercept + sum(model.weight[i] for i in own) / max(1, len(own)) ** 0.5
+        assert row["score"] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-6)
+    # an id that is repeated takes one place of the bound
+    assert toxicity.training_rows(d.union(d).union(d), table, 40).count() == 40
+
+
+def test_language_pooling_is_brute_force():
+    net = language.new_network(["a", "b", "c"], 4, seed=3)
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("ab é1 漢\n") for _ in range(n)) for n in (0, 1, 40, 127, 300)]
+
+    def direction(x, u, steps):
+        h, out = np.zeros(4), []
+        for s in steps:
+            a = h @ u.astype(float)
+            z, r = (np.clip(x[s, i * 4 : i * 4 + 4] + a[i * 4 : i * 4 + 4], 0, 1) for i in (0, 1))
+            c = np.clip(x[s, 8:] + r * a[8:], -1, 1)
+            h = z * h + (1 - z) * c
+            out.append(h)
+        return out
+
+    got = language.pooled(net, texts)
+    for k, t in enumerate(texts):
+        raw, sums, n = t.encode(), np.zeros(3), 0
+        for at in range(0, len(raw), language.WINDOW):
+            steps = list(raw[at : at + language.WINDOW].ljust(language.WINDOW, b"\0"))
+            ahead, behind = direction(net.x[0], net.u[0], steps), direction(net.x[1], net.u[1], steps[::-1])[::-1]
+            for s, f, b in zip(steps, ahead, behind):
+                if s >= 128 or chr(s).isalpha():
+                    e = np.exp(f @ net.out[:4] + b @ net.out[4:] + net.bias)
+                    sums, n = sums + e / e.sum(), n + 1
+        assert got[k] == pytest.approx(sums / max(n, 1), abs=1e-4)
+
+
 def test_language_gradients_and_accuracy(spark):
     rng = np.random.default_rng(0)
     net = language.new_network(["a", "b"], 3)
