@@ -143,7 +143,7 @@ def trace(edges: DataFrame, dispatch: DataFrame, roots: DataFrame, max_depth: in
         over = ranked.where(F.col("had") + F.col("rank") > max_states).groupBy("root").agg(F.count("*").alias("n")).select("root", F.col("root").alias("node"), F.lit("state_limit").alias("stop"), "n")
         cuts = stopped.unionByName(over) if cuts is None else cuts.unionByName(stopped).unionByName(over)
         generation = cut(ranked.where(F.col("had") + F.col("rank") <= max_states).select(*key, "path", (F.col("had") + F.col("rank")).alias("ord")))
-        seen = cut(seen.unionByName(generation))
+        seen = seen.unionByName(generation)  # each generation is a table of its own and written once
     return seen, cuts.groupBy("root", "node", "stop").agg(F.sum("n").alias("n"))
 
 
