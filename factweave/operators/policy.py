@@ -46,3 +46,29 @@ def evaluated(features: DataFrame, rule: str, outcome: Column, severity: str = "
 
 def summary(results: DataFrame) -> DataFrame:
     return results.groupBy("rule").agg(*[F.count_if(F.col("outcome") == o).alias(o) for o in ("pass", "fail", "unknown", "not_applicable")], F.count_if("blocking").alias("blocking"))
+
+
+def new_diagnostics(baseline: Column, new: Column, ambiguous: Column) -> Column:
+    """Whether there is a baseline, and how many new diagnostics of the least severity or more and how
+    many ambiguous keys the comparison with it has."""
+    return F.when(~baseline, "not_applicable").when(new > 0, "fail").when(ambiguous > 0, "unknown").otherwise("pass")
+
+
+def declared_realm(producer: Column, state: Column, reason: Column) -> Column:
+    """A correlation without a producer is no subject."""
+    unsure = (state == "ambiguous") | F.coalesce(reason == "unsupported_identity", F.lit(False))
+    return F.when(producer.isNull(), "not_applicable").when(state == "declared_realm_candidate", "pass").when(unsure, "unknown").otherwise("fail")
+
+
+def unambiguous(producer: Column, state: Column) -> Column:
+    return F.when(producer.isNull(), "not_applicable").when(state == "ambiguous", "fail").otherwise("pass")
+
+
+def result_state(canceled: Column, facts: Column, gaps: Column) -> Column:
+    """Of an analysis: canceled, failed (nothing was found), completed, or completed with gaps."""
+    return F.when(canceled, "canceled").when(facts == 0, "failed").when(gaps == 0, "completed").otherwise("completed_with_gaps")
+
+
+def mutation_class(writes: Column, unknown: Column) -> Column:
+    """write if any access writes, unknown if any can't be told, else non_write."""
+    return F.when(writes > 0, "write").when(unknown > 0, "unknown").otherwise("non_write")

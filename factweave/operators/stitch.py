@@ -54,3 +54,24 @@ def system_paths(reached: DataFrame, producers: DataFrame, correlated: DataFrame
     )
     offers = consumers.select("consumer", "contract").join(effects.select("consumer", "effect").distinct(), "consumer")
     return alike.join(offers, "contract").select("root", "contract", "realm", "state", "producers", "consumer", "effect")
+
+
+def stitched(producers: DataFrame, consumers: DataFrame) -> DataFrame:
+    """(producer, consumer, state, reason, candidates): one row a producer, and one a consumer that no
+    producer has as a candidate. producers (producer, kind, contract, realm, eligible, single), consumers
+    (consumer, kind, contract, realm, eligible).
+
+    Only eligible consumers are candidates. A producer without one is a target_mismatch if an
+    eligible consumer of its kind exists, else producer_only. A candidate is consumed even if its
+    producer ends up unmatched or ambiguous. What is left over is consumer_only, or unsupported_identity
+    if it isn't eligible."""
+    able = consumers.where("eligible")
+    kinds = able.select("kind").distinct().withColumn("offered", F.lit(True))
+    p = correlate(producers, able).join(producers.select("producer", "kind"), "producer").join(kinds, "kind", "left")
+    reason = F.when((F.col("reason") == "producer_only") & F.col("offered").isNotNull(), "target_mismatch").otherwise(F.col("reason"))
+    consumed = producers.where("eligible").select("contract").distinct()
+    left = able.join(consumed, "contract", "left_anti").select("consumer", F.lit("consumer_only").alias("reason"))
+    left = left.unionByName(consumers.where("not eligible").select("consumer", F.lit("unsupported_identity").alias("reason")))
+    none = F.lit(None)
+    of_consumers = left.select(none.cast(dict(producers.dtypes)["producer"]).alias("producer"), "consumer", F.lit("unmatched").alias("state"), "reason", F.lit(0).cast("long").alias("candidates"))
+    return p.select("producer", none.cast(dict(consumers.dtypes)["consumer"]).alias("consumer"), "state", reason.alias("reason"), F.col("candidates").cast("long")).unionByName(of_consumers)

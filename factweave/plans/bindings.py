@@ -654,14 +654,14 @@ def record_merge(spark, sf):
 @bound("SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'canceled' WHEN n = 0 OR n IS NULL THEN 'failed' WHEN gaps = 0 THEN 'completed' ELSE 'completed_with_gaps' END AS state FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS gaps FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey")
 def result_state(spark, sf):
     g = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("gaps"))
-    state = F.when(F.col("o_orderstatus") == "P", "canceled").when(F.coalesce("n", F.lit(0)) == 0, "failed").when(F.col("gaps") == 0, "completed").otherwise("completed_with_gaps")
+    state = policy.result_state(F.col("o_orderstatus") == "P", F.coalesce("n", F.lit(0)), F.col("gaps"))
     return table(spark, sf, "orders").join(g, F.col("l_orderkey") == F.col("o_orderkey"), "left").select("o_orderkey", state.alias("state"))
 
 
 @bound("SELECT l_orderkey AS subject, CASE WHEN bool_or(l_returnflag = 'A') THEN 'write' WHEN bool_or(l_returnflag = 'R') THEN 'unknown' ELSE 'non_write' END AS class FROM lineitem GROUP BY 1")
 def mutation_class(spark, sf):
-    has = lambda f: F.bool_or(F.col("l_returnflag") == f)
-    return table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("subject")).agg(F.when(has("A"), "write").when(has("R"), "unknown").otherwise("non_write").alias("class"))
+    has = lambda f: F.count_if(F.col("l_returnflag") == f)
+    return table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("subject")).agg(policy.mutation_class(has("A"), has("R")).alias("class"))
 
 
 # --- text --------------------------------------------------------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factweave.functions import text as T
-from factweave.operators import diff, export, graph, impact, match, metrics, topology, validate
+from factweave.operators import diff, export, graph, impact, match, metrics, policy, stitch, topology, validate
 from factweave.plans.bindings import EDGES, _sql_values, bound, edges, table, values
 
 c = F.col
@@ -417,6 +417,44 @@ def topology_validation(spark, sf):
     return topology.topology_issues(values(spark, _REALMS, "realm string, technology string, transport string, destination string"), b).unionByName(unused)
 
 
+_STITCH = """WITH p AS (SELECT c_custkey AS producer, CASE c_custkey % 3 WHEN 0 THEN 'queue' WHEN 1 THEN 'message' ELSE 'other' END AS kind, c_custkey % 3 * 100 + c_nationkey AS contract, CASE WHEN c_custkey % 4 > 0 THEN 'r' || c_nationkey % 2 END AS realm, c_acctbal >= 0 AS eligible, c_custkey % 2 = 0 AS single FROM customer WHERE c_nationkey < 15),
+c AS (SELECT s_suppkey AS consumer, CASE s_suppkey % 2 WHEN 0 THEN 'queue' ELSE 'message' END AS kind, s_suppkey % 2 * 100 + s_nationkey AS contract, CASE WHEN s_suppkey % 5 > 0 THEN 'r' || s_nationkey % 2 END AS realm, s_acctbal > 0 AS eligible FROM supplier),
+k AS (SELECT * FROM c WHERE eligible),
+g AS (SELECT producer, p.kind, p.realm, p.eligible, p.single, count(k.consumer) AS candidates, count(DISTINCT k.realm) AS realms, count(k.consumer) FILTER (NOT coalesce(k.realm = p.realm, false)) AS elsewhere FROM p LEFT JOIN k ON p.eligible AND k.contract = p.contract GROUP BY ALL),
+h AS (SELECT *, CASE WHEN NOT eligible THEN 'unsupported_identity' WHEN candidates = 0 THEN CASE WHEN kind IN (SELECT kind FROM k) THEN 'target_mismatch' ELSE 'producer_only' END
+WHEN realms > 1 OR (realms = 1 AND realm IS NOT NULL AND elsewhere = candidates) THEN 'realm_mismatch' WHEN candidates > 1 AND single THEN 'multiple_consumers' END AS reason FROM g),
+r AS (SELECT producer, CAST(NULL AS BIGINT) AS consumer, CASE WHEN reason = 'multiple_consumers' THEN 'ambiguous' WHEN reason IS NOT NULL THEN 'unmatched' WHEN elsewhere = 0 THEN 'declared_realm_candidate' ELSE 'target_only_candidate' END AS state, reason, candidates FROM h
+UNION ALL SELECT NULL, consumer, 'unmatched', CASE WHEN eligible THEN 'consumer_only' ELSE 'unsupported_identity' END, 0 FROM c WHERE NOT eligible OR contract NOT IN (SELECT contract FROM p WHERE eligible))"""
+
+
+def _stitched(spark, sf):
+    k, s = c("c_custkey"), c("s_suppkey")
+    realm = lambda x, n, m: F.when(x % m > 0, F.concat(F.lit("r"), (c(n) % 2).cast("string"))).alias("realm")
+    p = table(spark, sf, "customer").where("c_nationkey < 15").select(k.alias("producer"), F.when(k % 3 == 0, "queue").when(k % 3 == 1, "message").otherwise("other").alias("kind"), (k % 3 * 100 + c("c_nationkey")).alias("contract"), realm(k, "c_nationkey", 4), (c("c_acctbal") >= 0).alias("eligible"), (k % 2 == 0).alias("single"))
+    q = table(spark, sf, "supplier").select(s.cast("long").alias("consumer"), F.when(s % 2 == 0, "queue").otherwise("message").alias("kind"), (s % 2 * 100 + c("s_nationkey")).alias("contract"), realm(s, "s_nationkey", 5), (c("s_acctbal") > 0).alias("eligible"))
+    return stitch.stitched(p, q)
+
+
+@bound(f"{_STITCH} SELECT * FROM r")
+def system_stitch(spark, sf):
+    return _stitched(spark, sf)
+
+
+@bound(f"""{_STITCH} SELECT producer, consumer, CASE WHEN producer IS NULL THEN 'not_applicable' WHEN state = 'declared_realm_candidate' THEN 'pass' WHEN state = 'ambiguous' OR reason = 'unsupported_identity' THEN 'unknown' ELSE 'fail' END AS declared_realm,
+CASE WHEN producer IS NULL THEN 'not_applicable' WHEN state = 'ambiguous' THEN 'fail' ELSE 'pass' END AS unambiguous FROM r""")
+def system_rules(spark, sf):
+    p, state = c("producer"), c("state")
+    return _stitched(spark, sf).select("producer", "consumer", policy.declared_realm(p, state, c("reason")).alias("declared_realm"), policy.unambiguous(p, state).alias("unambiguous"))
+
+
+@bound("""WITH d AS (SELECT o_custkey AS analysis, count(*) FILTER (o_orderstatus = 'F' AND o_orderpriority IN ('1-URGENT', '2-HIGH')) AS new, count(*) FILTER (o_orderstatus = 'P') AS unsure FROM orders GROUP BY 1)
+SELECT analysis, CASE WHEN analysis % 3 = 0 THEN 'not_applicable' WHEN new > 0 THEN 'fail' WHEN unsure > 0 THEN 'unknown' ELSE 'pass' END AS outcome FROM d""")
+def policy_baseline(spark, sf):
+    high = c("o_orderpriority").isin("1-URGENT", "2-HIGH")
+    d = table(spark, sf, "orders").groupBy(c("o_custkey").alias("analysis")).agg(F.count_if((c("o_orderstatus") == "F") & high).alias("new"), F.count_if(c("o_orderstatus") == "P").alias("unsure"))
+    return d.select("analysis", policy.new_diagnostics(c("analysis") % 3 != 0, c("new"), c("unsure")).alias("outcome"))
+
+
 # --- integrity ---------------------------------------------------------------------------------
 
 
