@@ -70,14 +70,13 @@ def evidence_ranges(spark, sf):
 # --- selection and joins -----------------------------------------------------------------------
 
 
-@bound("""WITH s AS (SELECT DISTINCT o_orderpriority AS verb, n AS path FROM orders, range(0, 40) r(n)),
-e AS (SELECT o_orderpriority AS verb, o_orderkey % 997 % 45 AS path, count(*) AS n, string_agg(DISTINCT CAST(o_orderkey AS VARCHAR), ',' ORDER BY CAST(o_orderkey AS VARCHAR)) AS candidates FROM orders WHERE o_orderkey % 3 = 0 AND o_custkey % 41 = 0 GROUP BY 1, 2)
+@bound("""WITH s AS (SELECT DISTINCT o_orderpriority AS verb, c_custkey AS path FROM customer, (SELECT DISTINCT o_orderpriority FROM orders)),
+e AS (SELECT o_orderpriority AS verb, o_custkey AS path, count(*) AS n, string_agg(DISTINCT CAST(o_orderkey AS VARCHAR), ',' ORDER BY CAST(o_orderkey AS VARCHAR)) AS candidates FROM orders GROUP BY 1, 2)
 SELECT verb, path, CASE WHEN e.n IS NULL THEN 'not_found' WHEN e.n > 1 THEN 'ambiguous' ELSE 'resolved' END AS state, coalesce(candidates, '') AS candidates FROM s LEFT JOIN e USING (verb, path)""")
 def endpoint_selector(spark, sf):
-    o = table(spark, sf, "orders")
-    selectors = o.select(c("o_orderpriority").alias("verb")).distinct().withColumn("path", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(39).cast("long"))))
-    e = o.where("o_orderkey % 3 = 0 and o_custkey % 41 = 0").select(c("o_orderpriority").alias("verb"), (c("o_orderkey") % 997 % 45).cast("long").alias("path"), c("o_orderkey").alias("id"))
-    return match.select_endpoints(selectors, e)
+    o = table(spark, sf, "orders").select(c("o_orderpriority").alias("verb"), c("o_custkey").alias("path"), c("o_orderkey").alias("id"))
+    verbs = o.select("verb").distinct()  # five
+    return match.select_endpoints(table(spark, sf, "customer").select(c("c_custkey").alias("path")).crossJoin(F.broadcast(verbs)), o)
 
 
 @bound("SELECT s_suppkey, s_nationkey, (SELECT count(*) FROM supplier) AS total FROM supplier WHERE s_nationkey = 3")
@@ -417,7 +416,7 @@ def topology_validation(spark, sf):
     return topology.topology_issues(values(spark, _REALMS, "realm string, technology string, transport string, destination string"), b).unionByName(unused)
 
 
-_STITCH = """WITH p AS (SELECT c_custkey AS producer, CASE c_custkey % 3 WHEN 0 THEN 'queue' WHEN 1 THEN 'message' ELSE 'other' END AS kind, c_custkey % 3 * 100 + c_nationkey AS contract, CASE WHEN c_custkey % 4 > 0 THEN 'r' || c_nationkey % 2 END AS realm, c_acctbal >= 0 AS eligible, c_custkey % 2 = 0 AS single FROM customer WHERE c_nationkey < 15),
+_STITCH = """WITH p AS (SELECT c_custkey AS producer, CASE c_custkey % 3 WHEN 0 THEN 'queue' WHEN 1 THEN 'message' ELSE 'other' END AS kind, c_custkey % 3 * 100 + c_nationkey % 15 AS contract, CASE WHEN c_custkey % 4 > 0 THEN 'r' || c_nationkey % 2 END AS realm, c_acctbal >= 0 AS eligible, c_custkey % 2 = 0 AS single FROM customer),
 c AS (SELECT s_suppkey AS consumer, CASE s_suppkey % 2 WHEN 0 THEN 'queue' ELSE 'message' END AS kind, s_suppkey % 2 * 100 + s_nationkey AS contract, CASE WHEN s_suppkey % 5 > 0 THEN 'r' || s_nationkey % 2 END AS realm, s_acctbal > 0 AS eligible FROM supplier),
 k AS (SELECT * FROM c WHERE eligible),
 g AS (SELECT producer, p.kind, p.realm, p.eligible, p.single, count(k.consumer) AS candidates, count(DISTINCT k.realm) AS realms, count(k.consumer) FILTER (NOT coalesce(k.realm = p.realm, false)) AS elsewhere FROM p LEFT JOIN k ON p.eligible AND k.contract = p.contract GROUP BY ALL),
@@ -430,7 +429,7 @@ UNION ALL SELECT NULL, consumer, 'unmatched', CASE WHEN eligible THEN 'consumer_
 def _stitched(spark, sf):
     k, s = c("c_custkey"), c("s_suppkey")
     realm = lambda x, n, m: F.when(x % m > 0, F.concat(F.lit("r"), (c(n) % 2).cast("string"))).alias("realm")
-    p = table(spark, sf, "customer").where("c_nationkey < 15").select(k.alias("producer"), F.when(k % 3 == 0, "queue").when(k % 3 == 1, "message").otherwise("other").alias("kind"), (k % 3 * 100 + c("c_nationkey")).alias("contract"), realm(k, "c_nationkey", 4), (c("c_acctbal") >= 0).alias("eligible"), (k % 2 == 0).alias("single"))
+    p = table(spark, sf, "customer").select(k.alias("producer"), F.when(k % 3 == 0, "queue").when(k % 3 == 1, "message").otherwise("other").alias("kind"), (k % 3 * 100 + c("c_nationkey") % 15).alias("contract"), realm(k, "c_nationkey", 4), (c("c_acctbal") >= 0).alias("eligible"), (k % 2 == 0).alias("single"))
     q = table(spark, sf, "supplier").select(s.cast("long").alias("consumer"), F.when(s % 2 == 0, "queue").otherwise("message").alias("kind"), (s % 2 * 100 + c("s_nationkey")).alias("contract"), realm(s, "s_nationkey", 5), (c("s_acctbal") > 0).alias("eligible"))
     return stitch.stitched(p, q)
 
