@@ -36,8 +36,10 @@ SHARE_BITS = 20
 _ID_BITS, _DOC_BITS = SHARE_BITS + 1, 16
 #: Bytes of text in a block, and words (of the whole table) for each part.
 BLOCK_BYTES, PART_WORDS = 8_000_000, 1 << 20
-#: A language's band: its median log-perplexity and so many scaled median absolute deviations.
-LOWER, UPPER = 3.0, 3.0
+#: A language's band: its median log-perplexity and so many scaled median absolute deviations. The lower
+#: side is wider: a document's copies are in the counts too and make it look predictable, and two or
+#: three copies (some 3 to 4 deviations) are for deduplication to judge, not a fault of the text.
+LOWER, UPPER = 6.0, 3.0
 LEAST_WORDS = 50
 #: Sums of log probabilities go from part to document in steps of one such part of a nat.
 _NAT = 4096
