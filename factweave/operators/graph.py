@@ -41,14 +41,14 @@ def depth_limits(edges: DataFrame, reach: DataFrame, max_depth: int) -> DataFram
 
 def closure(pairs: DataFrame) -> DataFrame:
     """(a, b): the transitive closure of pairs, semi-naively: only what the last round found is
-    joined again; each round's lineage is cut."""
+    joined again; each round's finds are written once."""
     step = pairs.select("a", "b").distinct()
     delta = cut(step)
     known = delta
     while not delta.isEmpty():
         new = delta.alias("d").join(step.alias("s"), F.col("d.b") == F.col("s.a")).select(F.col("d.a").alias("a"), F.col("s.b").alias("b")).distinct()
         delta = cut(new.join(known, ["a", "b"], "left_anti"))
-        known = cut(known.union(delta))
+        known = known.union(delta)
     return known
 
 
