@@ -33,8 +33,8 @@ WORDS, SIMILARITY = 5, (80, 100)
 COORDINATES, MATCHES = 96, 58
 #: Shingles in a block of a family, about (a set counts as SET_WEIGHT more); a task holds two blocks.
 BLOCK_SHINGLES, SET_WEIGHT = 1_000_000, 100
-#: Comparisons with one pivot in a task, about.
-PIVOT_SETS = 256
+#: Comparisons with one pivot in a task, about, and candidates of a set that are compared one by one.
+PIVOT_SETS, MANY = 256, 16
 
 _SEEDS = np.random.default_rng(20240501).integers(1, 2**63, COORDINATES, dtype=np.uint64) | np.uint64(1)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -198,6 +198,7 @@ def confirmed(sets: list[np.ndarray], first: list[bool] | None, component: list,
     holders, begin, own = _prefix_lists(signatures)
     side = None if first is None else np.array(first)
     large = label == np.bincount(label).argmax()
+    index = None
     out = []
     for x in np.flatnonzero(~large).tolist():
         met = np.unique(np.concatenate([holders[begin[t] : begin[t + 1]] for t in own[x].tolist()]))
@@ -207,14 +208,40 @@ def confirmed(sets: list[np.ndarray], first: list[bool] | None, component: list,
             met = met[side[met] != side[x]]
         if not len(met):
             continue
-        for y in met[_collide(signatures[x], signatures[met])].tolist():
+        met = met[_collide(signatures[x], signatures[met])]
+        sure = len(met) > MANY
+        if sure:  # the common shingles of all of them at once, by the sets' own posting lists
+            if index is None:
+                index = _shingle_lists(sets, sizes)
+            met = met[whole * (c := _common(index, x, n)[met]) >= part * (sizes[x] + sizes[met] - c)]
+        for y in met.tolist():
             a, b = root(label[x]), root(label[y])
-            if a != b and similar(sets[x], sets[y], similarity):
+            if a != b and (sure or similar(sets[x], sets[y], similarity)):
                 out.append((x, y))
                 parent[a] = b
     return out
 
 
+def _shingle_lists(sets: list[np.ndarray], sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The sets' posting lists: holders by shingle, where each shingle's begin, of each entry its
+    shingle, and where each set's entries begin."""
+    data = np.concatenate(sets)
+    order = np.argsort(data, kind="stable")
+    new = np.concatenate(([True], data[order][1:] != data[order][:-1]))
+    of = np.empty(len(data), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return np.repeat(np.arange(len(sets)), sizes)[order], np.append(np.flatnonzero(new), len(data)), of, np.concatenate(([0], np.cumsum(sizes)))
+
+
+def _common(index: tuple[np.ndarray, ...], x: int, n: int) -> np.ndarray:
+    """How many shingles of set x each set has."""
+    holders, begin, of, entries = index
+    runs = of[entries[x] : entries[x + 1]]
+    lengths = begin[runs + 1] - begin[runs]
+    at = np.repeat(begin[runs] - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) + np.arange(lengths.sum())
+    return np.bincount(holders[at], minlength=n)
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (least doc_id of its group, itself included) and
     kept (doc_id = component_id).

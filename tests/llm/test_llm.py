@@ -144,7 +144,9 @@ def test_near_duplicates_agree_with_brute_force(spark):
         assert [(got[i]["n_shingles"], got[i]["component_id"]) for i in range(len(texts))] == [(len(sets[i]), find(i)) for i in range(len(texts))]
 
 
-def test_links_between_components_are_brute_force():
+@pytest.mark.parametrize("many", [0, 16])
+def test_links_between_components_are_brute_force(many, monkeypatch):
+    monkeypatch.setattr(minhash, "MANY", many)
     rng = random.Random(21)
     base = [[rng.randrange(2**60) for _ in range(60)] for _ in range(3)]
     sets, component = [], []
