@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, language, minhash, mixing, order_minhash, quality, secrets, substrings, toxicity
+from . import bpe, centroids, chat, infill, language, minhash, mixing, order_minhash, personal, quality, secrets, substrings, toxicity
 from .common import read
 
 
@@ -60,9 +60,21 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(read(spark, sf_dir, "embeddings"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digest(read(spark, sf_dir, "documents"))
+
+
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.digest(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_secret_scan, op2_suffix_array_dedup, op3_toxicity, op4_language_id, op5_minhash_dedup, op6_source_mix, op7_order_minhash, op8_quality_rules, op9_chat_format, op10_byte_bpe)
+    for f in (op1_secret_scan, op2_suffix_array_dedup, op3_toxicity, op4_language_id, op5_minhash_dedup, op6_source_mix, op7_order_minhash, op8_quality_rules, op9_chat_format, op10_byte_bpe, op11_centroid_clusters, op12_fill_in_middle, op13_personal_data)
 }
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -111,5 +123,43 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM m GROUP BY conv_id
 """
 
+_FILL_SQL = r"""
+WITH d AS (
+  SELECT CAST(doc_id AS BIGINT) AS doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+         sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+n AS (
+  SELECT doc_id, text, u, len(u) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM d),
+k AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM n),
+p AS (
+  SELECT *, coalesce(array_to_string(u[1:a], ''), '') AS pre, coalesce(array_to_string(u[a + 1:b], ''), '') AS mid, coalesce(array_to_string(u[b + 1:n], ''), '') AS suf FROM k)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(text) AS restored_sha256 FROM p
+"""
+
+
+def _cluster_sql(k: int = centroids.CENTROIDS, rounds: int = centroids.ROUNDS) -> str:
+    most = centroids.MOST
+    out = f"""
+WITH v AS (
+  SELECT row_number() OVER () AS id, CAST(vec_id AS BIGINT) AS vec_id,
+         list_transform(embedding, lambda x: CAST(greatest(-{most}, least({most}, floor({centroids.SCALE} * CAST(x AS DOUBLE)))) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = {centroids.COMPONENTS} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {centroids.COMPONENTS}),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')), v) - 1 AS j, v AS c FROM v QUALIFY j < {k})"""
+    for r in range(rounds + 1):
+        out += f""",
+a{r} AS (SELECT id, min_by(j, (d, j)) AS j, min(d) AS d FROM (SELECT id, j, list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM v, c{r}) GROUP BY id)"""
+        if r < rounds:
+            out += f""",
+s{r} AS (SELECT j, i, sum(x) AS s, count(*) AS n FROM (SELECT j, unnest(v) AS x, unnest(range(1, {centroids.COMPONENTS + 1})) AS i FROM a{r} JOIN v USING (id)) GROUP BY j, i),
+c{r + 1} AS (SELECT j, coalesce(m.c, c{r}.c) AS c FROM c{r} LEFT JOIN (SELECT j, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c FROM s{r} GROUP BY j) m USING (j))"""
+    return out + f"""
+SELECT vec_id, CAST(j AS INT) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY j) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a{rounds} JOIN v USING (id) JOIN c{rounds} USING (j)
+"""
+
+
 #: The others have no SQL: models, whole-text hashing and index structures, tested by brute force in tests/llm.
-ORACLE_SQL = {"op6_source_mix": _MIX_SQL, "op9_chat_format": _CHAT_SQL}
+ORACLE_SQL = {"op6_source_mix": _MIX_SQL, "op9_chat_format": _CHAT_SQL, "op11_centroid_clusters": _cluster_sql(), "op12_fill_in_middle": _FILL_SQL}
