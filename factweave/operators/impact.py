@@ -50,16 +50,57 @@ def resolution_reasons(before: DataFrame, after: DataFrame, paths: DataFrame) ->
     return _through(sides[0].unionByName(sides[1]), paths, "resolution_change")
 
 
-def fact_reasons(changes: DataFrame, paths: DataFrame, category: str) -> DataFrame:
-    """Changed facts (side, node, subject, code) of any family (diagnostics, interactions, dispatches,
-    branches, effects) and the paths to the node that they are of."""
-    return _through(changes.withColumn("source", F.lit(None).cast("string")), paths, category)
-
-
-def file_reasons(changes: DataFrame, declared: DataFrame, paths: DataFrame) -> DataFrame:
-    """Changed files (file, change) through what they declare (side, file, node)."""
-    c = declared.join(changes, "file").select("side", "node", F.col("node").alias("subject"), F.concat(F.lit("source_file_"), F.col("change")).alias("code"), F.col("file").alias("source"))
-    return _through(c, paths, "source_file_change")
+def fact_reasons(changes: DataFrame, paths: DataFrame) -> DataFrame:
+    """Changed facts (side, node, category, code, subject, source) and the paths (side, target, endpoint, slot, steps,
+    unsure) to the node that they are of: one reason a path, with its ``steps``. Diagnostics, interactions, handlers, dispatches,
+    branches and effects are changed facts; so are table accesses and resolutions, whose paths end with
+    the changed edge itself and are to the edge's id."""
+    c, p = changes.alias("c"), paths.alias("p")
+    met = c.join(p, (F.col("c.side") == F.col("p.side")) & (F.col("c.node") == F.col("p.target")))
+    return met.select("c.side", "p.slot", "p.endpoint", "c.category", "c.code", "c.subject", "c.source", F.array_join("p.steps", ":").alias("steps"), F.col("p.unsure").alias("incomplete"))
+
+
+def file_reasons(changes: DataFrame, methods: DataFrame, entities: DataFrame, paths: DataFrame) -> DataFrame:
+    """Changed files (file) through what they declare: methods (side, file, method), reached directly or through calls,
+    and entities (side, file, entity, table), whose tables are reached. paths as for fact_reasons, with ``transitive``."""
+    own = methods.join(changes.select("file").distinct(), "file").select("side", F.col("method").alias("node"), F.col("method").alias("subject"), F.col("file").alias("source"))
+    direct = own.select("side", "node", F.lit("direct_endpoint_change").alias("category"), F.lit("handler_file_changed").alias("code"), "subject", "source")
+    through = own.select("side", "node", F.lit("reachable_method_file_change").alias("category"), F.lit("changed_method_reachable").alias("code"), "subject", "source")
+    tables = entities.join(changes.select("file").distinct(), "file").select("side", F.col("table").alias("node"), F.lit("entity_declaration_file_change").alias("category"), F.lit("changed_entity_table_reachable").alias("code"), F.col("entity").alias("subject"), F.col("file").alias("source"))
+    reasons = [fact_reasons(direct, paths.where("not transitive")), fact_reasons(through, paths.where("transitive")), fact_reasons(tables, paths)]
+    return reduce(DataFrame.unionByName, reasons)
+
+
+def resolution_nodes(changed: DataFrame, endpoints: DataFrame, methods: DataFrame) -> DataFrame:
+    """(side, edge, node): where the paths of edges (side, edge, predicate, subject, object) of changed status lead: for
+    endpoints, calls and accesses to the edge itself (with it as last step), for an entity's table to the table, for a class
+    (methods: side, class, method) to its methods. Table accesses are changes of their own."""
+    c = changed.where(~F.col("predicate").isin("METHOD_READS_TABLE", "METHOD_WRITES_TABLE"))
+    ends = endpoints.select("side", F.col("endpoint").alias("subject"), F.lit(True).alias("is_end"))
+    c = c.join(ends, ["side", "subject"], "left").withColumn("itself", F.coalesce("is_end", F.lit(False)) | F.col("predicate").isin("METHOD_CALLS_METHOD", "METHOD_ACCESSES_RESOURCE"))
+    itself = c.where("itself").select("side", "edge", F.col("edge").alias("node"))
+    rest = c.where("not itself")
+    mapped = F.col("predicate") == "ENTITY_MAPS_TO_TABLE"
+    tables = rest.where(mapped & F.col("object").isNotNull()).select("side", "edge", F.col("object").alias("node"))
+    classes = rest.where(~mapped).join(methods.select("side", F.col("class").alias("subject"), "method"), ["side", "subject"]).select("side", "edge", F.col("method").alias("node"))
+    return itself.unionByName(tables).unionByName(classes)
+
+
+def gathered(reasons: DataFrame) -> DataFrame:
+    """(slot, category, code, subject, source, before, after, paths) of reasons a path: how many endpoints of each side and how many
+    different paths; paths that aren't complete give an unknown reason besides."""
+    every = with_incomplete(reasons)
+    side = lambda s: F.countDistinct(F.when(F.col("side") == s, F.col("endpoint"))).alias(s)
+    path = F.countDistinct(F.struct("side", "endpoint", "steps")).alias("paths")
+    return every.groupBy("slot", "category", "code", "subject", "source").agg(side("before"), side("after"), path)
+
+
+def impacted(reasons: DataFrame) -> DataFrame:
+    """(slot, direct, reasons, before, after): one row an impacted slot, from reasons a path: whether a direct change is among
+    its reasons, how many different reasons it has, and its endpoints on either side."""
+    every = with_incomplete(reasons)
+    side = lambda s: F.array_join(F.array_sort(F.collect_set(F.when(F.col("side") == s, F.col("endpoint")))), ",").alias(s)
+    return every.groupBy("slot").agg(F.bool_or(F.col("category") == "direct_endpoint_change").alias("direct"), F.countDistinct(F.struct("category", "code", "subject", "source")).alias("reasons"), side("before"), side("after"))
 
 
 def with_incomplete(reasons: DataFrame) -> DataFrame:
