@@ -6,14 +6,13 @@ Every byte covered by a string of LENGTH bytes that also starts anywhere else is
    depends on the window alone, so equal windows have equal anchors. Neighbouring windows of one
    anchor occurrence form a *context*: the bytes of those windows. Only (anchor, context) hashes are
    shuffled, about one row for 85 bytes of text.
-2. A context that occurs twice is repeated whole. An anchor that occurs once repeats nothing. What
-   is left, contexts alone of their kind under an anchor that occurs in others, may match in part.
-3. Those, and one copy of each repeated context under such an anchor, are dealt to groups by anchor.
-   A group builds the suffix order and run-compressed Burrows-Wheeler transform of its contexts. A
+2. An anchor that occurs once repeats nothing. Of the others' contexts one of each kind goes on, with whether it
+   stands for several.
+3. They are dealt to groups by anchor. A group builds the suffix order and run-compressed Burrows-Wheeler transform of its contexts. A
    suffix's longest match with its neighbours falls by one from text position to position except
    where a run begins or ends; so lengths are computed at the sampled run ends only, and streaming
-   over the positions gives the matching statistics of all others. Matches of LENGTH bytes or more
-   are marked.
+   over the positions gives the matching statistics of all others; where a context stands for several, its
+   positions also match its copies, to its end. Matches of LENGTH bytes or more are marked, in all copies.
    Anchors of more than HOT_CONTEXTS different contexts are left out there; their windows' hashes
    are counted by an aggregation instead, which no single task holds.
 4. A document's marks are merged and its bytes cut, with the text joined to the marks by key.
@@ -138,19 +137,26 @@ def packed(text: np.ndarray) -> np.ndarray:
 
 def suffix_order(key: np.ndarray, depth: int) -> np.ndarray:
     """The suffix array, by prefix doubling from packed symbols; suffixes that agree in more than
-    ``depth`` symbols may stand in any order."""
+    ``depth`` symbols may stand in any order. A suffix's rank is the place of the first that it can't be told
+    from yet; only those that aren't alone are sorted again."""
     n, width = len(key), _PACKED
     order = np.argsort(key)
+    tied, keys = np.arange(n), key[order]  # places of suffixes to be told apart, and what they are sorted by
+    rank = np.empty(n, np.int64)
     while True:
-        in_order = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = step = np.concatenate(([0], np.cumsum(in_order[1:] != in_order[:-1])))
-        if step[-1] == n - 1 or width > depth:
+        new = np.concatenate(([True], keys[1:] != keys[:-1]))
+        first = np.flatnonzero(new)
+        rank[order[tied]] = tied[first][np.cumsum(new) - 1]
+        alone = np.diff(np.append(first, len(tied))) == 1
+        tied = tied[~alone[np.cumsum(new) - 1]]
+        if not len(tied) or width > depth:
             return order
-        second = np.zeros(n, np.int64)
-        second[: max(0, n - width)] = rank[width:] + 1
-        key = rank * (n + 1) + second
-        order = np.argsort(key)
+        own = order[tied]
+        after = own + width
+        second = np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+        keys = rank[own] * (n + 1) + second
+        by = np.argsort(keys)
+        order[tied], keys = own[by], keys[by]
         width *= 2
 
 
@@ -205,16 +211,21 @@ class RunLengthIndex:
         return out
 
 
-def index_matches(data: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
-    """Of each context, where strings of ``length`` bytes start that start in the group elsewhere too.
+def index_matches(data: list[bytes], length: int = LENGTH, several: list[bool] | None = None) -> list[np.ndarray]:
+    """Of each context, where strings of ``length`` bytes start that start elsewhere too: in the group, or in
+    another copy of a context that stands for ``several``.
 
-    Contexts are joined with a separator, symbol 0; what matches beyond a context's own end is cut."""
+    Contexts are joined with a separator, symbol 0; what matches beyond a context's own end is cut. A position of
+    a context that stands for several matches its copies up to the context's end."""
     sizes = np.fromiter(map(len, data), np.int64, len(data))
     text = np.frombuffer(b"\0".join(data) + b"\0", np.uint8).astype(np.int64) + 1
     ends = np.cumsum(sizes + 1) - 1
     text[ends] = 0
     # samples fall by one a position: they must be known beyond a whole context
     statistics = RunLengthIndex(text, 2 * int(sizes.max()) + 2).matching_statistics()
+    if several is not None:
+        left = np.repeat(ends, sizes + 1) - np.arange(len(text))
+        statistics = np.where(np.repeat(several, sizes + 1), np.maximum(statistics, left), statistics)
     starts = ends - sizes
     return [np.flatnonzero(statistics[s : max(s, s + n - length + 1)] >= length) for s, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
 
@@ -223,21 +234,21 @@ _MARKS = "k1 long, k2 long, at int, n int"
 
 
 def _index_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows group, anchor, context, single, k1, k2, at, bytes sorted by group, anchor: marks of partial matches."""
+    """Rows group, anchor, context, single, k1, k2, at, bytes sorted by group, anchor: matches of each context, as
+    anchor, context, single, k1, k2, at (of a single context in its text, of others in the context), n."""
 
     def flush(rows):
-        matches = index_matches([r[7] for r in rows])
-        k1, k2, at, n = [], [], [], []
-        for r, m in zip(rows, matches, strict=True):
-            if not r[3] or not len(m):
+        matches = index_matches([r[7] for r in rows], several=[not r[3] for r in rows])
+        out = [[] for _ in range(7)]
+        for (_, anchor, context, single, k1, k2, at, _), m in zip(rows, matches, strict=True):
+            if not len(m):
                 continue
             cut = np.flatnonzero(np.concatenate(([True], np.diff(m) > 1)))
             for a, z in zip(m[cut].tolist(), m[np.append(cut[1:], len(m)) - 1].tolist(), strict=True):
-                k1.append(r[4])
-                k2.append(r[5])
-                at.append(r[6] + a)
-                n.append(z - a + LENGTH)
-        return pa.RecordBatch.from_arrays([pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(at, pa.int32()), pa.array(n, pa.int32())], ["k1", "k2", "at", "n"])
+                for column, x in zip(out, (anchor, context, single, k1, k2, at + a if single else a, z - a + LENGTH), strict=True):
+                    column.append(x)
+        kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["anchor", "context", "single", "k1", "k2", "at", "n"])
 
     held, size = [], 0
     for _, rows in common.groups_in_order(batches, ["group", "anchor"]):
@@ -274,9 +285,8 @@ def marks(docs: DataFrame) -> DataFrame:
     met = same.groupBy("anchor").agg(F.count("*").alias("contexts"), F.sum("times").alias("times")).where("times > 1").select("anchor", (F.col("contexts") > 1).alias("mixed"), (F.col("contexts") > HOT_CONTEXTS).alias("hot"))
     kinds = common.checkpointed(same.join(met, "anchor").select("anchor", "context", (F.col("times") > 1).alias("repeated"), "mixed", "hot").where("repeated or mixed"))
     found = common.checkpointed(rows.join(kinds, ["anchor", "context"]))
-    whole = found.where("repeated").select("k1", "k2", "at", "n")
     single = found.where("mixed and not repeated").select("anchor", "context", F.lit(True).alias("single"), "hot", "k1", "k2", "at", "n")
-    sample = found.where("mixed and repeated").groupBy("anchor", "context", "hot").agg(F.min(F.struct("k1", "k2", "at", "n")).alias("p")).select("anchor", "context", F.lit(False).alias("single"), "hot", "p.*")
+    sample = found.where("repeated").groupBy("anchor", "context", "hot").agg(F.min(F.struct("k1", "k2", "at", "n")).alias("p")).select("anchor", "context", F.lit(False).alias("single"), "hot", "p.*")
     wanted = single.unionByName(sample).groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "context", "single", "hot", "at", "n")).alias("wanted"))
 
     def cut(batches):
@@ -292,7 +302,12 @@ def marks(docs: DataFrame) -> DataFrame:
 
     brought = docs.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).mapInArrow(cut, "anchor long, context long, single boolean, hot boolean, k1 long, k2 long, at int, bytes binary")
     grouped = brought.where("not hot").select(F.lit(0).alias("group"), *[c for c in brought.columns if c != "hot"]).repartition("anchor").sortWithinPartitions("group", "anchor", "context")
-    partial = grouped.mapInArrow(_index_batches, _MARKS)
+    indexed = common.checkpointed(grouped.mapInArrow(_index_batches, f"anchor long, context long, single boolean, {_MARKS}"))
+    partial = indexed.where("single").select("k1", "k2", "at", "n")
+    # what the index found in a context that stands for several holds in all of them
+    own, every = indexed.where("not single").select("anchor", "context", F.col("at").alias("inside"), F.col("n").alias("m")), found.where("repeated and not hot")
+    whole = every.join(own, ["anchor", "context"]).select("k1", "k2", (F.col("at") + F.col("inside")).cast("int").alias("at"), F.col("m").alias("n"))
+    whole = whole.unionByName(found.where("repeated and hot").select("k1", "k2", "at", "n"))
     windows = brought.where("hot").dropDuplicates(["anchor", "context"]).select("k1", "k2", "at", "single", "bytes").mapInArrow(_window_batches, "k1 long, k2 long, at int, single boolean, window binary")
     often = windows.groupBy("window").agg(F.count("*").alias("times")).where("times > 1")
     counted = windows.where("single").join(often, "window", "left_semi").select("k1", "k2", "at", F.lit(LENGTH).alias("n"))
