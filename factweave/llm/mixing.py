@@ -48,12 +48,13 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
     ``slices`` (if not given, in proportion to the documents) divides the order of each source, and
     then the order of finish times, so that running sums are taken within slices and joined to the
     slices' totals: no source, however large, passes through one task. Documents of equal hash are ordered by id; repeated rows are documents of their
-    own. Size 0 (null or blank text) is never taken. Null ids and a null source are ordinary values.
+    own. Size 0 (null or blank text) is never taken. Documents without an id are shuffled by their text; a null
+    source is an ordinary value. Reruns agree, however the rows are partitioned.
     The document that would exceed the budget, and all after it, are left out. Other columns are
     ignored; an empty table gives no rows.
     """
     t = common.text_column(text)
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.regexp_count(t, F.lit(common.WORD)).cast("long").alias("size"), F.md5(F.concat_ws(":", F.lit("mix"), F.col(doc_id).cast("string"))).alias("shuffled"), F.xxhash64(t).alias("key"))
+    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.regexp_count(t, F.lit(common.WORD)).cast("long").alias("size"), F.md5(F.concat_ws(":", F.lit("mix"), F.coalesce(F.col(doc_id).cast("string"), F.md5(t)))).alias("shuffled"), F.xxhash64(t).alias("key"))
     d = common.checkpointed(d)  # texts are read once
     slices = slices or max(LEAST_SLICES, d.count() // SLICE_ROWS)
     d = d.withColumn("slice", F.floor(F.conv(F.substring("shuffled", 1, 8), 16, 10).cast("long") * slices / F.lit(2**32)).cast("int"))
@@ -67,10 +68,10 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
         .select("p.source", "p.slice", "p.start", "b.source_size", "b.target")
     )
     d, s = d.alias("d"), starts.alias("s")  # broadcast only if Spark finds it small
-    run = Window.partitionBy("source", "slice").orderBy("shuffled", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = Window.partitionBy("source", "slice").orderBy("shuffled", F.col("doc_id").asc_nulls_last(), "size", "key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     d = d.join(s, F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d.slice") == F.col("s.slice"))).select("d.doc_id", "d.source", "d.key", "d.size", "d.shuffled", "d.slice", "s.start", "s.source_size", "s.target")
     d = d.withColumn("ends", F.col("start") + F.sum("size").over(run))
-    d = d.withColumn("nth", F.row_number().over(Window.partitionBy("source", "slice").orderBy("shuffled", F.col("doc_id").asc_nulls_last(), "size")))
+    d = d.withColumn("nth", F.row_number().over(Window.partitionBy("source", "slice").orderBy("shuffled", F.col("doc_id").asc_nulls_last(), "size", "key")))
     # a pass of its source later, the same document finishes one source_size later
     served = (
         d.where("size > 0 and target > 0")

@@ -189,6 +189,16 @@ def test_mix_reaches_targets(spark):
     assert ((by.taken - by.target).abs() <= 5100).all()
 
 
+def test_mix_reruns_agree_on_null_ids_and_ties(spark):
+    rng = random.Random(9)
+    texts = [words(rng, 20 + i % 3) for i in range(300)]
+    rows = [(None if i % 3 else 7, t, "en", f"s{i % 4}", 0, 1.0, "x", "y") for i, t in enumerate(texts)]
+    runs = [Counter(tuple(r) for r in mixing.mix(spark.createDataFrame(order, SCHEMA).repartition(n), keep_source=True, slices=8).collect()) for order, n in ((rows, 1), (rows[::-1], 5))]
+    assert runs[0] == runs[1] and sum(runs[0].values()) == 300
+    # documents without an id don't share a slice
+    assert mixing.mix(spark.createDataFrame(rows, SCHEMA), keep_source=True).where("doc_id is null").select("taken").distinct().count() >= 2
+
+
 def test_fingerprints_compare_order(spark):
     rng = random.Random(6)
     texts = [words(rng, 300) for _ in range(12)] + [None, "", "short", "same text here now", "same text here now", "a" * 5000, "".join(chr(0x4E00 + rng.randrange(2000)) for _ in range(800)), "b" * 100]
