@@ -109,9 +109,11 @@ def line_and_column(text: Column, offset: Column) -> Column:
 
 
 def trace_file_name(verb: Column, path: Column, endpoint: Column) -> Column:
-    """verb-route-suffix.md: the route's letters and digits, 96 at most, and ten characters of the id."""
-    label = F.substring(F.regexp_replace(F.regexp_replace(path, r"[^A-Za-z0-9]+", "-"), r"^-+|-+$", ""), 1, 96)
-    return F.concat(F.lower(verb), F.lit("-"), F.when(label == "", "route").otherwise(label), F.lit("-"), F.substring(F.element_at(F.split(endpoint, ":"), -1), 1, 10), F.lit(".md"))
+    """verb-route-suffix.md: the route's ASCII letters and digits in lower case, 96 at most, with parameters named
+    (:id is param-id; / alone is root, nothing left is route), and ten characters of the id."""
+    named = F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), lambda s: F.when(F.startswith(s, F.lit(":")), F.concat(F.lit("param-"), F.substring(s, 2, 1 << 30))).otherwise(s))
+    label = F.substring(F.regexp_replace(F.regexp_replace(F.lower(F.array_join(named, "-")), r"[^a-z0-9]+", "-"), r"^-+|-+$", ""), 1, 96)
+    return F.concat(F.lower(verb), F.lit("-"), F.when(path == "/", "root").when(label == "", "route").otherwise(label), F.lit("-"), F.substring(F.element_at(F.split(endpoint, ":"), -1), 1, 10), F.lit(".md"))
 
 
 def target_label(kind: Column, name: Column, detail: Column, technology: Column) -> Column:

@@ -24,26 +24,37 @@ def keyed_diff(before: DataFrame, after: DataFrame, keys: list[str], values: lis
     return both.withColumn("change", change).where("change is not null").select(*keys, "change", F.when(F.col("change") == "modified", F.array_join(reasons, ",")).alias("reasons"))
 
 
-def slot_matching(before: DataFrame, after: DataFrame, slot: list[str], key: str) -> DataFrame:
-    """(slot, key, outcome) of records with a slot and an exact key.
-
-    Slots with several records on a side are blocked: an ambiguity each, and their records are
-    reported removed and added as well. The others pair by exact key first, then by slot; a pair is
-    same_key or same_slot; what is left is removed or added."""
-    def counted(df: DataFrame) -> DataFrame:
-        return df.select(*slot, key, (F.count("*").over(Window.partitionBy(*slot)) > 1).alias("several"))
-
-    a, b = counted(before), counted(after)
-    blocked = a.where("several").select(*slot).union(b.where("several").select(*slot)).distinct()
-    fa, fb = a.join(blocked, slot, "left_anti"), b.join(blocked, slot, "left_anti")
-    by_key = fa.alias("a").join(fb.alias("b"), F.col(f"a.{key}") == F.col(f"b.{key}")).select(*[F.col(f"b.{s}").alias(s) for s in slot], F.col(f"b.{key}").alias(key))
-    left_a, left_b = fa.join(by_key.select(key), key, "left_anti"), fb.join(by_key.select(key), key, "left_anti")
-    by_slot = left_a.alias("a").join(left_b.alias("b"), slot).select(*slot, F.col(f"b.{key}").alias(key))
-    gone = left_a.join(by_slot.select(*slot), slot, "left_anti").select(*slot, key)
-    come = left_b.join(by_slot.select(*slot), slot, "left_anti").select(*slot, key)
-    held_a, held_b = a.join(blocked, slot, "left_semi").select(*slot, key), b.join(blocked, slot, "left_semi").select(*slot, key)
-    kinds = [(by_key, "same_key"), (by_slot, "same_slot"), (gone, "removed"), (held_a, "removed"), (come, "added"), (held_b, "added"), (blocked.withColumn(key, F.lit(None).cast(dict(before.dtypes)[key])), "ambiguous")]
-    return reduce(DataFrame.unionByName, [df.select(*slot, key).withColumn("outcome", F.lit(o)) for df, o in kinds])
+def slot_matching(before: DataFrame, after: DataFrame, slot: list[str], key: str, unsure: Column | None = None) -> DataFrame:
+    """(slot, key, outcome) of records with a slot and an exact key (null if it isn't known).
+
+    Slots that several records of a side hold are ``ambiguous``; so is, as ``ambiguous_identity``, each other record that is
+    ``unsure``; of what is left keys that several records of a side hold are ``ambiguous_key`` (with no slot). All of these are
+    blocked, on both sides. The others pair by exact key first (same_key), then by slot if one of each side
+    is left (same_slot); a pair has the later record's slot and key. What isn't paired, the blocked included, is
+    removed or added. Sides are counted together, so each count is one aggregation and one join."""
+    later, doubt = F.col("later"), F.lit(False) if unsure is None else F.coalesce(unsure, F.lit(False))
+    u = reduce(DataFrame.unionByName, [df.select(*slot, key, doubt.alias("doubt"), F.lit(x).alias("later")) for df, x in ((before, False), (after, True))])
+
+    def counted(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+        return rows.groupBy(*by).agg(F.count_if(~later).alias(f"{name}_before"), F.count_if(later).alias(f"{name}_after"))
+
+    several = lambda name: (F.col(f"{name}_before") > 1) | (F.col(f"{name}_after") > 1)
+    one = lambda name: F.coalesce((F.col(f"{name}_before") == 1) & (F.col(f"{name}_after") == 1), F.lit(False))
+    slots = counted(u, slot, "slot")
+    u = u.join(slots, slot).withColumn("free", ~several("slot") & ~F.col("doubt"))
+    keys = counted(u.where(F.col("free") & F.col(key).isNotNull()), [key], "key")
+    u = u.join(keys, key, "left").withColumn("by_key", F.col("free") & one("key")).withColumn("rest", F.col("free") & ~F.col("by_key") & ~F.coalesce(several("key"), F.lit(False)))
+    u = u.join(counted(u.where("rest"), slot, "left"), slot, "left").withColumn("by_slot", F.col("rest") & one("left"))
+    outcome = F.when(F.col("by_key"), F.when(later, "same_key")).when(F.col("by_slot"), F.when(later, "same_slot")).when(later, "added").otherwise("removed")
+    kinds = dict(before.dtypes)
+    none = lambda c: F.lit(None).cast(kinds[c]).alias(c)
+    out = [
+        u.select(*slot, key, outcome.alias("outcome")).where("outcome is not null"),
+        slots.where(several("slot")).select(*slot, none(key), F.lit("ambiguous").alias("outcome")),
+        u.where(~several("slot") & F.col("doubt")).select(*slot, key, F.lit("ambiguous_identity").alias("outcome")),
+        keys.where(several("key")).select(*map(none, slot), key, F.lit("ambiguous_key").alias("outcome")),
+    ]
+    return reduce(DataFrame.unionByName, out)
 
 
 def status_changes(before: DataFrame, after: DataFrame, key: str, status: str) -> DataFrame:

@@ -31,12 +31,17 @@ def heat(metric: DataFrame, value: str) -> DataFrame:
     return metric.crossJoin(F.broadcast(legend(metric, value))).withColumn("band", band).drop("p50", "p75", "p90")
 
 
-def ownership(subjects: DataFrame, owners: DataFrame) -> DataFrame:
-    """(subject, state, n_owners): ownership_unknown if an owning edge is uncertain, otherwise
-    not_declared, unique or multiple. owners: (subject, owner, certain)."""
+def ownership(subjects: DataFrame, owners: DataFrame, modules: DataFrame | None = None) -> DataFrame:
+    """(subject, state, n_owners). owners: (subject, owner, certain); modules: (module, complete), or none if the analysis
+    has no modules, which makes every state unavailable. ownership_unknown if an owning edge is uncertain,
+    otherwise by the number of owners; without one it is unknown if any module is incomplete."""
     o = owners.groupBy("subject").agg(F.countDistinct("owner").alias("n_owners"), F.every("certain").alias("certain"))
     s = subjects.join(o, "subject", "left").na.fill(0, ["n_owners"])
-    state = F.when(~F.coalesce("certain", F.lit(True)), "ownership_unknown").when(F.col("n_owners") == 0, "not_declared").when(F.col("n_owners") == 1, "unique").otherwise("multiple")
+    if modules is None:
+        return s.select("subject", F.lit("unavailable").alias("state"), F.lit(0).cast("long").alias("n_owners"))
+    s = s.crossJoin(F.broadcast(modules.agg(F.count_if(~F.col("complete")).alias("gaps"))))  # one row
+    n = F.col("n_owners")
+    state = F.when(~F.coalesce("certain", F.lit(True)), "ownership_unknown").when(n == 1, "uniquely_owned").when(n > 1, "multiple_owners").when(F.col("gaps") > 0, "ownership_unknown").otherwise("not_declared_by_supported_modules")
     return s.select("subject", state.alias("state"), "n_owners")
 
 

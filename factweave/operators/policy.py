@@ -64,9 +64,9 @@ def unambiguous(producer: Column, state: Column) -> Column:
     return F.when(producer.isNull(), "not_applicable").when(state == "ambiguous", "fail").otherwise("pass")
 
 
-def result_state(canceled: Column, facts: Column, gaps: Column) -> Column:
-    """Of an analysis: canceled, failed (nothing was found), completed, or completed with gaps."""
-    return F.when(canceled, "canceled").when(facts == 0, "failed").when(gaps == 0, "completed").otherwise("completed_with_gaps")
+def result_state(canceled: Column, fatal: Column, facts: Column, errors: Column, diagnostics: Column) -> Column:
+    """Of an analysis: canceled, failed (fatal, or errors and nothing found), completed (no diagnostics), or completed with gaps."""
+    return F.when(canceled, "canceled").when(fatal | ((facts == 0) & (errors > 0)), "failed").when(diagnostics == 0, "completed").otherwise("completed_with_gaps")
 
 
 def mutation_class(writes: Column, unknown: Column) -> Column:

@@ -151,12 +151,27 @@ def heat_bands(spark, sf):
     return metrics.heat(_orders_each(spark, sf), "n")
 
 
-@bound("""WITH o AS (SELECT l_partkey AS subject, count(DISTINCT l_suppkey) AS n, bool_and(l_returnflag <> 'R') AS certain FROM lineitem WHERE l_quantity > 45 GROUP BY 1)
-SELECT p_partkey AS subject, CASE WHEN NOT coalesce(certain, true) THEN 'ownership_unknown' WHEN n IS NULL THEN 'not_declared' WHEN n = 1 THEN 'unique' ELSE 'multiple' END AS state,
-coalesce(n, 0) AS n_owners FROM part LEFT JOIN o ON subject = p_partkey""")
+_OWNERSHIP = """WITH o AS (SELECT l_partkey AS subject, count(DISTINCT l_suppkey) AS n, bool_and(l_returnflag <> 'R' OR l_quantity < 40) AS certain FROM lineitem WHERE l_partkey % 3 > 0 AND l_suppkey % 20 = 0 GROUP BY 1)
+SELECT p_partkey AS subject, CASE WHEN NOT coalesce(certain, true) THEN 'ownership_unknown' WHEN n = 1 THEN 'uniquely_owned' WHEN n > 1 THEN 'multiple_owners' ELSE '{none}' END AS state,
+coalesce(n, 0) AS n_owners FROM part LEFT JOIN o ON subject = p_partkey"""
+
+
+def _owned(spark, sf, modules):
+    lines = table(spark, sf, "lineitem").where("l_partkey % 3 > 0 and l_suppkey % 20 = 0")
+    owners = lines.select(F.col("l_partkey").alias("subject"), F.col("l_suppkey").alias("owner"), ((F.col("l_returnflag") != "R") | (F.col("l_quantity") < 40)).alias("certain"))
+    return metrics.ownership(table(spark, sf, "part").select(F.col("p_partkey").alias("subject")), owners, modules)
+
+
+@bound(_OWNERSHIP.format(none="not_declared_by_supported_modules"))
 def ownership_state(spark, sf):
-    owners = table(spark, sf, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("subject"), F.col("l_suppkey").alias("owner"), (F.col("l_returnflag") != "R").alias("certain"))
-    return metrics.ownership(table(spark, sf, "part").select(F.col("p_partkey").alias("subject")), owners)
+    """Parts owned by every twentieth supplier; all modules (nations) are complete."""
+    return _owned(spark, sf, table(spark, sf, "nation").select(F.col("n_nationkey").alias("module"), F.lit(True).alias("complete")))
+
+
+@bound(_OWNERSHIP.format(none="ownership_unknown"))
+def ownership_with_gaps(spark, sf):
+    """One incomplete module makes it unknown whether parts without an owner have one."""
+    return _owned(spark, sf, table(spark, sf, "nation").select(F.col("n_nationkey").alias("module"), (F.col("n_nationkey") != 7).alias("complete")))
 
 
 IMPORTS = """imports AS (SELECT a.n_nationkey AS module, b.n_nationkey AS imported FROM nation a JOIN nation b ON b.n_nationkey = a.n_nationkey // 2 WHERE a.n_nationkey > 0 AND a.n_nationkey % 3 <> 0),
@@ -429,6 +444,30 @@ def endpoint_matching(spark, sf):
     return diff.slot_matching(a, b, ["segment", "nation"], "name")
 
 
+# Keys repeat within a side, in slots of their own; some aren't known, and some identities are ambiguous.
+_REPEATED = """a AS (SELECT o_orderkey AS slot, CASE WHEN o_orderkey % 11 > 0 THEN 'k' || o_orderkey // CASE WHEN o_orderkey % 100 < 30 THEN 2 ELSE 1 END END AS key, o_orderkey % 17 = 0 AS unsure FROM orders WHERE o_orderkey % 13 > 0
+  UNION ALL SELECT o_orderkey, 'twin' || o_orderkey, false FROM orders WHERE o_orderkey % 29 = 0),
+b AS (SELECT o_orderkey + CASE WHEN o_orderkey % 5 = 0 THEN 100000000 ELSE 0 END AS slot, CASE WHEN o_orderkey % 7 > 0 THEN 'k' || o_orderkey // CASE WHEN o_orderkey % 100 < 20 THEN 2 ELSE 1 END ELSE 'new' || o_orderkey END AS key, o_orderkey % 19 = 0 AS unsure FROM orders WHERE o_orderkey % 23 > 0)"""
+
+
+@bound(f"""WITH {_REPEATED}, u AS (SELECT *, 0 AS later FROM a UNION ALL SELECT *, 1 FROM b), r AS (SELECT *, row_number() OVER () AS id FROM u),
+blocked AS (SELECT slot FROM a GROUP BY slot HAVING count(*) > 1 UNION SELECT slot FROM b GROUP BY slot HAVING count(*) > 1),
+open AS (SELECT * FROM r WHERE slot NOT IN (FROM blocked) AND NOT unsure), several AS (SELECT DISTINCT key FROM open WHERE key IS NOT NULL GROUP BY key, later HAVING count(*) > 1),
+exact AS (SELECT x.id AS x, y.id AS y FROM open x JOIN open y ON x.key = y.key AND x.later = 0 AND y.later = 1 WHERE x.key NOT IN (FROM several)),
+rest AS (SELECT * FROM open WHERE id NOT IN (SELECT x FROM exact) AND id NOT IN (SELECT y FROM exact) AND (key IS NULL OR key NOT IN (FROM several))),
+slotted AS (SELECT x.id AS x, y.id AS y FROM rest x JOIN rest y ON x.slot = y.slot AND x.later = 0 AND y.later = 1)
+SELECT slot, key, CASE WHEN id IN (SELECT y FROM exact) THEN 'same_key' WHEN id IN (SELECT y FROM slotted) THEN 'same_slot' WHEN later = 1 THEN 'added' ELSE 'removed' END AS outcome FROM r WHERE id NOT IN (SELECT x FROM exact) AND id NOT IN (SELECT x FROM slotted)
+UNION ALL SELECT slot, NULL, 'ambiguous' FROM blocked UNION ALL SELECT slot, key, 'ambiguous_identity' FROM r WHERE unsure AND slot NOT IN (FROM blocked) UNION ALL SELECT NULL, key, 'ambiguous_key' FROM several""")
+def endpoint_matching_repeated(spark, sf):
+    o, k = table(spark, sf, "orders"), F.col("o_orderkey")
+    s = lambda x: x.cast("string")
+    keyed = lambda bound: F.concat(F.lit("k"), s(F.floor(k / F.when(k % 100 < bound, 2).otherwise(1))))
+    a = o.where(k % 13 > 0).select(k.alias("slot"), F.when(k % 11 > 0, keyed(30)).alias("key"), (k % 17 == 0).alias("unsure"))
+    a = a.unionByName(o.where(k % 29 == 0).select(k.alias("slot"), F.concat(F.lit("twin"), s(k)).alias("key"), F.lit(False).alias("unsure")))
+    b = o.where(k % 23 > 0).select((k + F.when(k % 5 == 0, 100000000).otherwise(0)).alias("slot"), F.when(k % 7 > 0, keyed(20)).otherwise(F.concat(F.lit("new"), s(k))).alias("key"), (k % 19 == 0).alias("unsure"))
+    return diff.slot_matching(a, b, ["slot"], "key", F.col("unsure"))
+
+
 @bound("SELECT c_mktsegment AS kind, c_nationkey AS key, count(*) AS records, string_agg(DISTINCT CAST(c_custkey AS VARCHAR), ',' ORDER BY CAST(c_custkey AS VARCHAR)) AS members FROM customer GROUP BY 1, 2 HAVING count(*) > 1")
 def ambiguity_groups(spark, sf):
     return diff.collisions(table(spark, sf, "customer").select(F.col("c_mktsegment").alias("kind"), F.col("c_nationkey").alias("key"), "c_custkey"), "kind", "key", "c_custkey")
@@ -651,10 +690,14 @@ def record_merge(spark, sf):
     return validate.merge_records(table(spark, sf, "lineitem"), "l_orderkey", ["l_partkey", "l_returnflag"], ["l_linestatus"])
 
 
-@bound("SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'canceled' WHEN n = 0 OR n IS NULL THEN 'failed' WHEN gaps = 0 THEN 'completed' ELSE 'completed_with_gaps' END AS state FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS gaps FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey")
+@bound("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'canceled' WHEN o_orderkey % 50 = 0 THEN 'failed' WHEN found IS NULL AND o_orderpriority = '1-URGENT' THEN 'failed'
+WHEN o_orderpriority <> '1-URGENT' AND coalesce(returned, 0) = 0 THEN 'completed' ELSE 'completed_with_gaps' END AS state
+FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS found, count(*) FILTER (l_returnflag = 'R') AS returned FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""")
 def result_state(spark, sf):
-    g = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("gaps"))
-    state = policy.result_state(F.col("o_orderstatus") == "P", F.coalesce("n", F.lit(0)), F.col("gaps"))
+    """Lines are facts, an urgent order has an error, returned lines are diagnostics, and each fiftieth order failed."""
+    g = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("returned"))
+    error = (F.col("o_orderpriority") == "1-URGENT").cast("int")
+    state = policy.result_state(F.col("o_orderstatus") == "P", F.col("o_orderkey") % 50 == 0, F.coalesce("n", F.lit(0)), error, error + F.coalesce("returned", F.lit(0)))
     return table(spark, sf, "orders").join(g, F.col("l_orderkey") == F.col("o_orderkey"), "left").select("o_orderkey", state.alias("state"))
 
 

@@ -47,10 +47,16 @@ def target_labels(spark, sf):
     return _targets(spark, sf).select("event_id", T.target_label(*parts).alias("label"), T.target_dynamism(*parts).alias("state"))
 
 
-@bound("""SELECT page_id, 'get-' || CASE WHEN s = '' THEN 'route' ELSE s END || '-' || substr('p' || page_id || 'abcdefghijkl', 1, 10) || '.md' AS name FROM
-(SELECT page_id, substr(trim(regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*', ''), '[^A-Za-z0-9]+', '-', 'g'), '-'), 1, 96) AS s FROM pages)""")
+_ROUTE = """CASE page_id % 5 WHEN 0 THEN '/' WHEN 1 THEN '/Notes/:ID/x' || page_id WHEN 2 THEN '/:a//' || upper(p) || '/:b_c:d' WHEN 3 THEN '/***/' ELSE p END"""
+
+
+@bound(f"""WITH r AS (SELECT page_id, {_ROUTE} AS path FROM (SELECT page_id, regexp_replace(url, '^[a-z]+://[^/]*', '') AS p FROM pages)),
+s AS (SELECT page_id, path, lower(array_to_string(list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: regexp_replace(x, '^:', 'param-')), '-')) AS j FROM r),
+l AS (SELECT page_id, path, substr(trim(regexp_replace(j, '[^a-z0-9]+', '-', 'g'), '-'), 1, 96) AS label FROM s)
+SELECT page_id, 'get-' || CASE WHEN path = '/' THEN 'root' WHEN label = '' THEN 'route' ELSE label END || '-' || substr('p' || page_id || 'abcdefghijkl', 1, 10) || '.md' AS name FROM l""")
 def trace_file_names(spark, sf):
-    return table(spark, sf, "pages").select("page_id", T.trace_file_name(F.lit("GET"), F.regexp_replace("url", "^[a-z]+://[^/]*", ""), F.concat(F.lit("endpoint:p"), c("page_id").cast("string"), F.lit("abcdefghijkl"))).alias("name"))
+    r = table(spark, sf, "pages").withColumn("p", F.regexp_replace("url", "^[a-z]+://[^/]*", "")).withColumn("path", F.expr(_ROUTE))
+    return r.select("page_id", T.trace_file_name(F.lit("GET"), c("path"), F.concat(F.lit("endpoint:p"), c("page_id").cast("string"), F.lit("abcdefghijkl"))).alias("name"))
 
 
 _PATHS = """CASE p_partkey % 7 WHEN 0 THEN 'src/./x//' || p_partkey WHEN 1 THEN 'src/x/../' || p_partkey WHEN 2 THEN '../' || p_partkey WHEN 3 THEN '/abs/' || p_partkey WHEN 4 THEN 'a/..' WHEN 5 THEN 'a/../../' || p_partkey ELSE 'p/' || p_partkey || '/' END"""
