@@ -2,30 +2,46 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+
+#: Most segments of a pattern, and what stands between segments once names and patterns are written alike.
+MOST_SEGMENTS, UNIT = 100, "\x1f"
+
+
+def _segments(text: Column, delimiter: str) -> Column:
+    return F.split(text, _quoted(delimiter))
 
 
 def valid_pattern(pattern: Column, delimiter: str) -> Column:
-    """At most 100 segments, at least one * or **, and no star within a longer segment."""
-    segments = F.split(pattern, _quoted(delimiter))
+    """At most MOST_SEGMENTS segments, at least one * or **, and no star within a longer segment. A delimiter that is
+    empty or has a star makes no pattern valid."""
+    if not delimiter or "*" in delimiter:
+        return F.lit(False)
+    segments = _segments(pattern, delimiter)
     star = lambda s: s.isin("*", "**")
-    return (F.size(segments) <= 100) & F.exists(segments, star) & F.forall(segments, lambda s: star(s) | ~F.contains(s, F.lit("*")))
+    return (F.size(segments) <= MOST_SEGMENTS) & F.exists(segments, star) & F.forall(segments, lambda s: star(s) | ~F.contains(s, F.lit("*")))
 
 
 def _quoted(text: str) -> str:
     return "".join(f"\\{c}" if not c.isalnum() else c for c in text)
 
 
+def _in_units(text: Column, delimiter: str) -> Column:
+    """The text with UNIT after each segment; segments that have one, or a backslash, are escaped."""
+    return F.array_join(F.transform(_segments(text, delimiter), lambda s: F.concat(F.replace(F.replace(s, F.lit("\\"), F.lit("\\\\")), F.lit(UNIT), F.lit("\\u")), F.lit(UNIT))), "")
+
+
 def pattern_to_regex(pattern: Column, delimiter: str) -> Column:
-    """An anchored expression: * is one segment, ** none or more, of a one-character delimiter."""
-    if len(delimiter) != 1:
-        raise ValueError("one-character delimiters only")
-    d = _quoted(delimiter)
-    segments = F.split(pattern, d)
+    """An anchored expression over names in units: * is one segment, ** none or more."""
+    segments = F.filter(F.split(_in_units(pattern, delimiter), UNIT), lambda s, i: i < F.size(_segments(pattern, delimiter)))
     escaped = lambda s: F.regexp_replace(s, r"([^A-Za-z0-9_])", r"\\$1")
-    # each segment brings its delimiter; ** brings any number of segments with theirs
-    body = F.array_join(F.transform(segments, lambda s: F.when(s == "**", F.lit(f"(?:[^{d}]*{d})*")).when(s == "*", F.lit(f"[^{d}]*{d}")).otherwise(F.concat(escaped(s), F.lit(d)))), "")
+    one = f"[^{UNIT}]*{UNIT}"
+    body = F.array_join(F.transform(segments, lambda s: F.when(s == "**", F.lit(f"(?:{one})*")).when(s == "*", F.lit(one)).otherwise(F.concat(escaped(s), F.lit(UNIT)))), "")
     return F.concat(F.lit("^"), body, F.lit("$"))
 
 
@@ -36,23 +52,34 @@ def exact_match(producers: DataFrame, handlers: DataFrame, key: str = "target_ke
 
 
 def wildcard_match(producers: DataFrame, patterns: DataFrame, delimiter: str = ".") -> DataFrame:
-    """(producer, handler): events whose name a handler's pattern matches. Distinct patterns meet
-    distinct names, then both sides fan out.
-
-    A pattern that begins with a plain segment meets only the names that begin with it, and one without
-    ``**`` only those of as many segments: both are join keys, so no table has to be broadcast."""
-    d = _quoted(delimiter)
-    compiled = patterns.where(valid_pattern(F.col("pattern"), delimiter)).select("pattern").distinct().withColumn("regex", pattern_to_regex(F.col("pattern"), delimiter))
-    parts = F.split("pattern", d)
-    compiled = compiled.withColumn("p_first", F.when(~F.get(parts, F.lit(0)).isin("*", "**"), F.get(parts, F.lit(0)))).withColumn("p_size", F.when(~F.array_contains(parts, "**"), F.size(parts)))
-    names = producers.select("name").distinct().withColumn("first", F.get(F.split("name", d), F.lit(0))).withColumn("segments", F.size(F.split("name", d)))
-    fits = F.regexp_like(F.concat("name", F.lit(delimiter)), F.col("regex"))
+    """(producer, handler): events whose name a handler's pattern matches, with a delimiter of one or more characters.
+    Distinct patterns meet distinct names, then both sides fan out.
+
+    Every meeting is by a key, so no pattern meets all names and no table has to be broadcast: a pattern that begins
+    with a plain segment meets the names that begin with it; of the others one without ``**`` those of as many
+    segments, one with a plain segment anywhere those that have it (the longest of them), and one of stars alone
+    those of enough segments."""
+    parts = _segments(F.col("pattern"), delimiter)
+    plain = F.filter(parts, lambda s: ~s.isin("*", "**"))
+    first = F.get(parts, F.lit(0))
+    longest = F.element_at(F.array_sort(F.transform(plain, lambda s: F.struct(F.length(s), s.alias("s")))), -1)["s"]
+    open_ = F.array_contains(parts, "**")
+    compiled = patterns.where(valid_pattern(F.col("pattern"), delimiter)).select("pattern").distinct()
+    compiled = compiled.withColumn("regex", pattern_to_regex(F.col("pattern"), delimiter)).select(
+        "pattern", "regex", F.when(~first.isin("*", "**"), first).alias("p_first"), F.when(~open_, F.size(parts)).alias("p_size"), F.when(F.size(plain) > 0, longest).alias("p_has"), F.size(F.filter(parts, lambda s: s == "*")).alias("p_least")
+    )
+    names = producers.select("name").distinct().withColumn("parts", _segments(F.col("name"), delimiter)).withColumn("units", _in_units(F.col("name"), delimiter))
+    fits = F.regexp_like(F.col("units"), F.col("regex"))
+    begin, sized = F.col("p_first").isNotNull(), F.col("p_first").isNull() & F.col("p_size").isNotNull()
+    rest = F.col("p_first").isNull() & F.col("p_size").isNull()
+    enough = compiled.where(rest & F.col("p_has").isNull()).withColumn("at", F.explode(F.sequence(F.col("p_least"), F.lit(MOST_SEGMENTS))))
     arms = [
-        names.join(compiled.where("p_first is not null"), (F.col("first") == F.col("p_first")) & fits),
-        names.join(compiled.where("p_first is null and p_size is not null"), (F.col("segments") == F.col("p_size")) & fits),
-        names.join(compiled.where("p_first is null and p_size is null"), fits),  # of ** first: any name may match
+        names.withColumn("at", F.get("parts", F.lit(0))).join(compiled.where(begin).withColumnRenamed("p_first", "at"), "at").where(fits),
+        names.withColumn("at", F.size("parts")).join(compiled.where(sized).withColumnRenamed("p_size", "at"), "at").where(fits),
+        names.withColumn("at", F.explode(F.array_distinct("parts"))).join(compiled.where(rest & F.col("p_has").isNotNull()).withColumnRenamed("p_has", "at"), "at").where(fits),
+        names.withColumn("at", F.least(F.size("parts"), F.lit(MOST_SEGMENTS))).join(enough, "at"),  # stars take any segment
     ]
-    hits = arms[0].unionByName(arms[1]).unionByName(arms[2]).select("name", "pattern")
+    hits = reduce(DataFrame.unionByName, [arm.select("name", "pattern") for arm in arms])
     return producers.join(hits, "name").join(patterns, "pattern").select("producer", "handler", "name", "pattern")
 
 
@@ -105,11 +132,34 @@ def branch_state(selector: Column, jobs: Column, job: Column) -> Column:
     )
 
 
+#: A range of up to BIN ** n lines lies in one or two bins of level n.
+BIN, LEVELS = 256, 5
+
+
 def contained(inner: DataFrame, outer: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:
-    """(inner_id, outer_id): ranges within ranges of the same keys, both ends included. Ends may be
-    structs, compared in order of their fields."""
-    on = [F.col(f"i.{k}") == F.col(f"o.{k}") for k in keys]
-    return inner.alias("i").join(outer.alias("o"), [*on, F.col(f"i.{start}") >= F.col(f"o.{start}"), F.col(f"i.{end}") <= F.col(f"o.{end}")]).select("i.inner_id", "o.outer_id")
+    """(inner_id, outer_id): ranges within ranges of the same keys, both ends included. Ends are numbers, or
+    structs that begin with one, compared in order of their fields.
+
+    An outer range goes to the bins that it covers, of a width that makes them one or two; an inner one to the bin
+    of its start, once for each width that is in use. So a pair meets once, and a large file is many keys."""
+    def line(df: DataFrame, of: str) -> Column:
+        kind = df.schema[of].dataType
+        return F.floor(F.col(of)[kind.fields[0].name] if isinstance(kind, StructType) else F.col(of)).cast("long")
+
+    width = lambda level: F.pow(F.lit(float(BIN)), level).cast("long")
+    o = outer.withColumn("first_line", line(outer, start)).withColumn("last_line", line(outer, end)).where("first_line <= last_line")
+    size = F.col("last_line") - F.col("first_line") + 1
+    level = F.lit(LEVELS)
+    for n in reversed(range(LEVELS)):
+        level = F.when(size <= BIN**n, n).otherwise(level)
+    o = o.withColumn("level", level)
+    bins = F.sequence(F.floor(F.col("first_line") / width(F.col("level"))), F.floor(F.col("last_line") / width(F.col("level"))))
+    o = o.withColumn("bin", F.explode(bins)).drop("first_line", "last_line")
+    used = outer.sparkSession.createDataFrame([(n,) for n in range(LEVELS + 1)], "level int").join(o.select("level").distinct(), "level", "left_semi")
+    i = inner.withColumn("first_line", line(inner, start)).crossJoin(F.broadcast(used))  # LEVELS + 1 rows at most
+    i = i.withColumn("bin", F.floor(F.col("first_line") / width(F.col("level"))))
+    on = [F.col(f"i.{k}") == F.col(f"o.{k}") for k in [*keys, "level", "bin"]]
+    return i.alias("i").join(o.alias("o"), [*on, F.col(f"i.{start}") >= F.col(f"o.{start}"), F.col(f"i.{end}") <= F.col(f"o.{end}")]).select("i.inner_id", "o.outer_id")
 
 
 def guards_in_order(subjects: DataFrame, guards: DataFrame) -> DataFrame:

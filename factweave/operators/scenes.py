@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def greedy_scene(edges: DataFrame, max_nodes: int, max_edges: int) -> DataFrame:
-    """(root, edge_id, position): each root's edges by rank and id; an edge is taken if its new ends
+    """(root, edge_id, position): each root's edges by rank and id; the root is in the scene, an edge is taken if its new ends
     fit the node budget, skipped otherwise, until the edge budget is reached. What is taken depends
     on what was, so a root's edges are walked in order; they stream by, and only the scene's nodes
     are held."""
@@ -20,7 +21,7 @@ def greedy_scene(edges: DataFrame, max_nodes: int, max_edges: int) -> DataFrame:
             out = []
             for own, edge_id, subject, object_ in zip(*(b[c].to_pylist() for c in ("root", "edge_id", "subject", "object")), strict=True):
                 if own != root:
-                    root, nodes, taken = own, set(), 0
+                    root, nodes, taken = own, {own}, 0
                 new = {subject, object_} - nodes
                 if taken < max_edges and len(nodes) + len(new) <= max_nodes:
                     nodes |= new
@@ -30,3 +31,37 @@ def greedy_scene(edges: DataFrame, max_nodes: int, max_edges: int) -> DataFrame:
 
     ordered = edges.select("root", "edge_id", "subject", "object", "rank").repartition("root").sortWithinPartitions("root", "rank", "edge_id")
     return ordered.select("root", "edge_id", "subject", "object").mapInArrow(walk, "root string, edge_id string, position long")
+
+
+def scene(nodes: DataFrame, edges: DataFrame, max_nodes: int, max_edges: int, max_evidence: int, extra: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """A root's scene: (edges, nodes, evidence, omitted). nodes: root, node, evidence (array); edges: root, edge_id, subject,
+    object, rank, evidence; extra: root, id of evidence that belongs to the scene as a whole.
+
+    The evidence budget has two phases: the first evidence of each node and edge, by id, then all other evidence of
+    theirs, by id, until the budget is used up. Each element keeps what the scene keeps. omitted: how many nodes, edges and
+    pieces of evidence a root has beyond its scene."""
+    taken = greedy_scene(edges, max_nodes, max_edges)
+    own = edges.join(taken, ["root", "edge_id"])
+    ends = own.select("root", F.explode(F.array("subject", "object")).alias("node")).unionByName(nodes.select("root", F.col("root").alias("node"))).distinct()
+    held = nodes.join(ends, ["root", "node"])
+    parts = held.select("root", "evidence").unionByName(own.select("root", "evidence"))
+    cited = parts.select("root", F.posexplode("evidence").alias("nth", "id")).select("root", "id", F.col("nth").cast("int").alias("nth"))
+    if extra is not None:
+        cited = cited.unionByName(extra.select("root", "id", F.lit(1).alias("nth")))
+    cited = cited.groupBy("root", "id").agg((F.min("nth") > 0).alias("optional"))
+    place = F.row_number().over(Window.partitionBy("root").orderBy("optional", "id"))
+    kept = cited.withColumn("position", place).where(F.col("position") <= max_evidence)
+    # a root's kept evidence is bounded by the budget
+    by_root = kept.groupBy("root").agg(F.collect_set("id").alias("kept"))
+    trimmed = F.array_sort(F.array_intersect("evidence", F.coalesce("kept", F.array().cast("array<string>")))).alias("evidence")
+    count = lambda df, name: df.groupBy("root").agg(F.count("*").alias(name))
+    omitted = count(nodes, "all_nodes")
+    for df, name in ((held, "nodes"), (edges, "all_edges"), (own, "edges"), (cited, "all_evidence"), (kept, "evidence")):
+        omitted = omitted.join(count(df, name), "root", "left")
+    less = [(F.coalesce(f"all_{c}", F.lit(0)) - F.coalesce(c, F.lit(0))).alias(c) for c in ("nodes", "edges", "evidence")]
+    return (
+        own.join(by_root, "root", "left").select("root", "edge_id", "position", trimmed),
+        held.join(by_root, "root", "left").select("root", "node", trimmed),
+        kept.select("root", "id", "position"),
+        omitted.select("root", *less),
+    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factweave.functions import text as T
-from factweave.operators import diff, export, graph, impact, match, metrics, policy, stitch, topology, validate
+from factweave.operators import diff, export, graph, impact, match, metrics, policy, scenes, stitch, topology, validate
 from factweave.plans.bindings import EDGES, _sql_values, bound, edges, table, values
 
 c = F.col
@@ -498,3 +498,97 @@ SELECT coalesce(n.id, s.id) AS id, coalesce(found, 0) AS found, coalesce(stated,
 def derived_summaries(spark, sf):
     stated = table(spark, sf, "orders").select(c("o_orderkey").alias("l_orderkey"), F.when(c("o_orderkey") % 10 == 0, 0).otherwise(4).cast("long").alias("lines"))
     return validate.wrong_summary(table(spark, sf, "lineitem"), "l_orderkey", stated, "lines")
+
+
+# --- patterns of longer delimiters, queues with any job, scenes with evidence ---------------------
+
+_LONG_PATTERNS = [(1, "click::**"), (2, "**::3"), (3, "*::**"), (4, "**::x::**"), (5, "**"), (6, "*::*"), (7, "**::1::*"), (8, "*::x::*"), (9, "view::*::2"), (10, "*::*::*::**"), (11, "bad*::x"), (12, "click::1"), (13, "**::x.y::0"), (14, "**::**")]
+_LONG_NAME = "event_type || CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN '::x' WHEN 2 THEN '::x.y' ELSE '::' END || CASE WHEN event_id % 5 > 0 THEN '::' || user_id % 4 ELSE '' END"
+
+
+@bound(f"""WITH n AS (SELECT event_id AS producer, {_LONG_NAME} AS name FROM events),
+r(handler, pattern, regex) AS ({_sql_values([(1, "click::**", r"^click(::.*)?$"), (2, "**::3", r"^(.*::)?3$"), (3, "*::**", r".*"), (4, "**::x::**", r"^(.*::)?x(::.*)?$"), (5, "**", ".*"), (6, "*::*", r"^[^:]*::[^:]*$"), (7, "**::1::*", r"^(.*::)?1::[^:]*$"), (8, "*::x::*", r"^[^:]*::x::[^:]*$"), (9, "view::*::2", r"^view::[^:]*::2$"), (10, "*::*::*::**", r"^[^:]*::[^:]*::[^:]*(::.*)?$"), (13, "**::x.y::0", r"^(.*::)?x\\.y::0$"), (14, "**::**", ".*")]).replace("x\\\\.y", "x[.]y")})
+SELECT producer, handler, name, pattern FROM n JOIN r ON regexp_matches(name, regex)""")
+def wildcard_match_long(spark, sf):
+    """A delimiter of two characters; names with empty segments and dots."""
+    p = table(spark, sf, "events").select(c("event_id").alias("producer"), F.expr(_LONG_NAME).alias("name"))
+    return match.wildcard_match(p, values(spark, _LONG_PATTERNS, "handler int, pattern string"), "::")
+
+
+@bound("""SELECT d.doc_id * 10 + k AS inner_id, o.doc_id AS outer_id FROM documents d, range(0, 4) r(k), documents o
+WHERE o.lang = d.lang AND (d.n_chars * (k + 1), k) >= (o.doc_id % 7, 0) AND (d.n_chars * (k + 1) + k, 3 - k) <= (o.n_chars * (o.doc_id % 3), 1) AND o.doc_id % 5 = 0""")
+def interval_containment_hot(spark, sf):
+    """Four files only (languages): spans of very different length, found by their bins."""
+    pair = lambda a, b: F.struct(a.cast("long").alias("line"), b.cast("long").alias("col"))
+    d, k = table(spark, sf, "documents"), c("k")
+    inner = d.select("lang", "doc_id", "n_chars", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k")).select("lang", (c("doc_id") * 10 + k).alias("inner_id"), pair(c("n_chars") * (k + 1), k).alias("start"), pair(c("n_chars") * (k + 1) + k, 3 - k).alias("end"))
+    outer = d.where("doc_id % 5 = 0").select("lang", c("doc_id").alias("outer_id"), pair(c("doc_id") % 7, F.lit(0)).alias("start"), pair(c("n_chars") * (c("doc_id") % 3), F.lit(1)).alias("end"))
+    return match.contained(inner, outer, ["lang"])
+
+
+_QUEUED = """p AS (SELECT o_orderkey AS producer, 'q' || o_custkey % 12 AS contract, CASE WHEN o_orderkey % 9 > 0 THEN o_orderpriority END AS job, CASE WHEN o_orderkey % 4 > 0 THEN 'r' || o_custkey % 2 END AS realm, o_orderstatus <> 'P' AND o_orderkey % 9 > 0 AS eligible, o_orderkey % 2 = 0 AS single FROM orders),
+c AS (SELECT s_suppkey AS consumer, 'q' || s_nationkey AS contract, CASE s_suppkey % 3 WHEN 0 THEN '1-URGENT' WHEN 1 THEN '5-LOW' END AS job, CASE WHEN s_suppkey % 5 > 0 THEN 'r' || s_nationkey % 2 END AS realm, s_suppkey % 6 > 0 AS eligible FROM supplier),
+j AS (SELECT p.*, c.consumer, c.realm AS c_realm FROM p LEFT JOIN c ON p.eligible AND c.eligible AND c.contract = p.contract AND (c.job IS NULL OR c.job = p.job)),
+g AS (SELECT producer, realm, eligible, single, count(consumer) AS candidates, count(DISTINCT c_realm) AS realms, count(consumer) FILTER (NOT coalesce(c_realm = realm, false)) AS elsewhere FROM j GROUP BY ALL),
+h AS (SELECT *, CASE WHEN NOT eligible THEN 'unsupported_identity' WHEN candidates = 0 THEN 'target_mismatch' WHEN realms > 1 OR (realms = 1 AND realm IS NOT NULL AND elsewhere = candidates) THEN 'realm_mismatch' WHEN candidates > 1 AND single THEN 'multiple_consumers' END AS reason FROM g)
+SELECT producer, CAST(NULL AS BIGINT) AS consumer, CASE WHEN reason = 'multiple_consumers' THEN 'ambiguous' WHEN reason IS NOT NULL THEN 'unmatched' WHEN elsewhere = 0 THEN 'declared_realm_candidate' ELSE 'target_only_candidate' END AS state, reason, candidates FROM h
+UNION ALL SELECT NULL, consumer, 'unmatched', CASE WHEN eligible THEN 'consumer_only' ELSE 'unsupported_identity' END, 0 FROM c WHERE consumer NOT IN (SELECT consumer FROM j WHERE consumer IS NOT NULL)"""
+
+
+@bound(f"WITH {_QUEUED}")
+def system_stitch_queues(spark, sf):
+    """Queues: a consumer without a job takes every job of its queue."""
+    k, s = c("o_orderkey"), c("s_suppkey")
+    text = lambda x: x.cast("string")
+    p = table(spark, sf, "orders").select(k.alias("producer"), F.lit("job_queue").alias("kind"), F.concat(F.lit("q"), text(c("o_custkey") % 12)).alias("contract"), F.when(k % 9 > 0, c("o_orderpriority")).alias("job"), F.when(k % 4 > 0, F.concat(F.lit("r"), text(c("o_custkey") % 2))).alias("realm"), ((c("o_orderstatus") != "P") & (k % 9 > 0)).alias("eligible"), (k % 2 == 0).alias("single"))
+    q = table(spark, sf, "supplier").select(s.cast("long").alias("consumer"), F.lit("job_queue").alias("kind"), F.concat(F.lit("q"), text(c("s_nationkey"))).alias("contract"), F.when(s % 3 == 0, "1-URGENT").when(s % 3 == 1, "5-LOW").alias("job"), F.when(s % 5 > 0, F.concat(F.lit("r"), text(c("s_nationkey") % 2))).alias("realm"), (s % 6 > 0).alias("eligible"))
+    return stitch.stitched(p, q)
+
+
+_NODES, _EDGES_MOST, _EVIDENCE = 6, 4, 9
+_SCENE = f"""WITH RECURSIVE e AS (
+  SELECT 'c' || o_custkey AS root, 'po' || o_orderkey AS id, 'c' || o_custkey AS s, 'o' || o_orderkey AS o, CASE o_orderstatus WHEN 'F' THEN 0 ELSE 1 END AS rank, ['e' || o_orderkey % 50, 'e' || o_orderkey, 'f' || o_custkey] AS ev FROM orders
+  UNION ALL SELECT DISTINCT 'c' || o_custkey, 'pl' || l_orderkey || '.' || l_partkey, 'o' || l_orderkey, 'p' || l_partkey, 2, ['e' || l_orderkey % 50, 'l' || l_partkey] FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+n AS (SELECT 'c' || c_custkey AS root, 'c' || c_custkey AS node, ['f' || c_custkey, 'g' || c_nationkey] AS ev FROM customer UNION ALL SELECT root, o, CASE WHEN o LIKE 'o%' THEN ['n' || o, 'g1'] ELSE CAST([] AS VARCHAR[]) END FROM (SELECT DISTINCT root, o FROM e) WHERE o NOT LIKE 'p%3'),
+q AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY rank, id) AS nth FROM e),
+w(root, nth, nodes, taken) AS (
+  SELECT 'c' || c_custkey, 0, ['c' || c_custkey], CAST([] AS VARCHAR[]) FROM customer
+  UNION ALL SELECT root, nth, CASE WHEN fits THEN list_distinct(list_concat(nodes, [s, o])) ELSE nodes END, CASE WHEN fits THEN list_append(taken, id) ELSE taken END
+  FROM (SELECT w.root, w.nodes, w.taken, q.nth, q.s, q.o, q.id, len(list_distinct(list_concat(w.nodes, [q.s, q.o]))) <= {_NODES} AND len(taken) < {_EDGES_MOST} AS fits FROM w JOIN q ON q.root = w.root AND q.nth = w.nth + 1)),
+final AS (SELECT root, max_by(nodes, nth) AS nodes, max_by(taken, nth) AS taken FROM w GROUP BY root),
+own AS (SELECT e.* FROM e JOIN final f ON f.root = e.root AND list_contains(f.taken, e.id)), held AS (SELECT n.* FROM n JOIN final f ON f.root = n.root AND list_contains(f.nodes, n.node)),
+cited AS (SELECT root, id, min(nth) > 1 AS optional FROM (SELECT root, unnest(ev) AS id, unnest(range(1, len(ev) + 1)) AS nth FROM (SELECT root, ev FROM own UNION ALL SELECT root, ev FROM held) UNION ALL SELECT 'c' || c_custkey, 'x' || c_nationkey, 2 FROM customer) GROUP BY root, id),
+placed AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY optional, id) AS position FROM cited), kept AS (SELECT * FROM placed WHERE position <= {_EVIDENCE})"""
+
+
+def _scene(spark, sf):
+    name = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    o, people = table(spark, sf, "orders"), table(spark, sf, "customer")
+    k, who = c("o_orderkey"), c("o_custkey")
+    e = o.select(name("c", who).alias("root"), name("po", k).alias("edge_id"), name("c", who).alias("subject"), name("o", k).alias("object"), F.when(c("o_orderstatus") == "F", 0).otherwise(1).alias("rank"), F.array(name("e", k % 50), name("e", k), name("f", who)).alias("evidence"))
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey").distinct().join(o, c("l_orderkey") == k)
+    e = e.unionByName(lines.select(name("c", who).alias("root"), name("pl", c("l_orderkey"), ".", c("l_partkey")).alias("edge_id"), name("o", c("l_orderkey")).alias("subject"), name("p", c("l_partkey")).alias("object"), F.lit(2).alias("rank"), F.array(name("e", c("l_orderkey") % 50), name("l", c("l_partkey"))).alias("evidence")))
+    own = c("c_custkey")
+    n = people.select(name("c", own).alias("root"), name("c", own).alias("node"), F.array(name("f", own), name("g", c("c_nationkey"))).alias("evidence"))
+    met = e.select("root", c("object").alias("node")).distinct().where("node not like 'p%3'")
+    n = n.unionByName(met.select("root", "node", F.when(c("node").startswith("o"), F.array(name("n", c("node")), F.lit("g1"))).otherwise(F.array().cast("array<string>")).alias("evidence")))
+    extra = people.select(name("c", own).alias("root"), name("x", c("c_nationkey")).alias("id"))
+    return scenes.scene(n, e, _NODES, _EDGES_MOST, _EVIDENCE, extra)
+
+
+@bound(f"{_SCENE}, k AS (SELECT root, list(id) AS ids FROM kept GROUP BY root) SELECT a.root, a.node AS item, coalesce(array_to_string(list_sort(list_distinct(list_intersect(a.ev, ids))), ','), '') AS evidence FROM held a JOIN k ON k.root = a.root UNION ALL SELECT a.root, a.id, coalesce(array_to_string(list_sort(list_distinct(list_intersect(a.ev, ids))), ','), '') FROM own a JOIN k ON k.root = a.root")
+def scene_elements(spark, sf):
+    """The scene's nodes and edges, each with the evidence that it keeps."""
+    e, n, _, _ = _scene(spark, sf)
+    return n.select("root", c("node").alias("item"), F.array_join("evidence", ",").alias("evidence")).unionByName(e.select("root", c("edge_id").alias("item"), F.array_join("evidence", ",").alias("evidence")))
+
+
+@bound(f"{_SCENE} SELECT root, id, position FROM kept")
+def scene_evidence(spark, sf):
+    return _scene(spark, sf)[2]
+
+
+@bound(f"""{_SCENE} SELECT f.root, (SELECT count(*) FROM n WHERE n.root = f.root) - (SELECT count(*) FROM held h WHERE h.root = f.root) AS nodes, (SELECT count(*) FROM e WHERE e.root = f.root) - (SELECT count(*) FROM own o WHERE o.root = f.root) AS edges,
+(SELECT count(*) FROM cited x WHERE x.root = f.root) - (SELECT count(*) FROM kept k WHERE k.root = f.root) AS evidence FROM final f""")
+def scene_omitted(spark, sf):
+    return _scene(spark, sf)[3]
