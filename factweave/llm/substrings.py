@@ -32,7 +32,7 @@ from . import common
 
 LENGTH, GRAM = 200, 32
 #: Texts are hashed in pieces of about so many bytes, and indexed in groups of about so many.
-PIECE, GROUP_BYTES = 1 << 21, 1 << 21
+PIECE, GROUP_BYTES = 1 << 21, 1 << 19
 #: An anchor of more contexts isn't indexed in one task: its windows are counted by hash.
 HOT_CONTEXTS = 8192
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -140,21 +140,20 @@ def suffix_order(key: np.ndarray, depth: int) -> np.ndarray:
     ``depth`` symbols may stand in any order. A suffix's rank is the place of the first that it can't be told
     from yet; only those that aren't alone are sorted again."""
     n, width = len(key), _PACKED
-    order = np.argsort(key)
-    tied, keys = np.arange(n), key[order]  # places of suffixes to be told apart, and what they are sorted by
-    rank = np.empty(n, np.int64)
+    order = np.argsort(key).astype(np.int32)
+    tied, keys = np.arange(n, dtype=np.int32), key[order]  # places of suffixes to be told apart, and what they are sorted by
+    rank = np.full(n + 1, -1, np.int32)  # the last: of what lies beyond the end
     while True:
         new = np.concatenate(([True], keys[1:] != keys[:-1]))
         first = np.flatnonzero(new)
-        rank[order[tied]] = tied[first][np.cumsum(new) - 1]
-        alone = np.diff(np.append(first, len(tied))) == 1
-        tied = tied[~alone[np.cumsum(new) - 1]]
+        sizes = np.diff(np.append(first, len(tied)))
+        own = order[tied]
+        rank[own] = np.repeat(tied[first], sizes)
+        left = np.repeat(sizes > 1, sizes)
+        tied, own = tied[left], own[left]
         if not len(tied) or width > depth:
             return order
-        own = order[tied]
-        after = own + width
-        second = np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
-        keys = rank[own] * (n + 1) + second
+        keys = rank[own].astype(np.int64) << 32 | (rank[np.minimum(own + width, n)] + 1)
         by = np.argsort(keys)
         order[tied], keys = own[by], keys[by]
         width *= 2
@@ -230,30 +229,30 @@ def index_matches(data: list[bytes], length: int = LENGTH, several: list[bool] |
     return [np.flatnonzero(statistics[s : max(s, s + n - length + 1)] >= length) for s, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
 
 
-_MARKS = "k1 long, k2 long, at int, n int"
+_FOUND = "anchor long, context long, inside int, m int"
+_FOUND_KINDS = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
 
 
 def _index_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows group, anchor, context, single, k1, k2, at, bytes sorted by group, anchor: matches of each context, as
-    anchor, context, single, k1, k2, at (of a single context in its text, of others in the context), n."""
+    """Rows anchor, context, several, bytes sorted by anchor: what of each context matches elsewhere, as anchor, context, inside
+    (where it begins in the context), m (its length)."""
 
     def flush(rows):
-        matches = index_matches([r[7] for r in rows], several=[not r[3] for r in rows])
-        out = [[] for _ in range(7)]
-        for (_, anchor, context, single, k1, k2, at, _), m in zip(rows, matches, strict=True):
+        matches = index_matches([r[3] for r in rows], several=[r[2] for r in rows])
+        out = [[] for _ in _FOUND_KINDS]
+        for (anchor, context, _, _), m in zip(rows, matches, strict=True):
             if not len(m):
                 continue
             cut = np.flatnonzero(np.concatenate(([True], np.diff(m) > 1)))
             for a, z in zip(m[cut].tolist(), m[np.append(cut[1:], len(m)) - 1].tolist(), strict=True):
-                for column, x in zip(out, (anchor, context, single, k1, k2, at + a if single else a, z - a + LENGTH), strict=True):
+                for column, x in zip(out, (anchor, context, a, z - a + LENGTH), strict=True):
                     column.append(x)
-        kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["anchor", "context", "single", "k1", "k2", "at", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, _FOUND_KINDS, strict=True)], ["anchor", "context", "inside", "m"])
 
     held, size = [], 0
-    for _, rows in common.groups_in_order(batches, ["group", "anchor"]):
-        rows = list({r[2]: r for r in rows}.values())  # repeated rows of a table bring a context twice
-        own = sum(len(r[7]) for r in rows)
+    for _, rows in common.groups_in_order(batches, ["anchor"]):
+        rows = list({r[1]: r for r in rows}.values())  # repeated rows of a table bring a context twice
+        own = sum(len(r[3]) for r in rows)
         if held and size + own > GROUP_BYTES:
             yield flush(held)
             held, size = [], 0
@@ -264,12 +263,12 @@ def _index_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _window_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows k1, k2, at, single, bytes to one row for each window of the bytes, with its digest."""
+    """Rows anchor, context, bytes to one row for each window of the bytes, with its digest."""
     for b in batches:
-        for k1, k2, at, single, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for anchor, context, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
             m = len(raw) - LENGTH + 1
             digests = [hashlib.blake2b(raw[i : i + LENGTH], digest_size=16).digest() for i in range(m)]
-            yield pa.RecordBatch.from_arrays([pa.array([k1] * m, pa.int64()), pa.array([k2] * m, pa.int64()), pa.array(range(at, at + m), pa.int32()), pa.array([single] * m), pa.array(digests, pa.binary())], ["k1", "k2", "at", "single", "window"])
+            yield pa.RecordBatch.from_arrays([pa.array([anchor] * m, pa.int64()), pa.array([context] * m, pa.int64()), pa.array(range(m), pa.int32()), pa.array(digests, pa.binary())], ["anchor", "context", "inside", "window"])
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -281,37 +280,44 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 def marks(docs: DataFrame) -> DataFrame:
     """(k1, k2, at, n): byte stretches to remove, of the keyed documents; they may overlap."""
     rows = docs.where(F.octet_length("text") >= LENGTH).select("k1", "k2", "text").mapInArrow(_context_rows, "k1 long, k2 long, anchor long, context long, at int, n int")
-    same = rows.groupBy("anchor", "context").agg(F.count("*").alias("times"))
-    met = same.groupBy("anchor").agg(F.count("*").alias("contexts"), F.sum("times").alias("times")).where("times > 1").select("anchor", (F.col("contexts") > 1).alias("mixed"), (F.col("contexts") > HOT_CONTEXTS).alias("hot"))
-    kinds = common.checkpointed(same.join(met, "anchor").select("anchor", "context", (F.col("times") > 1).alias("repeated"), "mixed", "hot").where("repeated or mixed"))
-    found = common.checkpointed(rows.join(kinds, ["anchor", "context"]))
-    single = found.where("mixed and not repeated").select("anchor", "context", F.lit(True).alias("single"), "hot", "k1", "k2", "at", "n")
-    sample = found.where("repeated").groupBy("anchor", "context", "hot").agg(F.min(F.struct("k1", "k2", "at", "n")).alias("p")).select("anchor", "context", F.lit(False).alias("single"), "hot", "p.*")
-    wanted = single.unionByName(sample).groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "context", "single", "hot", "at", "n")).alias("wanted"))
+    # one occurrence stands for a context; the three are of one row
+    place = F.shiftleft(F.col("at").cast("long"), 32) + F.col("n")
+    classes = rows.groupBy("anchor", "context").agg(F.count("*").alias("times"), F.first("k1").alias("k1"), F.first("k2").alias("k2"), F.first(place).alias("place"))
+    met = classes.groupBy("anchor").agg(F.count("*").alias("contexts"), F.sum("times").alias("all_times")).where("all_times > 1").select("anchor", (F.col("contexts") > HOT_CONTEXTS).alias("hot"))
+    kinds = common.checkpointed(classes.join(met, "anchor").select("anchor", "context", (F.col("times") > 1).alias("several"), "hot", "k1", "k2", F.shiftright("place", 32).cast("int").alias("at"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("n")))
 
     def cut(batches):
         for b in batches:
-            out = [[] for _ in range(8)]
-            for k1, k2, text, own in zip(b["k1"].to_pylist(), b["k2"].to_pylist(), b["text"].to_pylist(), b["wanted"].to_pylist(), strict=True):
+            out = [[] for _ in range(4)]
+            for text, own in zip(b["text"].to_pylist(), b["wanted"].to_pylist(), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
                 for w in own:
-                    for column, x in zip(out, (w["anchor"], w["context"], w["single"], w["hot"], k1, k2, w["at"], raw[w["at"] : w["at"] + w["n"]]), strict=True):
+                    for column, x in zip(out, (w["anchor"], w["context"], w["several"], raw[w["at"] : w["at"] + w["n"]]), strict=True):
                         column.append(x)
-            kinds_ = (pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds_, strict=True)], ["anchor", "context", "single", "hot", "k1", "k2", "at", "bytes"])
-
-    brought = docs.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).mapInArrow(cut, "anchor long, context long, single boolean, hot boolean, k1 long, k2 long, at int, bytes binary")
-    grouped = brought.where("not hot").select(F.lit(0).alias("group"), *[c for c in brought.columns if c != "hot"]).repartition("anchor").sortWithinPartitions("group", "anchor", "context")
-    indexed = common.checkpointed(grouped.mapInArrow(_index_batches, f"anchor long, context long, single boolean, {_MARKS}"))
-    partial = indexed.where("single").select("k1", "k2", "at", "n")
-    # what the index found in a context that stands for several holds in all of them
-    own, every = indexed.where("not single").select("anchor", "context", F.col("at").alias("inside"), F.col("n").alias("m")), found.where("repeated and not hot")
-    whole = every.join(own, ["anchor", "context"]).select("k1", "k2", (F.col("at") + F.col("inside")).cast("int").alias("at"), F.col("m").alias("n"))
-    whole = whole.unionByName(found.where("repeated and hot").select("k1", "k2", "at", "n"))
-    windows = brought.where("hot").dropDuplicates(["anchor", "context"]).select("k1", "k2", "at", "single", "bytes").mapInArrow(_window_batches, "k1 long, k2 long, at int, single boolean, window binary")
+            kinds_ = (pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds_, strict=True)], ["anchor", "context", "several", "bytes"])
+
+    def brought(some: DataFrame) -> DataFrame:
+        wanted = some.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "context", "several", "at", "n")).alias("wanted"))
+        return docs.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).select("text", "wanted").mapInArrow(cut, "anchor long, context long, several boolean, bytes binary")
+
+    grouped = brought(kinds.where("not hot")).repartition("anchor").sortWithinPartitions("anchor", "context")
+    found = grouped.mapInArrow(_index_batches, _FOUND)
+    if not kinds.where("hot").isEmpty():
+        found = found.unionByName(_counted(brought(kinds.where("hot"))))
+    # what was found in a context holds wherever it stands
+    found = common.checkpointed(found)
+    return rows.join(found, ["anchor", "context"]).select("k1", "k2", (F.col("at") + F.col("inside")).cast("int").alias("at"), F.col("m").alias("n"))
+
+
+def _counted(contexts: DataFrame) -> DataFrame:
+    """What of the contexts of hot anchors matches elsewhere: repeated contexts whole, of the others windows that occur twice."""
+    hot = contexts.dropDuplicates(["anchor", "context"])
+    windows = hot.select("anchor", "context", "bytes").mapInArrow(_window_batches, "anchor long, context long, inside int, window binary")
     often = windows.groupBy("window").agg(F.count("*").alias("times")).where("times > 1")
-    counted = windows.where("single").join(often, "window", "left_semi").select("k1", "k2", "at", F.lit(LENGTH).alias("n"))
-    return whole.unionByName(partial).unionByName(counted)
+    counted = windows.join(often, "window", "left_semi").select("anchor", "context", "inside", F.lit(LENGTH).alias("m"))
+    whole = hot.where("several").select("anchor", "context", F.lit(0).alias("inside"), F.octet_length("bytes").alias("m"))
+    return counted.unionByName(whole)
 
 
 def merge_stretches(found: DataFrame) -> DataFrame:
