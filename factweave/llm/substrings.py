@@ -193,7 +193,7 @@ class RunLengthIndex:
         self.first, self.last = order[self.starts], order[ends]
         self.up, self.down = np.zeros(len(ends), np.int64), np.zeros(len(ends), np.int64)
         self.up[1:] = _lengths(key, self.first[1:], order[self.starts[1:] - 1], most)
-        self.down[:-1] = _lengths(key, self.last[:-1], order[ends[:-1] + 1], most)
+        self.down[:-1] = self.up[1:]  # a run's last and the next run's first are each other's neighbours
 
     def matching_statistics(self) -> np.ndarray:
         """Of each text position the length (up to ``most``) of the longest match that starts there
