@@ -7,7 +7,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from factweave.plans import bindings, facts, flows, impacts, traces  # noqa: F401
+from factweave.plans import bindings, documents, facts, flows, impacts, traces  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
