@@ -57,7 +57,7 @@ def matched(ops: DataFrame, endpoints: DataFrame, prefix: str = "/") -> tuple[Da
 def extensions(ops: DataFrame, facts: DataFrame, version: str) -> DataFrame:
     """The matched operations with ``extension``, JSON text: of a resolved one its endpoint with its facts (doc, endpoint, fields:
     JSON text of an object), of the others their candidates."""
-    o = ops.withColumn("endpoint", F.when(F.col("resolution") == "resolved", F.element_at("candidates", 1))).join(facts, ["doc", "endpoint"], "left")
+    o = ops.withColumn("endpoint", F.when(F.col("resolution") == "resolved", F.get("candidates", F.lit(0)))).join(facts, ["doc", "endpoint"], "left")
     head = F.concat(F.lit(f'{{"schemaVersion":"{version}","resolution":"'), F.col("resolution"), F.lit('"'))
     own = F.concat(F.lit(',"endpointId":'), F.to_json(F.col("endpoint").cast("variant")), F.when(F.length("fields") > 2, F.concat(F.lit(","), F.substring("fields", 2, 1 << 30))).otherwise("}"))
     rest = F.concat(F.lit(',"candidateEndpointIds":'), F.to_json("candidates"), F.lit("}"))

@@ -67,7 +67,7 @@ def graph_edges(spark, sf):
     return _graph(spark, sf)[1].withColumn("evidence", F.array_join("evidence", ","))
 
 
-_SHOWN = """n AS (SELECT 'customer:' || c_custkey AS node, 'nation:' || c_nationkey AS parent, c_custkey % 3 AS rank FROM customer UNION ALL SELECT 'nation:' || n_nationkey, NULL, 0 FROM nation WHERE n_nationkey % 4 <> 0),
+_SHOWN = """n AS (SELECT 'customer:' || c_custkey AS node, 'nation:' || c_nationkey AS parent, c_custkey % 3 AS rank FROM customer UNION ALL SELECT 'nation:' || n_nationkey, NULL, -1 FROM nation WHERE n_nationkey % 4 <> 0),
 top AS (SELECT * FROM n ORDER BY rank, node LIMIT 240), s AS (SELECT * FROM top WHERE parent IS NULL OR parent IN (SELECT node FROM top)),
 e AS (SELECT 'e' || a.c_custkey AS edge, 'customer:' || a.c_custkey AS source, 'customer:' || a.c_custkey * 7 % 100 AS target FROM customer a UNION ALL SELECT 'f' || c_custkey, 'nation:' || c_nationkey, 'customer:' || c_custkey FROM customer),
 k AS (SELECT * FROM e WHERE source IN (SELECT node FROM s) AND target IN (SELECT node FROM s) ORDER BY edge LIMIT 60)"""
@@ -78,7 +78,7 @@ def _shown(spark, sf):
     k, n = c("c_custkey"), c("c_nationkey")
     people = table(spark, sf, "customer")
     nodes = people.select(s("customer:", k).alias("node"), s("nation:", n).alias("parent"), (k % 3).cast("int").alias("rank"))
-    nodes = nodes.unionByName(table(spark, sf, "nation").where("n_nationkey % 4 <> 0").select(s("nation:", c("n_nationkey")).alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("rank")))
+    nodes = nodes.unionByName(table(spark, sf, "nation").where("n_nationkey % 4 <> 0").select(s("nation:", c("n_nationkey")).alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(-1).alias("rank")))
     links = people.select(s("e", k).alias("edge"), s("customer:", k).alias("source"), s("customer:", k * 7 % 100).alias("target")).unionByName(people.select(s("f", k).alias("edge"), s("nation:", n).alias("source"), s("customer:", k).alias("target")))
     return document.displayed(nodes, links, 240, 60)
 
@@ -150,7 +150,7 @@ ELSE '{{"candidateEndpointIds":[' || coalesce('"' || array_to_string(candidates,
 def openapi_enriched(spark, sf):
     """The enriched documents, read again: each operation's own fields and its extension, which replaces the old one."""
     docs, ops, _ = _openapi(spark, sf)
-    facts = ops.where("resolution = 'resolved'").select("doc", F.element_at("candidates", 1).alias("endpoint"), F.lit('{"dbReads":["t"]}').alias("fields")).distinct()
+    facts = ops.where("resolution = 'resolved'").select("doc", F.get("candidates", F.lit(0)).alias("endpoint"), F.lit('{"dbReads":["t"]}').alias("fields")).distinct()
     out = openapi.written_back(docs, openapi.extensions(ops, facts, "1"))
     items = out.select("doc", F.explode(F.from_json("text", "paths map<string,variant>")["paths"]).alias("path", "item"))
     each = items.select("doc", "path", F.expr("try_variant_get(item, '$.summary', 'string')").alias("summary"), F.explode(F.from_json(F.to_json("item"), "map<string,variant>")).alias("key", "op")).where(F.lower("key").isin("get", "post"))
