@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factweave.operators import document, openapi
+from factweave.operators import document, integrity, openapi
 from factweave.plans.bindings import bound, table
+from factweave.sources import catalogue
 
 c = F.col
 #: Last characters of names: by code point the fourth comes last, by code unit the third.
@@ -156,3 +157,53 @@ def openapi_enriched(spark, sf):
     each = items.select("doc", "path", F.expr("try_variant_get(item, '$.summary', 'string')").alias("summary"), F.explode(F.from_json(F.to_json("item"), "map<string,variant>")).alias("key", "op")).where(F.lower("key").isin("get", "post"))
     part = lambda p, kind: F.expr(f"try_variant_get(op, '$.{p}', '{kind}')")
     return each.select("doc", "path", F.lower("key").alias("verb"), part("operationId", "string").alias("operation"), part("n", "bigint").alias("n"), F.to_json(F.expr("try_variant_get(op, '$[\"x-api-intel\"]', 'variant')")).alias("extension"), "summary")
+
+
+# --- the integrity of snapshots: two analyses of methods (customers), classes (suppliers) and assertions (orders) --------
+
+_SNAPSHOT = """
+src AS (SELECT 'a' || s_suppkey % 2 AS a, 'source:' || s_suppkey AS id, 'h' || s_suppkey % 7 AS hash FROM supplier),
+cls AS (SELECT 'a' || s_suppkey % 2 AS a, 'class:' || s_suppkey AS id, 'source:' || CASE WHEN s_suppkey % 23 = 0 THEN s_suppkey + 100000000 WHEN s_suppkey % 19 = 0 THEN s_suppkey + 1 ELSE s_suppkey END AS src, s_suppkey % 4 <> 1 AS guard, 'evidence:' || s_suppkey AS ev FROM supplier),
+grd AS (SELECT 'a' || s_suppkey % 2 AS a, 'guard:' || s_suppkey AS id, 'class:' || s_suppkey AS cls FROM supplier WHERE s_suppkey % 3 = 0),
+evi AS (SELECT 'a' || s_suppkey % 2 AS a, 'evidence:' || s_suppkey AS id, 'source:' || s_suppkey AS src, 'h' || CASE WHEN s_suppkey % 13 = 0 THEN 99 ELSE s_suppkey % 7 END AS hash, CASE WHEN s_suppkey % 17 = 0 THEN 4 ELSE 5 END AS ends, CASE WHEN s_suppkey % 9 = 0 THEN 'call_site' ELSE 'declaration' END AS role FROM supplier),
+one AS (SELECT 'a' || c_custkey % 2 AS a, CASE WHEN c_custkey % 41 = 0 THEN 'methd:' ELSE 'method:' END || c_custkey AS id, CASE WHEN c_custkey % 37 = 0 THEN 'evidence:' ELSE 'class:' END || (c_custkey % 2 + 2 * (c_custkey % 40)) AS cls, 'evidence:' || (c_custkey % 2 + 2 * (c_custkey % 30)) AS ev, 's' AS sig, c_custkey AS k FROM customer),
+met AS (SELECT a, id, cls, ev, sig FROM one UNION ALL SELECT a, id, cls, ev, sig FROM one WHERE k % 53 = 0 UNION ALL SELECT a, id, cls, ev, 't' FROM one WHERE k % 59 = 0),
+ass AS (SELECT 'a' || o_orderkey % 2 AS a, 'assertion:' || o_orderkey AS id, 'method:' || o_custkey AS s, CASE o_orderkey % 3 WHEN 0 THEN 'METHOD_CALLS_METHOD' WHEN 1 THEN 'ENDPOINT_USES_GUARD' ELSE 'BAD' END AS p, CASE WHEN o_orderkey % 31 > 0 THEN 'method:' || (o_custkey + 2) END AS o,
+  CASE o_orderstatus WHEN 'F' THEN 'resolved' WHEN 'O' THEN 'ambiguous' ELSE 'unresolved' END AS status, CASE WHEN o_orderkey % 29 = 0 THEN [] WHEN o_orderkey % 43 = 0 THEN ['evidence:' || o_orderkey % 40, 'evidence:' || o_orderkey % 40] ELSE ['evidence:' || o_orderkey % 40] END AS ev FROM orders),
+ids AS (SELECT a, id, 'source' AS kind, hash AS content FROM src UNION ALL SELECT a, id, 'class', src FROM cls UNION ALL SELECT a, id, 'guard', cls FROM grd UNION ALL SELECT a, id, 'evidence', hash FROM evi UNION ALL SELECT a, id, 'method', sig FROM met UNION ALL SELECT a, id, 'assertion', id FROM ass),
+refs AS (SELECT a, id, 'sourceFileId' AS path, src AS ref, 'source' AS kind FROM cls UNION ALL SELECT a, id, 'declarationEvidenceId', ev, 'evidence' FROM cls UNION ALL SELECT a, id, 'classId', cls, 'class' FROM grd UNION ALL SELECT a, id, 'fileId', src, 'source' FROM evi
+  UNION ALL SELECT a, id, 'classId', cls, 'class' FROM met UNION ALL SELECT a, id, 'declarationEvidenceId', ev, 'evidence' FROM met UNION ALL SELECT a, id, 'evidenceIds', unnest(ev), 'evidence' FROM ass
+  UNION ALL SELECT a, id, 'subjectId', s, CASE p WHEN 'METHOD_CALLS_METHOD' THEN 'method' WHEN 'ENDPOINT_USES_GUARD' THEN 'endpoint' END FROM ass UNION ALL SELECT a, id, 'objectId', o, CASE p WHEN 'METHOD_CALLS_METHOD' THEN 'method' WHEN 'ENDPOINT_USES_GUARD' THEN 'guard' END FROM ass WHERE o IS NOT NULL)"""
+
+
+@bound(f"""WITH {_SNAPSHOT}, i AS (
+SELECT a, 'RECORD_ID_KIND_MISMATCH' AS code, id, NULL AS path FROM ids WHERE NOT starts_with(id, kind || ':')
+UNION ALL SELECT a, CASE WHEN count(DISTINCT (kind, content)) = 1 THEN 'DUPLICATE_RECORD_ID' ELSE 'STABLE_ID_COLLISION' END, id, NULL FROM ids GROUP BY a, id HAVING count(*) > 1
+UNION ALL SELECT r.a, 'MISSING_REFERENCE', r.id, path FROM refs r WHERE NOT EXISTS (SELECT 1 FROM ids WHERE ids.a = r.a AND ids.id = ref)
+UNION ALL SELECT r.a, 'REFERENCE_KIND_MISMATCH', r.id, path FROM refs r JOIN ids ON ids.a = r.a AND ids.id = ref AND ids.kind <> r.kind
+UNION ALL SELECT a, 'DUPLICATE_REFERENCE', id, 'evidenceIds' FROM ass WHERE len(ev) > 1
+UNION ALL SELECT g.a, 'CLASS_ROLE_MISMATCH', g.id, 'classId' FROM grd g JOIN cls ON cls.a = g.a AND cls.id = g.cls AND NOT guard
+UNION ALL SELECT r.a, 'EVIDENCE_ROLE_MISMATCH', r.id, path FROM refs r JOIN evi ON evi.a = r.a AND evi.id = ref AND role <> 'declaration' WHERE path = 'declarationEvidenceId'
+UNION ALL SELECT a, 'MISSING_ASSERTION_TARGET', id, 'objectId' FROM ass WHERE o IS NULL AND status <> 'unresolved' UNION ALL SELECT a, 'RESOLVED_ASSERTION_WITHOUT_EVIDENCE', id, 'evidenceIds' FROM ass WHERE status = 'resolved' AND len(ev) = 0
+UNION ALL SELECT evi.a, 'EVIDENCE_HASH_MISMATCH', evi.id, 'contentHash' FROM evi JOIN src ON src.a = evi.a AND src.id = evi.src AND src.hash <> evi.hash UNION ALL SELECT a, 'INVALID_EVIDENCE_RANGE', id, NULL FROM evi WHERE ends < 5
+UNION ALL SELECT a, 'SCHEMA_INVALID', id, 'predicate' FROM ass WHERE p = 'BAD') SELECT DISTINCT a AS analysis, code, id, path FROM i""")
+def snapshot_integrity(spark, sf):
+    """Thirteen codes of issues, in two analyses whose records don't see each other."""
+    t = lambda n: table(spark, sf, n)
+    name = lambda kind, x: F.concat(F.lit(kind), x.cast("string"))
+    s, k, o = c("s_suppkey"), c("c_custkey"), c("o_orderkey")
+    of = lambda n, df, **columns: catalogue.family(df.select(*[v.alias(x) for x, v in columns.items()]), n)
+    sup, a = t("supplier"), name("a", s % 2)
+    one = t("customer").select(name("a", k % 2).alias("analysis"), F.concat(F.when(k % 41 == 0, "methd:").otherwise("method:"), k.cast("string")).alias("id"), F.concat(F.when(k % 37 == 0, "evidence:").otherwise("class:"), (k % 2 + 2 * (k % 40)).cast("string")).alias("classId"), name("evidence:", k % 2 + 2 * (k % 30)).alias("declarationEvidenceId"), F.lit("s").alias("signature"), k.alias("k"))
+    methods = one.unionByName(one.where("k % 53 = 0")).unionByName(one.where("k % 59 = 0").withColumn("signature", F.lit("t")))
+    e = name("evidence:", o % 40)
+    status, third = c("o_orderstatus"), o % 3
+    families = {
+        "sourceFiles": of("sourceFiles", sup, analysis=a, id=name("source:", s), contentHash=name("h", s % 7)),
+        "classes": of("classes", sup, analysis=a, id=name("class:", s), sourceFileId=name("source:", F.when(s % 23 == 0, s + 100000000).when(s % 19 == 0, s + 1).otherwise(s)), roles=F.when(s % 4 == 0, F.array(F.lit("guard"))).when(s % 4 == 1, F.array(F.lit("entity"))).otherwise(F.array(F.lit("guard"), F.lit("entity"))), declarationEvidenceId=name("evidence:", s)),
+        "guards": of("guards", sup.where(s % 3 == 0), analysis=a, id=name("guard:", s), classId=name("class:", s)),
+        "evidence": of("evidence", sup, analysis=a, id=name("evidence:", s), fileId=name("source:", s), contentHash=name("h", F.when(s % 13 == 0, 99).otherwise(s % 7)), startLine=F.lit(5), startColumn=F.lit(1), endLine=F.when(s % 17 == 0, 4).otherwise(5), endColumn=F.lit(2), role=F.when(s % 9 == 0, "call_site").otherwise("declaration")),
+        "methods": catalogue.family(methods.drop("k"), "methods"),
+        "assertions": of("assertions", t("orders"), analysis=name("a", o % 2), id=name("assertion:", o), subjectId=name("method:", c("o_custkey")), predicate=F.when(third == 0, "METHOD_CALLS_METHOD").when(third == 1, "ENDPOINT_USES_GUARD").otherwise("BAD"), objectId=F.when(o % 31 > 0, name("method:", c("o_custkey") + 2)), status=F.when(status == "F", "resolved").when(status == "O", "ambiguous").otherwise("unresolved"), evidenceIds=F.when(o % 29 == 0, F.array().cast("array<string>")).when(o % 43 == 0, F.array(e, e)).otherwise(F.array(e))),
+    }
+    return integrity.issues(families)
