@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .iterate import cut
@@ -105,54 +105,27 @@ def completeness(modules: DataFrame, imports: DataFrame) -> DataFrame:
 
 
 def trace(edges: DataFrame, dispatch: DataFrame, roots: DataFrame, max_depth: int = 3, max_hops: int = 2, fan_out: int = 50, max_states: int = 1000) -> tuple[DataFrame, DataFrame]:
-    """The causal trace: (states, truncations).
+    """The causal trace over plain edges: (states, truncations); tracing.py has the whole one.
 
     A state is (root, node, depth, hop, cause). Calls (``edges``) go one deeper and keep the cause;
     dispatches (``dispatch``: subject, object, kind) go one hop on, begin again at depth 0 and turn
     the cause into ``distributed`` (kind queue or message, and for good) or ``asynchronous`` (event).
     A node on the way to a state is not entered again from it. The first arrival at a (node, depth,
-    hop, cause) holds: states come in generations, ordered by their parents' order, the edge's
-    category and names. ``max_states`` counts a root's states; each cap reports what it cut.
-    """
-    from pyspark.sql import Window
-
-    calls = traversable(edges).select("subject", "object", F.lit("call").alias("kind")).distinct()
-    sends = dispatch.select("subject", "object", "kind", F.row_number().over(Window.partitionBy("subject").orderBy("object", "kind")).alias("nth"))
-    steps = calls.withColumn("nth", F.lit(0)).unionByName(sends)
-    first = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"), F.lit(0).alias("hop"), F.lit("synchronous").alias("cause"), F.array("root").alias("path"), F.lit(1).cast("long").alias("ord"))
-    generation = cut(first)
-    seen = generation
-    key = ["root", "node", "depth", "hop", "cause"]
-    cuts = None
-    while not generation.isEmpty():
-        onward = generation.alias("g").join(steps.alias("s"), F.col("g.node") == F.col("s.subject"))
-        call = F.col("kind") == "call"
-        cause = F.when(call, F.col("cause")).when(F.col("kind").isin("queue", "message") | (F.col("cause") == "distributed"), "distributed").otherwise("asynchronous")
-        onward = onward.select(
-            "root", F.col("g.node").alias("parent"), F.col("s.object").alias("node"), F.when(call, F.col("depth") + 1).otherwise(0).alias("depth"), (F.col("hop") + F.when(call, 0).otherwise(1)).alias("hop"),
-            cause.alias("cause"), F.concat("path", F.array("s.object")).alias("path"), F.col("ord").alias("before"), "kind", F.col("s.nth").alias("nth"),
-            F.when(F.array_contains("path", F.col("s.object")), "cycle").when(call & (F.col("depth") >= max_depth), "depth_limit").when(~call & (F.col("hop") >= max_hops), "hop_limit").when(~call & (F.col("s.nth") > fan_out), "fan_out_limit").alias("stop"),
-        )
-        onward = cut(onward)
-        stopped = onward.where("stop is not null").groupBy("root", F.col("parent").alias("node"), "stop").agg(F.count("*").alias("n"))
-        arrival = Window.partitionBy(*key).orderBy("before", F.when(F.col("kind") == "call", 1).otherwise(0), "node", "nth", "parent")
-        new = onward.where("stop is null").withColumn("first", F.row_number().over(arrival)).where("first = 1").join(seen.select(*key), key, "left_anti")
-        order = Window.partitionBy("root").orderBy("before", F.when(F.col("kind") == "call", 1).otherwise(0), "node", "nth", "parent")
-        counts = seen.groupBy("root").agg(F.count("*").alias("had"))
-        ranked = new.join(counts, "root").withColumn("rank", F.row_number().over(order))
-        over = ranked.where(F.col("had") + F.col("rank") > max_states).groupBy("root").agg(F.count("*").alias("n")).select("root", F.col("root").alias("node"), F.lit("state_limit").alias("stop"), "n")
-        cuts = stopped.unionByName(over) if cuts is None else cuts.unionByName(stopped).unionByName(over)
-        generation = cut(ranked.where(F.col("had") + F.col("rank") <= max_states).select(*key, "path", (F.col("had") + F.col("rank")).alias("ord")))
-        seen = seen.unionByName(generation)  # each generation is a table of its own and written once
-    return seen, cuts.groupBy("root", "node", "stop").agg(F.sum("n").alias("n"))
-
-
-def handler_traces(edges: DataFrame, dispatch: DataFrame, handlers: DataFrame, **limits: int) -> tuple[DataFrame, DataFrame]:
-    """The causal trace from the methods of handlers (handler, method), as of roots: (states with the
-    column handler, truncations). Handlers that share a method share its trace."""
-    states, cuts = trace(edges, dispatch, handlers.select(F.col("method").alias("root")).distinct(), **limits)
-    of = handlers.select("handler", F.col("method").alias("root"))
-    return states.join(of, "root"), cuts.join(of, "root")
+    hop, cause) holds. ``max_states`` counts a root's states; each cap, and each cycle, reports what it cut."""
+    from . import tracing
+
+    c, flag = F.col, F.lit
+    calls = traversable(edges).select("subject", "object").distinct()
+    steps = tracing.as_steps(calls, method=c("subject"), category=flag(2), a=c("object"), target=c("object"), edge=c("object"), scoped=flag(False), subject=c("subject"), over=flag(False))
+    nth = F.row_number().over(Window.partitionBy("subject").orderBy("object", "kind"))
+    sends = dispatch.select("subject", "object", "kind", nth.alias("nth"))
+    steps = steps.unionByName(tracing.as_steps(sends, method=c("subject"), category=flag(1), a=c("object"), b=c("kind"), target=c("object"), edge=c("object"), scoped=flag(False), distributed=c("kind").isin("queue", "message"), hint=flag("async"), subject=c("object"), over=c("nth") > fan_out))
+    seeds = roots.select("root", F.col("root").alias("method"), F.lit(tracing.SYNCHRONOUS).alias("cause"), F.lit(1).alias("ord"))
+    found = tracing.run(seeds, steps, tracing.Limits(max_depth, max_hops, fan_out, max_states))
+    named = F.when(c("cause") == tracing.DISTRIBUTED, "distributed").when(c("cause") == tracing.LOCAL_ASYNC, "asynchronous").otherwise("synchronous")
+    states = found.states.select("root", c("method").alias("node"), "depth", "hop", named.alias("cause"), "path", "ord")
+    cuts = tracing.truncations(found).select("root", F.when(c("stop") == "state_limit", c("root")).otherwise(c("parent")).alias("node"), F.when(c("stop") == "call_cycle", "cycle").otherwise(c("stop")).alias("stop"), "n")
+    return states, cuts.groupBy("root", "node", "stop").agg(F.sum("n").alias("n"))
 
 
 def resolved_constants(names: DataFrame, max_hops: int = 8) -> DataFrame:
