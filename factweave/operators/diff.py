@@ -32,29 +32,73 @@ def slot_matching(before: DataFrame, after: DataFrame, slot: list[str], key: str
     blocked, on both sides. The others pair by exact key first (same_key), then by slot if one of each side
     is left (same_slot); a pair has the later record's slot and key. What isn't paired, the blocked included, is
     removed or added. Sides are counted together, so each count is one aggregation and one join."""
+    u, slots, keys = _matched(before, after, slot, key, unsure)
+    later = F.col("later")
+    outcome = F.when(F.col("by_key"), F.when(later, "same_key")).when(F.col("by_slot"), F.when(later, "same_slot")).when(later, "added").otherwise("removed")
+    kinds = dict(before.dtypes)
+    none = lambda c: F.lit(None).cast(kinds[c]).alias(c)
+    out = [
+        u.select(*slot, key, outcome.alias("outcome")).where("outcome is not null"),
+        slots.where(_several("slot")).select(*slot, none(key), F.lit("ambiguous").alias("outcome")),
+        u.where(~_several("slot") & F.col("doubt")).select(*slot, key, F.lit("ambiguous_identity").alias("outcome")),
+        keys.where(_several("key")).select(*map(none, slot), key, F.lit("ambiguous_key").alias("outcome")),
+    ]
+    return reduce(DataFrame.unionByName, out)
+
+
+def _several(name: str) -> Column:
+    return (F.col(f"{name}_before") > 1) | (F.col(f"{name}_after") > 1)
+
+
+def _matched(before: DataFrame, after: DataFrame, slot: list[str], key: str, unsure: Column | None, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Both sides' records with ``later``, by_key and by_slot (how they are paired), and the counts by slot and by key."""
     later, doubt = F.col("later"), F.lit(False) if unsure is None else F.coalesce(unsure, F.lit(False))
-    u = reduce(DataFrame.unionByName, [df.select(*slot, key, doubt.alias("doubt"), F.lit(x).alias("later")) for df, x in ((before, False), (after, True))])
+    u = reduce(DataFrame.unionByName, [df.select(*slot, key, *carry, doubt.alias("doubt"), F.lit(x).alias("later")) for df, x in ((before, False), (after, True))])
 
     def counted(rows: DataFrame, by: list[str], name: str) -> DataFrame:
         return rows.groupBy(*by).agg(F.count_if(~later).alias(f"{name}_before"), F.count_if(later).alias(f"{name}_after"))
 
-    several = lambda name: (F.col(f"{name}_before") > 1) | (F.col(f"{name}_after") > 1)
     one = lambda name: F.coalesce((F.col(f"{name}_before") == 1) & (F.col(f"{name}_after") == 1), F.lit(False))
     slots = counted(u, slot, "slot")
-    u = u.join(slots, slot).withColumn("free", ~several("slot") & ~F.col("doubt"))
+    u = u.join(slots, slot).withColumn("free", ~_several("slot") & ~F.col("doubt"))
     keys = counted(u.where(F.col("free") & F.col(key).isNotNull()), [key], "key")
-    u = u.join(keys, key, "left").withColumn("by_key", F.col("free") & one("key")).withColumn("rest", F.col("free") & ~F.col("by_key") & ~F.coalesce(several("key"), F.lit(False)))
-    u = u.join(counted(u.where("rest"), slot, "left"), slot, "left").withColumn("by_slot", F.col("rest") & one("left"))
-    outcome = F.when(F.col("by_key"), F.when(later, "same_key")).when(F.col("by_slot"), F.when(later, "same_slot")).when(later, "added").otherwise("removed")
-    kinds = dict(before.dtypes)
-    none = lambda c: F.lit(None).cast(kinds[c]).alias(c)
-    out = [
-        u.select(*slot, key, outcome.alias("outcome")).where("outcome is not null"),
-        slots.where(several("slot")).select(*slot, none(key), F.lit("ambiguous").alias("outcome")),
-        u.where(~several("slot") & F.col("doubt")).select(*slot, key, F.lit("ambiguous_identity").alias("outcome")),
-        keys.where(several("key")).select(*map(none, slot), key, F.lit("ambiguous_key").alias("outcome")),
-    ]
-    return reduce(DataFrame.unionByName, out)
+    u = u.join(keys, key, "left").withColumn("by_key", F.col("free") & one("key")).withColumn("rest", F.col("free") & ~F.col("by_key") & ~F.coalesce(_several("key"), F.lit(False)))
+    return u.join(counted(u.where("rest"), slot, "left"), slot, "left").withColumn("by_slot", F.col("rest") & one("left")), slots, keys
+
+
+#: Fixed names and order of what an endpoint consists of; each that differs is a reason.
+PARTS = ("handler", "direct_guards", "effective_guards", "terminals", "authorization", "resource_accesses")
+
+
+def endpoint_snapshots(endpoints: DataFrame, parts: dict[str, DataFrame | None]) -> DataFrame:
+    """endpoints (endpoint, slot, key, identity) with a column for each of PARTS: its items (endpoint, item) as one sorted text,
+    and null where the part is unavailable, which is not the same as empty. All parts are gathered in one pass."""
+    given = {p: df for p, df in parts.items() if df is not None}
+    rows = reduce(DataFrame.unionByName, [df.select("endpoint", F.lit(p).alias("part"), F.col("item").cast("string").alias("item")) for p, df in given.items()])
+    items = rows.groupBy("endpoint").agg(*[F.array_join(F.array_sort(F.collect_set(F.when(F.col("part") == p, F.col("item")))), "\n").alias(p) for p in given])
+    e = endpoints.join(items, "endpoint", "left").na.fill("", list(given))
+    return e.select("endpoint", "slot", "key", "identity", *[(F.col(p) if p in given else F.lit(None).cast("string")).alias(p) for p in PARTS])
+
+
+def endpoint_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(slot, change, before, after, reasons) of two tables of snapshots: endpoints are matched by exact key, then by slot; a pair
+    is modified for each part that differs, or is available on one side only (an identity that differs counts as its
+    handler), and gives no row if none does. What isn't paired is removed or added."""
+    u, _, _ = _matched(before, after, ["slot"], "key", F.col("identity") == "ambiguous", ("endpoint", "identity", *PARTS))
+    fields = [F.col("endpoint"), F.col("slot"), F.col("identity"), *map(F.col, PARTS)]
+
+    def pairs(how: str, on: str) -> DataFrame:
+        b, a = (u.where(F.col(how) & (F.col("later") == x)).select(F.col(on).alias("on"), F.struct(*fields).alias(n)) for x, n in ((False, "b"), (True, "a")))
+        return b.join(a, "on").select("b", "a")
+
+    differs = lambda p: ~F.col(f"b.{p}").eqNullSafe(F.col(f"a.{p}"))
+    reasons = F.array_compact(F.array(*[F.when(differs(p) | (F.col("b.identity") != F.col("a.identity")) if p == "handler" else differs(p), F.lit(p)) for p in PARTS]))
+    paired = pairs("by_key", "key").unionByName(pairs("by_slot", "slot")).withColumn("reasons", F.array_join(reasons, ",")).where("reasons <> ''")
+    alone = u.where("not by_key and not by_slot")
+    none = F.lit(None).cast(dict(before.dtypes)["endpoint"])
+    change = F.when(F.col("later"), "added").otherwise("removed")
+    single = alone.select("slot", change.alias("change"), F.when(~F.col("later"), F.col("endpoint")).otherwise(none).alias("before"), F.when(F.col("later"), F.col("endpoint")).otherwise(none).alias("after"), F.concat(F.lit("endpoint_"), change).alias("reasons"))
+    return paired.select("b.slot", F.lit("modified").alias("change"), F.col("b.endpoint").alias("before"), F.col("a.endpoint").alias("after"), "reasons").unionByName(single)
 
 
 def status_changes(before: DataFrame, after: DataFrame, key: str, status: str) -> DataFrame:

@@ -592,3 +592,47 @@ def scene_evidence(spark, sf):
 (SELECT count(*) FROM cited x WHERE x.root = f.root) - (SELECT count(*) FROM kept k WHERE k.root = f.root) AS evidence FROM final f""")
 def scene_omitted(spark, sf):
     return _scene(spark, sf)[3]
+
+
+# --- endpoints of two snapshots, part by part -----------------------------------------------------
+
+_TWO = """v(side) AS (VALUES (0), (1)),
+ends AS (SELECT side, c_custkey AS e, 's' || c_custkey // CASE WHEN c_custkey % 97 = 0 THEN 2 ELSE 1 END + CASE WHEN side = 1 AND c_custkey % 6 = 0 THEN 1000000 ELSE 0 END AS slot, CASE WHEN c_custkey % 8 > 0 THEN 'k' || CASE WHEN side = 1 AND c_custkey % 9 = 0 THEN -c_custkey ELSE c_custkey END END AS key,
+  CASE WHEN c_custkey % 31 = side THEN 'ambiguous' WHEN c_custkey % 8 = 0 OR c_custkey % 14 = side THEN 'unresolved' ELSE 'resolved' END AS identity FROM customer, v WHERE c_custkey % 19 <> side),
+items AS (
+  SELECT side, o_custkey AS e, 'handler' AS part, 'm' || o_orderkey % 3 AS item FROM orders, v WHERE o_orderstatus = 'F'
+  UNION ALL SELECT side, o_custkey, 'direct_guards', o_orderpriority FROM orders, v WHERE o_orderkey % 10 > side
+  UNION ALL SELECT side, o_custkey, 'effective_guards', o_orderpriority FROM orders, v WHERE o_orderkey % 40 > side
+  UNION ALL SELECT side, o_custkey, 'terminals', 't' || l_suppkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey, v WHERE l_partkey % 200 <> side
+  UNION ALL SELECT 1, o_custkey, 'authorization', 'x' FROM orders WHERE o_orderkey % 7 = 0),
+snap AS (SELECT ends.side, ends.e, slot, key, identity, {parts} FROM ends LEFT JOIN items ON items.side = ends.side AND items.e = ends.e GROUP BY ends.side, ends.e, slot, key, identity)"""
+_TWO = _TWO.format(parts=", ".join(f"coalesce(string_agg(DISTINCT item, chr(10) ORDER BY item) FILTER (part = '{p}'), '') AS {p}" for p in ("handler", "direct_guards", "effective_guards", "terminals")) + ", CASE WHEN max(ends.side) = 1 THEN coalesce(string_agg(DISTINCT item, chr(10) ORDER BY item) FILTER (part = 'authorization'), '') END AS auth")
+
+
+@bound(f"""WITH {_TWO}, blocked AS (SELECT slot FROM snap GROUP BY side, slot HAVING count(*) > 1), free AS (SELECT * FROM snap WHERE slot NOT IN (FROM blocked) AND identity <> 'ambiguous'),
+exact AS (SELECT b.e AS x, a.e AS y FROM free b JOIN free a ON a.key = b.key AND b.side = 0 AND a.side = 1),
+rest AS (SELECT * FROM free WHERE NOT (side = 0 AND e IN (SELECT x FROM exact)) AND NOT (side = 1 AND e IN (SELECT y FROM exact))),
+pair AS (SELECT * FROM exact UNION ALL SELECT b.e, a.e FROM rest b JOIN rest a ON a.slot = b.slot AND b.side = 0 AND a.side = 1),
+d AS (SELECT b.slot, b.e AS before, a.e AS after, concat_ws(',', CASE WHEN b.handler <> a.handler OR b.identity <> a.identity THEN 'handler' END, CASE WHEN b.direct_guards <> a.direct_guards THEN 'direct_guards' END, CASE WHEN b.effective_guards <> a.effective_guards THEN 'effective_guards' END, CASE WHEN b.terminals <> a.terminals THEN 'terminals' END, 'authorization') AS reasons
+  FROM pair JOIN snap b ON b.side = 0 AND b.e = x JOIN snap a ON a.side = 1 AND a.e = y)
+SELECT slot, 'modified' AS change, before, after, reasons FROM d UNION ALL SELECT slot, CASE side WHEN 0 THEN 'removed' ELSE 'added' END, CASE side WHEN 0 THEN e END, CASE side WHEN 1 THEN e END, CASE side WHEN 0 THEN 'endpoint_removed' ELSE 'endpoint_added' END
+FROM snap WHERE NOT (side = 0 AND e IN (SELECT x FROM pair)) AND NOT (side = 1 AND e IN (SELECT y FROM pair))""")
+def endpoint_changes(spark, sf):
+    """Authorization is available on the later side only, so it is a reason of every pair; resource accesses on neither."""
+    k, o, who = c("c_custkey"), c("o_orderkey"), c("o_custkey")
+    orders, text = table(spark, sf, "orders"), lambda x: x.cast("string")
+    lines = orders.join(table(spark, sf, "lineitem"), c("l_orderkey") == o)
+
+    def side(n):
+        slot = F.concat(F.lit("s"), text(F.floor(k / F.when(k % 97 == 0, 2).otherwise(1)) + F.when((k % 6 == 0) & F.lit(n == 1), 1000000).otherwise(0)))
+        key = F.when(k % 8 > 0, F.concat(F.lit("k"), text(F.when((k % 9 == 0) & F.lit(n == 1), -k).otherwise(k))))
+        identity = F.when(k % 31 == n, "ambiguous").when((k % 8 == 0) | (k % 14 == n), "unresolved").otherwise("resolved")
+        ends = table(spark, sf, "customer").where(k % 19 != n).select(k.alias("endpoint"), slot.alias("slot"), key.alias("key"), identity.alias("identity"))
+        of = lambda df, item: df.select(who.alias("endpoint"), item.alias("item"))
+        parts = {
+            "handler": of(orders.where("o_orderstatus = 'F'"), F.concat(F.lit("m"), text(o % 3))), "direct_guards": of(orders.where(o % 10 > n), c("o_orderpriority")), "effective_guards": of(orders.where(o % 40 > n), c("o_orderpriority")),
+            "terminals": of(lines.where(c("l_partkey") % 200 != n), F.concat(F.lit("t"), text(c("l_suppkey")))), "authorization": of(orders.where(o % 7 == 0), F.lit("x")) if n else None, "resource_accesses": None,
+        }
+        return diff.endpoint_snapshots(ends, parts)
+
+    return diff.endpoint_changes(side(0), side(1))
