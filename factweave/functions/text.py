@@ -99,12 +99,17 @@ def signature(text: Column) -> Column:
     return trim(F.regexp_replace(text, f"{SPACE}+", " "))
 
 
+def utf16_length(text: Column) -> Column:
+    """How many UTF-16 units a text has: two for a character beyond U+FFFF."""
+    return F.floor(F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")
+
+
 def line_and_column(text: Column, offset: Column) -> Column:
     """struct<line, column>, both from 1, of a place before which the text has ``offset`` code points;
-    null outside the text."""
+    columns count UTF-16 units. Null outside the text."""
     before = F.substring(text, F.lit(1), offset)
     breaks = r"\r\n|[\r\n\u2028\u2029]"
-    own = F.struct((F.regexp_count(before, F.lit(breaks)) + 1).alias("line"), (F.length(F.regexp_extract(before, rf"(?s)^(?:.*(?:{breaks}))?(.*)$", 1)) + 1).alias("column"))
+    own = F.struct((F.regexp_count(before, F.lit(breaks)) + 1).alias("line"), (utf16_length(F.regexp_extract(before, rf"(?s)^(?:.*(?:{breaks}))?(.*)$", 1)) + 1).alias("column"))
     return F.when((offset >= 0) & (offset <= F.length(text)), own)
 
 

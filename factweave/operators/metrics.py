@@ -19,6 +19,14 @@ def reach_counts(nodes: DataFrame, reach: DataFrame) -> DataFrame:
     return nodes.join(n, "node", "left").na.fill(0, ["roots"])
 
 
+def reach_of_roots(nodes: DataFrame, endpoints: DataFrame, handlers: DataFrame) -> DataFrame:
+    """(node, endpoints, handlers, roots): how many endpoints and how many handlers reach each node, and their sum. endpoints and
+    handlers are reach relations (root, node)."""
+    both = endpoints.select("root", "node", F.lit(True).alias("end")).unionByName(handlers.select("root", "node", F.lit(False).alias("end")))
+    n = both.groupBy("node").agg(F.countDistinct(F.when(F.col("end"), F.col("root"))).alias("endpoints"), F.countDistinct(F.when(~F.col("end"), F.col("root"))).alias("handlers"))
+    return nodes.join(n, "node", "left").na.fill(0, ["endpoints", "handlers"]).withColumn("roots", F.col("endpoints") + F.col("handlers"))
+
+
 def legend(metric: DataFrame, value: str) -> DataFrame:
     """p50, p75, p90 by nearest rank, 0 for an empty table: one row."""
     return metric.agg(*[F.coalesce(F.expr(f"percentile_disc({p}) within group (order by {value})"), F.lit(0)).cast("long").alias(f"p{int(p * 100)}") for p in (0.5, 0.75, 0.9)])

@@ -6,19 +6,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def guard_on_write(writes: Column, unsure_writes: Column, guards: Column, unsure_guards: Column) -> Column:
-    """Counts of resolved and unresolved writes and guards of a subject."""
+def guard_on_write(writes: Column, unsure_writes: Column, guards: Column, unsure_guards: Column, records: Column | None = None, unsure_globally: Column | None = None) -> Column:
+    """Counts of resolved and unresolved writes and guards of a subject. Several records of one identity (``records``) say
+    nothing; neither does an endpoint without a proven guard where it isn't known which guards hold everywhere."""
+    unclear = unsure_guards > 0 if unsure_globally is None else (unsure_guards > 0) | unsure_globally
+    several = F.lit(False) if records is None else records > 1
     return (
-        F.when((writes == 0) & (unsure_writes == 0), "not_applicable").when(writes == 0, "unknown").when(guards > 0, "pass").when(unsure_guards > 0, "unknown").otherwise("fail")
+        F.when(several, "unknown").when((writes == 0) & (unsure_writes == 0), "not_applicable").when(writes == 0, "unknown").when(guards > 0, "pass").when(unclear, "unknown").otherwise("fail")
     )
 
 
-def complete_write_trace(writes: Column, unsure_writes: Column, gaps: Column) -> Column:
-    return F.when((writes > 0) & (gaps > 0), "fail").when(writes > 0, "pass").when((unsure_writes > 0) | (gaps > 0), "unknown").otherwise("not_applicable")
+def complete_write_trace(writes: Column, unsure_writes: Column, gaps: Column, write_verb: Column | None = None) -> Column:
+    """A gap without any write says something only of an endpoint whose verb writes (of every one, if the verb isn't given)."""
+    may_write = F.lit(True) if write_verb is None else write_verb
+    return F.when((writes > 0) & (gaps > 0), "fail").when(writes > 0, "pass").when((unsure_writes > 0) | (may_write & (gaps > 0)), "unknown").otherwise("not_applicable")
 
 
 def repository_access(records: Column, resolved: Column, unsure: Column) -> Column:
-    return F.when(records > 1, "unknown").when(resolved > 0, "fail").when(unsure > 0, "unknown").otherwise("pass")
+    """Of a controller: it isn't there, is there twice, accesses a repository, may access one, or doesn't."""
+    return F.when(records == 0, "not_applicable").when(records > 1, "unknown").when(resolved > 0, "fail").when(unsure > 0, "unknown").otherwise("pass")
 
 
 def activation(state: Column) -> Column:
@@ -69,6 +75,8 @@ def result_state(canceled: Column, fatal: Column, facts: Column, errors: Column,
     return F.when(canceled, "canceled").when(fatal | ((facts == 0) & (errors > 0)), "failed").when(diagnostics == 0, "completed").otherwise("completed_with_gaps")
 
 
-def mutation_class(writes: Column, unknown: Column) -> Column:
-    """write if any access writes, unknown if any can't be told, else non_write."""
-    return F.when(writes > 0, "write").when(unknown > 0, "unknown").otherwise("non_write")
+def mutation_class(writes: Column, unknown: Column, traced: Column | None = None, gaps: Column | None = None) -> Column:
+    """write if any access writes; non_write only if nothing else can be: no access is unclear, the endpoint is traced and
+    its trace has no gaps (of calls or of the database); else unknown."""
+    whole = (F.lit(True) if traced is None else traced) & (F.lit(True) if gaps is None else gaps == 0)
+    return F.when(writes > 0, "write").when((unknown > 0) | ~whole, "unknown").otherwise("non_write")

@@ -593,7 +593,8 @@ SELECT 'new_diagnostics' AS rule, subject, o AS outcome, CASE WHEN o = 'unknown'
 def policy_new_diagnostics(spark, sf):
     a, b = _snapshots(spark, sf)
     f = b.alias("b").join(a.alias("a"), F.col("a.k") == F.col("b.k"), "left").select(F.col("b.k").alias("subject"), F.col("a.k").isNull().alias("new"), F.col("b.status").alias("now"), (F.col("a.status") != F.col("b.status")).alias("changed"))
-    return policy.evaluated(f, "new_diagnostics", F.when(F.col("new") & (F.col("now") == "F"), "fail").when(F.col("new"), "pass").when(F.col("changed"), "unknown").otherwise("pass"))
+    new, changed = (F.col("new") & (F.col("now") == "F")).cast("int"), (~F.col("new") & F.col("changed")).cast("int")
+    return policy.evaluated(f, "new_diagnostics", policy.new_diagnostics(F.lit(True), new, F.coalesce(changed, F.lit(0))))
 
 
 # --- several services --------------------------------------------------------------------------
@@ -627,8 +628,8 @@ def system_leftovers(spark, sf):
 CASE state WHEN 'ambiguous' THEN 'fail' ELSE 'pass' END AS unambiguous FROM r""")
 def system_policies(spark, sf):
     r = stitch.correlate(*_services(spark, sf))
-    declared = F.when(F.col("state") == "declared_realm_candidate", "pass").when((F.col("state") == "ambiguous") | (F.coalesce("reason", F.lit("")) == "unsupported_identity"), "unknown").otherwise("fail")
-    return r.select("producer", declared.alias("declared_realm"), F.when(F.col("state") == "ambiguous", "fail").otherwise("pass").alias("unambiguous"))
+    p, state = F.col("producer"), F.col("state")
+    return r.select("producer", policy.declared_realm(p, state, F.col("reason")).alias("declared_realm"), policy.unambiguous(p, state).alias("unambiguous"))
 
 
 @bound(f"""{_CORRELATED}, h2 AS (SELECT 'region:' || n_regionkey AS root, p.contract, p.realm, r.state, count(*) AS producers FROM r JOIN p USING (producer) JOIN nation ON n_nationkey = p.contract

@@ -636,3 +636,44 @@ def endpoint_changes(spark, sf):
         return diff.endpoint_snapshots(ends, parts)
 
     return diff.endpoint_changes(side(0), side(1))
+
+
+# --- rules with every outcome, reach of both kinds of roots, columns in UTF-16 units ---------------
+
+_SUBJECTS = """f AS (SELECT c_custkey AS subject, count(*) FILTER (o_orderstatus = 'F') AS writes, count(*) FILTER (o_orderstatus = 'O') AS unsure, count(*) FILTER (o_orderpriority = '1-URGENT') AS guards, count(*) FILTER (o_orderpriority = '2-HIGH') AS unsure_guards,
+count(*) FILTER (o_orderkey % 9 = 0) AS gaps, CASE WHEN c_custkey % 21 = 0 THEN 0 WHEN c_custkey % 10 = 0 THEN 2 ELSE 1 END AS records, c_custkey % 4 = 0 AS everywhere, c_custkey % 3 > 0 AS verb FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderkey % 5 = 0 GROUP BY c_custkey)"""
+
+
+@bound(f"""WITH {_SUBJECTS} SELECT subject, CASE WHEN records > 1 THEN 'unknown' WHEN writes = 0 AND unsure = 0 THEN 'not_applicable' WHEN writes = 0 THEN 'unknown' WHEN guards > 0 THEN 'pass' WHEN unsure_guards > 0 OR everywhere THEN 'unknown' ELSE 'fail' END AS guard,
+CASE WHEN writes > 0 AND gaps > 0 THEN 'fail' WHEN writes > 0 THEN 'pass' WHEN unsure > 0 OR (verb AND gaps > 0) THEN 'unknown' ELSE 'not_applicable' END AS trace,
+CASE WHEN records = 0 THEN 'not_applicable' WHEN records > 1 THEN 'unknown' WHEN writes > 0 THEN 'fail' WHEN unsure > 0 THEN 'unknown' ELSE 'pass' END AS repository,
+CASE WHEN writes > 0 THEN 'write' WHEN unsure > 0 OR NOT verb OR gaps > 0 THEN 'unknown' ELSE 'non_write' END AS class FROM f""")
+def policy_outcomes(spark, sf):
+    """The rules on guards, traces and repositories with repeated and absent subjects, and the class of a mutation with gaps."""
+    k, n = c("c_custkey"), (lambda col, v: F.count_if(c(col) == v))
+    o = table(spark, sf, "orders").where("o_orderkey % 5 = 0")
+    f = table(spark, sf, "customer").join(o, k == c("o_custkey"), "left").groupBy(k.alias("subject")).agg(n("o_orderstatus", "F").alias("writes"), n("o_orderstatus", "O").alias("unsure"), n("o_orderpriority", "1-URGENT").alias("guards"), n("o_orderpriority", "2-HIGH").alias("unsure_guards"), F.count_if(c("o_orderkey") % 9 == 0).alias("gaps"))
+    s = c("subject")
+    records, verb = F.when(s % 21 == 0, 0).when(s % 10 == 0, 2).otherwise(1), s % 3 > 0
+    return f.select(
+        "subject", policy.guard_on_write(c("writes"), c("unsure"), c("guards"), c("unsure_guards"), records, s % 4 == 0).alias("guard"), policy.complete_write_trace(c("writes"), c("unsure"), c("gaps"), verb).alias("trace"),
+        policy.repository_access(records, c("writes"), c("unsure")).alias("repository"), policy.mutation_class(c("writes"), c("unsure"), verb, c("gaps")).alias("class"),
+    )
+
+
+@bound("""WITH e AS (SELECT DISTINCT o_custkey AS root, l_partkey AS node FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_returnflag = 'R'), h AS (SELECT DISTINCT l_suppkey AS root, l_partkey AS node FROM lineitem WHERE l_quantity < 20)
+SELECT p_partkey AS node, (SELECT count(*) FROM e WHERE node = p_partkey) AS endpoints, (SELECT count(*) FROM h WHERE node = p_partkey) AS handlers, (SELECT count(*) FROM e WHERE node = p_partkey) + (SELECT count(*) FROM h WHERE node = p_partkey) AS roots FROM part""")
+def reach_of_roots(spark, sf):
+    lines = table(spark, sf, "lineitem")
+    e = lines.where("l_returnflag = 'R'").join(table(spark, sf, "orders"), c("l_orderkey") == c("o_orderkey")).select(c("o_custkey").alias("root"), c("l_partkey").alias("node"))
+    return metrics.reach_of_roots(table(spark, sf, "part").select(c("p_partkey").alias("node")), e, lines.where("l_quantity < 20").select(c("l_suppkey").alias("root"), c("l_partkey").alias("node")))
+
+
+@bound("""WITH t AS (SELECT doc_id, chr(128512) || 'ab' || chr(13) || chr(10) || 'é' || chr(128512) || coalesce(text, '') AS t FROM documents),
+b AS (SELECT doc_id, replace(replace(substr(t, 1, 7 + length(t) // 3), chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS b FROM t), l AS (SELECT doc_id, string_split(replace(replace(b, chr(8232), chr(10)), chr(8233), chr(10)), chr(10)) AS parts FROM b)
+SELECT doc_id, CAST(len(parts) AS BIGINT) AS line, CAST(length(parts[-1]) + len(regexp_extract_all(parts[-1], '[\\x{10000}-\\x{10FFFF}]')) + 1 AS BIGINT) AS column_ FROM l""")
+def evidence_columns(spark, sf):
+    """Every text behind a line that ends in CR and LF and characters of two units."""
+    t = F.concat(F.lit("\U0001f600ab\r\né\U0001f600"), F.coalesce("text", F.lit("")))
+    d = table(spark, sf, "documents").select("doc_id", t.alias("t")).select("doc_id", T.line_and_column(c("t"), (7 + F.floor(F.length("t") / 3)).cast("int")).alias("p"))
+    return d.select("doc_id", c("p.line").cast("long").alias("line"), c("p.column").cast("long").alias("column_"))
