@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from factweave.operators import iterate
+
 from . import common
 
 LENGTH, GRAM = 200, 32
@@ -283,8 +285,10 @@ def marks(docs: DataFrame) -> DataFrame:
     # one occurrence stands for a context; the three are of one row
     place = F.shiftleft(F.col("at").cast("long"), 32) + F.col("n")
     classes = rows.groupBy("anchor", "context").agg(F.count("*").alias("times"), F.first("k1").alias("k1"), F.first("k2").alias("k2"), F.first(place).alias("place"))
-    met = classes.groupBy("anchor").agg(F.count("*").alias("contexts"), F.sum("times").alias("all_times")).where("all_times > 1").select("anchor", (F.col("contexts") > HOT_CONTEXTS).alias("hot"))
-    kinds = common.checkpointed(classes.join(met, "anchor").select("anchor", "context", (F.col("times") > 1).alias("several"), "hot", "k1", "k2", F.shiftright("place", 32).cast("int").alias("at"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("n")))
+    # all columns are asked for here too: then Spark finds one exchange, not two with a pass over the texts each
+    met = classes.groupBy("anchor").agg(F.count("*").alias("contexts"), F.sum("times").alias("all_times"), F.max(F.col("k1").bitwiseXOR(F.col("k2")).bitwiseXOR(F.col("place"))).alias("any"))
+    met = met.where("all_times > 1 and any is not null").select("anchor", (F.col("contexts") > HOT_CONTEXTS).alias("hot"))
+    kinds = iterate.cut(classes.join(met, "anchor").select("anchor", "context", (F.col("times") > 1).alias("several"), "hot", "k1", "k2", F.shiftright("place", 32).cast("int").alias("at"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("n")))
 
     def cut(batches):
         for b in batches:
@@ -306,7 +310,7 @@ def marks(docs: DataFrame) -> DataFrame:
     if not kinds.where("hot").isEmpty():
         found = found.unionByName(_counted(brought(kinds.where("hot"))))
     # what was found in a context holds wherever it stands
-    found = common.checkpointed(found)
+    found = iterate.cut(found)
     return rows.join(found, ["anchor", "context"]).select("k1", "k2", (F.col("at") + F.col("inside")).cast("int").alias("at"), F.col("m").alias("n"))
 
 
