@@ -132,6 +132,15 @@ def target_label(kind: Column, name: Column, detail: Column, technology: Column)
     )
 
 
+def resource_label(technology: Column, operation: Column, target: Column) -> Column:
+    """What a resource access is called. target: struct<kind, value, token, segments: array<struct<kind, value, token, index>>>, of
+    kind exact, symbolic, dynamic or template; a template's segments are literals, symbols or placeholders."""
+    part = lambda s: F.when(s["kind"] == "literal", s["value"]).when(s["kind"] == "symbolic", F.concat(F.lit("${"), s["token"], F.lit("}"))).otherwise(F.concat(F.lit("${"), s["index"].cast("string"), F.lit("}")))
+    kind = target["kind"]
+    name = F.when(kind == "exact", target["value"]).when(kind == "symbolic", F.concat(F.lit("$"), target["token"])).when(kind == "dynamic", "<dynamic>").otherwise(F.array_join(F.transform(target["segments"], part), ""))
+    return F.concat_ws(" ", technology, operation, name)
+
+
 def target_dynamism(kind: Column, name: Column, detail: Column, technology: Column) -> Column:
     """static, dynamic or unknown, from the parts that identify a target of its kind."""
     needs = F.when(kind == "outbound_http", name.isNull() | (technology == "UNKNOWN")).when(kind == "in_process_event", name.isNull()).otherwise(name.isNull() | detail.isNull())

@@ -94,6 +94,13 @@ def message_match(producers: DataFrame, handlers: DataFrame) -> DataFrame:
     return producers.join(handlers, ["mode", "pattern", "transport"]).select("producer", "handler", "mode")
 
 
+def client_message_match(producers: DataFrame, handlers: DataFrame) -> DataFrame:
+    """message_match within an application: a producer of a known application through an exactly known client, a handler of the
+    same application. producers and handlers have ``application`` besides, producers ``exact_client``; dynamic patterns are null."""
+    p = producers.where("exact_client and application is not null")
+    return p.join(handlers, ["application", "mode", "pattern", "transport"]).select("producer", "handler", "mode")
+
+
 def transport_mismatch(producers: DataFrame, handlers: DataFrame, matched: DataFrame) -> DataFrame:
     """Producers without a match for which a handler differs in transport alone."""
     same = producers.join(matched, "producer", "left_anti").alias("p")
@@ -174,6 +181,17 @@ def guards_in_order(subjects: DataFrame, guards: DataFrame) -> DataFrame:
     return everywhere.unionByName(of_class).unionByName(own).select("subject", F.row_number().over(order).alias("position"), "guard", "scope")
 
 
+def guard_states(subjects: DataFrame, own: DataFrame, everywhere: DataFrame, analyses: DataFrame) -> DataFrame:
+    """(subject, direct_state, global_state, effective_state, direct, globals): what is known of each subject's guards. subjects: analysis,
+    subject; own: subject, guard; everywhere: analysis, guard; analyses: analysis, state (declared, none_proven or unknown; an
+    analysis that isn't there is unknown). Global guards are counted for their analysis and joined by it."""
+    d = own.groupBy("subject").agg(F.count("*").alias("direct"))
+    g = everywhere.groupBy("analysis").agg(F.count("*").alias("globals"))
+    s = subjects.join(d, "subject", "left").join(g, "analysis", "left").join(analyses.select("analysis", "state"), "analysis", "left").na.fill(0, ["direct", "globals"]).na.fill("unknown", ["state"])
+    effective = F.when(F.col("direct") + F.col("globals") > 0, "guard_declared").when(F.col("state") == "none_proven", "no_supported_guard_proven").otherwise("unknown")
+    return s.select("subject", F.when(F.col("direct") > 0, "declared").otherwise("none_declared").alias("direct_state"), F.col("state").alias("global_state"), effective.alias("effective_state"), "direct", "globals")
+
+
 def overlap_attribution(sets: DataFrame, policies: DataFrame) -> DataFrame:
     """(subject, policy): a policy applies to a subject if their id sets share a member. Members are
     exploded and joined, so that no pair without one is looked at."""

@@ -677,3 +677,39 @@ def evidence_columns(spark, sf):
     t = F.concat(F.lit("\U0001f600ab\r\né\U0001f600"), F.coalesce("text", F.lit("")))
     d = table(spark, sf, "documents").select("doc_id", t.alias("t")).select("doc_id", T.line_and_column(c("t"), (7 + F.floor(F.length("t") / 3)).cast("int")).alias("p"))
     return d.select("doc_id", c("p.line").cast("long").alias("line"), c("p.column").cast("long").alias("column_"))
+
+
+# --- labels of resources, states of guards, messages within an application ------------------------
+
+
+@bound("""SELECT event_id, CASE user_id % 2 WHEN 0 THEN 'ioredis' ELSE 'cache_manager' END || ' ' || event_type || ' ' || CASE event_id % 4 WHEN 0 THEN 'k' || user_id WHEN 1 THEN '$T' || user_id WHEN 2 THEN '<dynamic>' ELSE 'user:${' || user_id % 3 || '}/${NAME}' END AS label FROM events""")
+def resource_labels(spark, sf):
+    e, k, u = table(spark, sf, "events"), c("event_id") % 4, c("user_id")
+    s = lambda x: x.cast("string")
+    none = F.lit(None).cast("string")
+    part = lambda kind, value=none, token=none, index=None: F.struct(F.lit(kind).alias("kind"), value.alias("value"), token.alias("token"), (F.lit(None) if index is None else index).cast("int").alias("index"))
+    parts = F.array(part("literal", F.lit("user:")), part("placeholder", index=u % 3), part("literal", F.lit("/")), part("symbolic", token=F.lit("NAME")))
+    target = F.struct(F.when(k == 0, "exact").when(k == 1, "symbolic").when(k == 2, "dynamic").otherwise("template").alias("kind"), F.concat(F.lit("k"), s(u)).alias("value"), F.concat(F.lit("T"), s(u)).alias("token"), parts.alias("segments"))
+    return e.select("event_id", T.resource_label(F.when(u % 2 == 0, "ioredis").otherwise("cache_manager"), c("event_type"), target).alias("label"))
+
+
+@bound("""WITH d AS (SELECT o_custkey AS subject, count(*) AS n FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1), g AS (SELECT n_regionkey AS region, n_nationkey AS analysis, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey AND s_suppkey % 9 = 0) AS n FROM nation),
+s AS (SELECT c_custkey AS subject, coalesce(d.n, 0) AS direct, g.n AS globals, CASE WHEN analysis % 4 = 0 THEN 'unknown' WHEN g.n > 0 THEN 'declared' ELSE 'none_proven' END AS state FROM customer JOIN g ON analysis = c_nationkey LEFT JOIN d ON d.subject = c_custkey)
+SELECT subject, CASE WHEN direct > 0 THEN 'declared' ELSE 'none_declared' END AS direct_state, state AS global_state, CASE WHEN direct + globals > 0 THEN 'guard_declared' WHEN state = 'none_proven' THEN 'no_supported_guard_proven' ELSE 'unknown' END AS effective_state, direct, globals FROM s""")
+def guard_states(spark, sf):
+    everywhere = table(spark, sf, "supplier").where("s_suppkey % 9 = 0").select(c("s_nationkey").alias("analysis"), c("s_suppkey").alias("guard"))
+    n = everywhere.groupBy("analysis").agg(F.count("*").alias("n"))
+    analyses = table(spark, sf, "nation").where("n_nationkey % 4 <> 0").select(c("n_nationkey").alias("analysis")).join(n, "analysis", "left").select("analysis", F.when(c("n") > 0, "declared").otherwise("none_proven").alias("state"))
+    own = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select(c("o_custkey").alias("subject"), c("o_orderkey").alias("guard"))
+    return match.guard_states(table(spark, sf, "customer").select(c("c_nationkey").alias("analysis"), c("c_custkey").alias("subject")), own, everywhere, analyses)
+
+
+_CLIENTS = [(1, "request", "click", "tcp", "a0"), (2, "request", "click", "tcp", "a1"), (3, "event", "view", "tcp", None), (4, "event", "view", "redis", "a1"), (5, "request", None, "tcp", "a0"), (6, "event", "view", "tcp", "a0")]
+
+
+@bound(f"""SELECT event_id AS producer, handler, h.mode FROM events JOIN ({_sql_values(_CLIENTS)}) h(handler, mode, pattern, transport, application) ON h.pattern = event_type AND h.mode = CASE event_type WHEN 'view' THEN 'event' ELSE 'request' END
+AND h.transport = CASE user_id % 3 WHEN 0 THEN 'tcp' WHEN 1 THEN 'redis' END AND h.application = 'a' || user_id % 2 WHERE user_id % 5 > 0 AND event_id % 4 > 0""")
+def client_messages(spark, sf):
+    u = c("user_id")
+    p = table(spark, sf, "events").select(c("event_id").alias("producer"), F.when(c("event_type") == "view", "event").otherwise("request").alias("mode"), c("event_type").alias("pattern"), F.when(u % 3 == 0, "tcp").when(u % 3 == 1, "redis").alias("transport"), F.when(u % 5 > 0, F.concat(F.lit("a"), (u % 2).cast("string"))).alias("application"), (c("event_id") % 4 > 0).alias("exact_client"))
+    return match.client_message_match(p, values(spark, _CLIENTS, "handler int, mode string, pattern string, transport string, application string"))
