@@ -5,7 +5,7 @@ from collections import Counter
 import duckdb
 from pyspark.sql import functions as F
 
-from factweave.operators import impact, iterate, paths
+from factweave.operators import graph, impact, iterate, paths
 from factweave.plans import bindings, facts  # noqa: F401
 
 
@@ -50,3 +50,10 @@ def test_a_bucketed_table_is_not_shuffled_again(spark):
     met = at.join(edges.alias("s"), [F.col("a.node") == F.col("s.object"), F.col("a.side") == F.col("s.side")])
     assert met.count() == 44 and met._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 2  # of the other side, once in either plan
     assert sorted(r["n"] for r in edges.collect()) == list(range(100))
+
+
+def test_a_closure_deals_its_pairs_once(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    found = graph.closure(spark.createDataFrame([(1, 2), (2, 3), (3, 1), (1, 2)], "a int, b int"))
+    assert sorted(tuple(r) for r in found.collect()) == [(a, b) for a in (1, 2, 3) for b in (1, 2, 3)]
+    assert len({t.name for t in spark.catalog.listTables()} - before) == 1
