@@ -5,7 +5,7 @@ from collections import Counter
 import duckdb
 from pyspark.sql import functions as F
 
-from factweave.operators import graph, impact, iterate, paths
+from factweave.operators import flow, graph, impact, iterate, paths
 from factweave.plans import bindings, facts  # noqa: F401
 
 
@@ -57,3 +57,23 @@ def test_a_closure_deals_its_pairs_once(spark):
     found = graph.closure(spark.createDataFrame([(1, 2), (2, 3), (3, 1), (1, 2)], "a int, b int"))
     assert sorted(tuple(r) for r in found.collect()) == [(a, b) for a in (1, 2, 3) for b in (1, 2, 3)]
     assert len({t.name for t in spark.catalog.listTables()} - before) == 1
+
+
+def test_influences_group_only_sinks_of_several_places_again(spark):
+    frame = "scope string, method string, calls array<string>, depth int, origins array<struct<parameter:string,origin:string>>"
+    frames = spark.createDataFrame([("s", "m", ["b", "c"], 2, [("x", "q")]), ("s", "m", ["d"], 1, [("x", "q")]), ("s", "n", ["a"], 1, [("x", "q")]), ("s", "m", [], 0, [("x", "root")])], frame)
+    sinks = spark.createDataFrame([("one", "m", "x", "k"), ("one", "m", "x", "k"), ("two", "m", "x", "k"), ("two", "n", "x", "k")], "sink string, method string, parameter string, column string")
+    met = flow.influences(frames, sinks)
+    assert sorted(tuple(r) for r in met.collect()) == [("s", "one", "k", "q", "d"), ("s", "two", "k", "q", "a")]
+    assert met._jdf.queryExecution().optimizedPlan().toString().strip().startswith("Union")  # the met rows of the others are the result
+
+
+def test_carried_origins_deal_the_calls_once(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    roots = spark.createDataFrame([("s", "r", [("p", "q")])], "scope string, method string, origins array<struct<parameter:string,origin:string>>")
+    calls = [(f"{a}{b}", a, b, [("p", "p")], "resolved", False, False, False, True) for a, b in ("ra", "rb", "ab", "ba", "rc")]
+    calls = spark.createDataFrame(calls, "call string, method string, target string, args array<struct<source:string,target:string>>, status string, spread boolean, callback boolean, rest boolean, body boolean")
+    found, notes = flow.carried_origins(roots, calls, frames=3)
+    assert sorted(tuple(r) for r in found.select("ord", "method", "calls").collect()) == [(1, "r", []), (2, "a", ["ra"]), (3, "b", ["rb"])]
+    assert [tuple(r) for r in notes.collect()] == [("s", "frame_limit", "c", None)]
+    assert len({t.name for t in spark.catalog.listTables()} - before) == 1
