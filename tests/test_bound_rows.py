@@ -5,7 +5,7 @@ from collections import Counter
 import duckdb
 from pyspark.sql import functions as F
 
-from factweave.operators import flow, graph, impact, iterate, paths
+from factweave.operators import flow, graph, impact, iterate, paths, scenes
 from factweave.plans import bindings, facts  # noqa: F401
 
 
@@ -77,3 +77,16 @@ def test_carried_origins_deal_the_calls_once(spark):
     assert sorted(tuple(r) for r in found.select("ord", "method", "calls").collect()) == [(1, "r", []), (2, "a", ["ra"]), (3, "b", ["rb"])]
     assert [tuple(r) for r in notes.collect()] == [("s", "frame_limit", "c", None)]
     assert len({t.name for t in spark.catalog.listTables()} - before) == 1
+
+
+def test_a_scene_walks_its_edges_once(spark):
+    edges = spark.createDataFrame([("r", "1", "r", "a", 0, ["e1", "x"]), ("r", "2", "a", "b", 0, ["e2"]), ("r", "3", "r", "c", 0, ["e3"]), ("r", "4", "a", "r", 1, []), ("q", "5", "y", "z", 0, ["e5"])], "root string, edge_id string, subject string, object string, rank int, evidence array<string>")
+    nodes = spark.createDataFrame([("r", "r", ["n"]), ("r", "a", None), ("r", "b", ["m"]), ("p", "p", ["k"]), ("q", "q", [])], "root string, node string, evidence array<string>")
+    own, held, kept, omitted = scenes.scene(nodes, edges, 2, 2, 3)
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(own) == [("r", "1", 1, ["e1", "x"]), ("r", "4", 2, [])]
+    assert rows(held) == [("p", "p", ["k"]), ("q", "q", []), ("r", "a", None), ("r", "r", ["n"])]
+    assert rows(kept) == [("p", "k", 1), ("r", "e1", 1), ("r", "n", 2), ("r", "x", 3)]
+    assert rows(omitted) == [("p", 0, 0, 0), ("q", 0, 1, 0), ("r", 1, 2, 0)]
+    for df in (own, held, kept, omitted):
+        assert "MapInArrow" not in df._jdf.queryExecution().optimizedPlan().toString()
