@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from factweave.sources.catalogue import FAMILIES, PREDICATES, REFERENCES, VALUES
 
-from .iterate import cut
+from .iterate import cut, dealt, parts
 
 c = F.col
 
@@ -64,17 +64,17 @@ def references(families: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, out).where("reference is not null")
 
 
-def identity_issues(every: DataFrame) -> list[DataFrame]:
+def identity_issues(every: DataFrame, n: int | None = None) -> list[DataFrame]:
     """Ids of the wrong prefix, and ids that several records of a snapshot hold, with the same content or not."""
-    held = every.groupBy("analysis", "id").agg(F.count("*").alias("n"), F.countDistinct("kind", "content").alias("kinds")).where("n > 1")
+    held = dealt(every, n, "analysis", "id").groupBy("analysis", "id").agg(F.count("*").alias("n"), F.countDistinct("kind", "content").alias("kinds")).where("n > 1")
     return [_issue(every.where(~F.startswith("id", F.concat("kind", F.lit(":")))), "RECORD_ID_KIND_MISMATCH"), _issue(held.where("kinds = 1"), "DUPLICATE_RECORD_ID"), _issue(held.where("kinds > 1"), "STABLE_ID_COLLISION")]
 
 
-def reference_issues(every: DataFrame, refs: DataFrame) -> list[DataFrame]:
+def reference_issues(every: DataFrame, refs: DataFrame, n: int | None = None) -> list[DataFrame]:
     """References to nothing, to a record of another kind, and repeated in one list."""
-    known = every.groupBy("analysis", c("id").alias("reference")).agg(F.min("kind").alias("found"))
-    met = refs.join(known, ["analysis", "reference"], "left")
-    again = refs.where("listed").groupBy("analysis", "id", "path", "reference").agg(F.count("*").alias("n")).where("n > 1")
+    known = dealt(every.withColumnRenamed("id", "reference"), n, "analysis", "reference").groupBy("analysis", "reference").agg(F.min("kind").alias("found"))
+    met = dealt(refs, n, "analysis", "reference").join(known, ["analysis", "reference"], "left")
+    again = dealt(refs.where("listed"), n, "analysis", "id").groupBy("analysis", "id", "path", "reference").agg(F.count("*").alias("n")).where("n > 1")
     return [_issue(met.where("found is null"), "MISSING_REFERENCE", c("path")), _issue(met.where("wanted is not null and found <> wanted"), "REFERENCE_KIND_MISMATCH", c("path")), _issue(again, "DUPLICATE_REFERENCE", c("path"))]
 
 
@@ -206,7 +206,8 @@ def issues(families: dict[str, DataFrame]) -> DataFrame:
     aren't given are unavailable, and what would be checked against them isn't."""
     given = {k: v for k, v in families.items() if v is not None}
     every, refs = cut(records(given)), cut(references(given))
-    found = [*identity_issues(every), *reference_issues(every, refs), *_role_issues(given, refs), *_assertion_issues(given)]
+    n = parts(every, refs)
+    found = [*identity_issues(every, n), *reference_issues(every, refs, n), *_role_issues(given, refs), *_assertion_issues(given)]
     for (family, field), values in VALUES.items():
         if family in given:
             found.append(_issue(given[family].where(~c(field).isin(*values)), "SCHEMA_INVALID", field))
@@ -216,5 +217,5 @@ def issues(families: dict[str, DataFrame]) -> DataFrame:
     ):
         if all(n in given for n in needs):
             found += check(given)
-    return reduce(DataFrame.unionByName, found).distinct()
+    return dealt(reduce(DataFrame.unionByName, found), n, "analysis", "id").distinct()
 
