@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .iterate import dealt
+
 
 def keyed_diff(before: DataFrame, after: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """(keys, change, reasons): added, removed, modified (with the names of the values that differ)
@@ -24,15 +26,16 @@ def keyed_diff(before: DataFrame, after: DataFrame, keys: list[str], values: lis
     return both.withColumn("change", change).where("change is not null").select(*keys, "change", F.when(F.col("change") == "modified", F.array_join(reasons, ",")).alias("reasons"))
 
 
-def slot_matching(before: DataFrame, after: DataFrame, slot: list[str], key: str, unsure: Column | None = None) -> DataFrame:
+def slot_matching(before: DataFrame, after: DataFrame, slot: list[str], key: str, unsure: Column | None = None, n: int | None = None) -> DataFrame:
     """(slot, key, outcome) of records with a slot and an exact key (null if it isn't known).
 
     Slots that several records of a side hold are ``ambiguous``; so is, as ``ambiguous_identity``, each other record that is
     ``unsure``; of what is left keys that several records of a side hold are ``ambiguous_key`` (with no slot). All of these are
     blocked, on both sides. The others pair by exact key first (same_key), then by slot if one of each side
     is left (same_slot); a pair has the later record's slot and key. What isn't paired, the blocked included, is
-    removed or added. Sides are counted together, so each count is one aggregation and one join."""
-    u, slots, keys = _matched(before, after, slot, key, unsure)
+    removed or added. Sides are counted together, so each count is one aggregation and one join. Records are dealt over
+    n partitions (iterate.parts), if that is more than the session's number."""
+    u, slots, keys = _matched(before, after, slot, key, unsure, n=n)
     later = F.col("later")
     outcome = F.when(F.col("by_key"), F.when(later, "same_key")).when(F.col("by_slot"), F.when(later, "same_slot")).when(later, "added").otherwise("removed")
     kinds = dict(before.dtypes)
@@ -50,20 +53,22 @@ def _several(name: str) -> Column:
     return (F.col(f"{name}_before") > 1) | (F.col(f"{name}_after") > 1)
 
 
-def _matched(before: DataFrame, after: DataFrame, slot: list[str], key: str, unsure: Column | None, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _matched(before: DataFrame, after: DataFrame, slot: list[str], key: str, unsure: Column | None, carry: tuple[str, ...] = (), n: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Both sides' records with ``later``, by_key and by_slot (how they are paired), and the counts by slot and by key."""
     later, doubt = F.col("later"), F.lit(False) if unsure is None else F.coalesce(unsure, F.lit(False))
     u = reduce(DataFrame.unionByName, [df.select(*slot, key, *carry, doubt.alias("doubt"), F.lit(x).alias("later")) for df, x in ((before, False), (after, True))])
 
     def counted(rows: DataFrame, by: list[str], name: str) -> DataFrame:
-        return rows.groupBy(*by).agg(F.count_if(~later).alias(f"{name}_before"), F.count_if(later).alias(f"{name}_after"))
+        return dealt(rows, n, *by).groupBy(*by).agg(F.count_if(~later).alias(f"{name}_before"), F.count_if(later).alias(f"{name}_after"))
 
     one = lambda name: F.coalesce((F.col(f"{name}_before") == 1) & (F.col(f"{name}_after") == 1), F.lit(False))
     slots = counted(u, slot, "slot")
-    u = u.join(slots, slot).withColumn("free", ~_several("slot") & ~F.col("doubt"))
-    keys = counted(u.where(F.col("free") & F.col(key).isNotNull()), [key], "key")
-    u = u.join(keys, key, "left").withColumn("by_key", F.col("free") & one("key")).withColumn("rest", F.col("free") & ~F.col("by_key") & ~F.coalesce(_several("key"), F.lit(False)))
-    return u.join(counted(u.where("rest"), slot, "left"), slot, "left").withColumn("by_slot", F.col("rest") & one("left")), slots, keys
+    u = dealt(u, n, *slot).join(slots, slot).withColumn("free", ~_several("slot") & ~F.col("doubt"))
+    # records without a key meet none: they are spread by their slots instead of lying in one partition
+    u = u.withColumn("spread", F.when(F.col(key).isNotNull(), F.xxhash64(key)).otherwise(F.xxhash64(*slot)))
+    keys = counted(u.where(F.col("free") & F.col(key).isNotNull()), [key, "spread"], "key")
+    u = dealt(u, n, key, "spread").join(keys, [key, "spread"], "left").withColumn("by_key", F.col("free") & one("key")).withColumn("rest", F.col("free") & ~F.col("by_key") & ~F.coalesce(_several("key"), F.lit(False)))
+    return dealt(u, n, *slot).join(counted(u.where("rest"), slot, "left"), slot, "left").withColumn("by_slot", F.col("rest") & one("left")), slots, keys
 
 
 #: Fixed names and order of what an endpoint consists of; each that differs is a reason.

@@ -5,18 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .iterate import dealt
 
-def degrees(edges: DataFrame) -> DataFrame:
-    """(node, fan_out, fan_in): resolved edges, not distinct peers."""
+
+def degrees(edges: DataFrame, n: int | None = None) -> DataFrame:
+    """(node, fan_out, fan_in): resolved edges, not distinct peers. Nodes are dealt over n partitions, if given."""
     e = edges.where("status = 'resolved' and object is not null")
     ends = e.select(F.col("subject").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(e.select("object", F.lit(0), F.lit(1)))
-    return ends.groupBy("node").agg(F.sum("o").alias("fan_out"), F.sum("i").alias("fan_in"))
+    return dealt(ends, n, "node").groupBy("node").agg(F.sum("o").alias("fan_out"), F.sum("i").alias("fan_in"))
 
 
-def reach_counts(nodes: DataFrame, reach: DataFrame) -> DataFrame:
-    """(node, roots): distinct roots that reach each node, zero included."""
-    n = reach.groupBy("node").agg(F.countDistinct("root").alias("roots"))
-    return nodes.join(n, "node", "left").na.fill(0, ["roots"])
+def reach_counts(nodes: DataFrame, reach: DataFrame, n: int | None = None) -> DataFrame:
+    """(node, roots): distinct roots that reach each node, zero included. Nodes are dealt over n partitions, if given."""
+    counts = dealt(reach, n, "node").groupBy("node").agg(F.countDistinct("root").alias("roots"))
+    return nodes.join(counts, "node", "left").na.fill(0, ["roots"])
 
 
 def reach_of_roots(nodes: DataFrame, endpoints: DataFrame, handlers: DataFrame) -> DataFrame:
@@ -69,9 +71,9 @@ def least_certain(rows: DataFrame, key: str, certainty: str, lists: list[str]) -
     return rows.groupBy(key).agg(F.element_at(order, F.max(F.array_position(order, F.col(certainty))).cast("int")).alias(certainty), *united)
 
 
-def architecture(nodes: DataFrame, edges: DataFrame, reach: DataFrame) -> DataFrame:
+def architecture(nodes: DataFrame, edges: DataFrame, reach: DataFrame, n: int | None = None) -> DataFrame:
     """One row for each kind of node: how many, how many resolved edges leave and enter them, the
-    largest fan-in, and how many no root reaches."""
-    d = nodes.join(degrees(edges), "node", "left").na.fill(0, ["fan_out", "fan_in"])
-    d = reachability(reach_counts(d, reach))
+    largest fan-in, and how many no root reaches. Nodes are dealt over n partitions, if given."""
+    d = nodes.join(degrees(edges, n), "node", "left").na.fill(0, ["fan_out", "fan_in"])
+    d = reachability(reach_counts(d, reach, n))
     return d.groupBy("kind").agg(F.count("*").alias("nodes"), F.sum("fan_out").alias("fan_out"), F.sum("fan_in").alias("fan_in"), F.max("fan_in").alias("most_fan_in"), F.count_if(F.col("roots") == 0).alias("not_reached"))

@@ -1,11 +1,12 @@
 """Bound queries on rows that the test tables don't have, against their SQL."""
 
+import re
 from collections import Counter
 
 import duckdb
 from pyspark.sql import functions as F
 
-from factweave.operators import flow, graph, impact, iterate, paths, scenes
+from factweave.operators import diff, flow, graph, impact, iterate, metrics, paths, scenes
 from factweave.plans import bindings, facts  # noqa: F401
 
 
@@ -90,3 +91,23 @@ def test_a_scene_walks_its_edges_once(spark):
     assert rows(omitted) == [("p", 0, 0, 0), ("q", 0, 1, 0), ("r", 1, 2, 0)]
     for df in (own, held, kept, omitted):
         assert "MapInArrow" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_partitions_grow_with_the_tables(spark, monkeypatch):
+    monkeypatch.setattr(iterate, "ROWS", 10)
+    assert iterate.parts(spark.range(95), spark.range(1)) == 10 and iterate.parts(spark.range(3)) == 4
+    edges = spark.createDataFrame([("r", "P", "o", "resolved"), ("o", "C", "part:1", "ambiguous"), ("o", "C", "part:1", "resolved")], "subject string, predicate string, object string, status string")
+    roots = spark.createDataFrame([("r",)], "root string")
+    found = graph.terminal_facts(edges, roots, 2, "part:", 9)
+    assert [tuple(r) for r in found.collect()] == [("r", "part:1", "resolved", 1)]
+    reach = graph.bounded_reach(edges, roots, 2, 9)
+    assert sorted(tuple(r) for r in reach.collect()) == [("r", "o", 1), ("r", "part:1", 2), ("r", "r", 0)]
+    assert ", 9), REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+    assert metrics.degrees(edges, 9).rdd.getNumPartitions() == 9
+
+
+def test_records_without_a_key_are_spread_by_their_slots(spark):
+    side = spark.range(50).selectExpr("id as slot", "cast(null as string) as key")
+    out = diff.slot_matching(side, side, ["slot"], "key", n=9)
+    assert {(r["outcome"], r["n"]) for r in out.groupBy("outcome").agg(F.count("*").alias("n")).collect()} == {("same_slot", 50)}
+    assert re.search(r"RepartitionByExpression \[key#\d+, spread#\d+L\], 9", out._jdf.queryExecution().optimizedPlan().toString())
