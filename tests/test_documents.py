@@ -1,6 +1,7 @@
 """Canonical JSON, OpenAPI round trips, patterns, containment, scenes and data flow on hand-made cases."""
 
 import json
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -71,6 +72,18 @@ def test_containment_finds_each_pair_once_in_any_width(spark):
     assert rows(got) == sorted(want, key=str)
 
 
+def test_containment_in_one_file_is_dealt_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(match, "SIDE", 8, raising=False)
+    monkeypatch.setattr(match, "FEW", 2, raising=False)
+    spans = [(n % 7, n % 7 + n % 50) for n in range(150)] + [(0, 3000), (None, 4), (2, None)] + [(3, 9)] * 5
+    df = spark.createDataFrame([("f" if n % 30 else None, n, a, b) for n, (a, b) in enumerate(spans)], "file string, id int, start long, end long")
+    got = match.contained(df.withColumnRenamed("id", "inner_id"), df.withColumnRenamed("id", "outer_id"), ["file"]).withColumn("task", F.spark_partition_id()).collect()
+    held = [(n, a, b) for n, (a, b) in enumerate(spans) if n % 30 and a is not None and b is not None]
+    assert sorted((r["inner_id"], r["outer_id"]) for r in got) == sorted((i, o) for i, a, b in held for o, x, y in held if x <= a and b <= y)
+    most = Counter(r["task"] for r in got).most_common(1)[0][1]
+    assert most < len(got) / 4  # pairs, of one file and two bins, that no task makes all of
+
+
 def test_a_scene_keeps_first_evidence_before_any_other(spark):
     nodes = spark.createDataFrame([("r", "r", ["z1", "a1"]), ("r", "x", ["z2", "b1"]), ("r", "y", ["c1"]), ("r", "w", ["d1"])], "root string, node string, evidence array<string>")
     edges = spark.createDataFrame([("r", "1", "r", "x", 0, ["z3", "a2"]), ("r", "2", "y", "w", 1, ["e1"]), ("r", "3", "x", "y", 2, ["z4"])], "root string, edge_id string, subject string, object string, rank int, evidence array<string>")
