@@ -85,10 +85,16 @@ def endpoint_snapshots(endpoints: DataFrame, parts: dict[str, DataFrame | None])
     return e.select("endpoint", "slot", "key", "identity", *[(F.col(p) if p in given else F.lit(None).cast("string")).alias(p) for p in PARTS])
 
 
+def _for_comparison(part: Column) -> Column:
+    """A part as it is carried to be compared: a long text is its SHA-256 (behind a mark that tells it from a short text)."""
+    return F.when(F.octet_length(part) > 32, F.concat(F.lit(b"\x01"), F.unhex(F.sha2(part, 256)))).otherwise(F.concat(F.lit(b"\x00"), part.cast("binary")))
+
+
 def endpoint_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """(slot, change, before, after, reasons) of two tables of snapshots: endpoints are matched by exact key, then by slot; a pair
     is modified for each part that differs, or is available on one side only (an identity that differs counts as its
     handler), and gives no row if none does. What isn't paired is removed or added."""
+    before, after = (df.withColumns({p: _for_comparison(F.col(p)) for p in PARTS}) for df in (before, after))
     u, _, _ = _matched(before, after, ["slot"], "key", F.col("identity") == "ambiguous", ("endpoint", "identity", *PARTS))
     fields = [F.col("endpoint"), F.col("slot"), F.col("identity"), *map(F.col, PARTS)]
 

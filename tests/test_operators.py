@@ -123,3 +123,12 @@ def test_system_paths_follow_only_candidates(spark):
     effects = spark.createDataFrame([(7, "write"), (7, "write"), (8, "read")], "consumer int, effect string")
     got = [tuple(r) for r in stitch.system_paths(reached, p, stitch.correlate(p, c), c, effects).collect()]
     assert got == [("a", "k", "r", "declared_realm_candidate", 2, 7, "write")]
+
+
+def test_endpoint_changes_carry_digests_of_long_parts(spark):
+    long = "\n".join(f"t{n}" for n in range(40))
+    schema = "endpoint int, slot string, key string, identity string, " + ", ".join(f"{p} string" for p in diff.PARTS)
+    side = lambda *parts: spark.createDataFrame([(n, f"s{n}", f"k{n}", "resolved", "m", None, "", p, None, None) for n, p in enumerate(parts)], schema)
+    got = diff.endpoint_changes(side(long, long, "", None, long[:32]), side(long, long + "x", None, None, long[:33]))
+    assert sorted((r["before"], r["after"], r["reasons"]) for r in got.collect()) == [(1, 1, "terminals"), (2, 2, "terminals"), (4, 4, "terminals")]
+    assert "sha2" in got._jdf.queryExecution().optimizedPlan().toString()
