@@ -6,7 +6,7 @@ the order in which they stand in the text, and hashes them as a tuple. Texts sha
 they share k-mers in the same order, which makes the signatures sensitive to edit distance.
 
 The selection runs in numpy inside Spark tasks, in blocks of bounded size. (In DataFrame functions
-alone, character k-mers take over six times the processor time allowed here; see the README.)
+alone, character k-mers took more processor time than is allowed here; see the README.)
 """
 
 from __future__ import annotations
